@@ -1,0 +1 @@
+"""Place for streaming plans. The engine's query is batch only, so nothing lives here."""
