@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convene.llm import packing
+from convene.llm import matroska, packing
 from convene.llm.common import table
 
 
@@ -12,5 +12,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_byte_bpe)
 
 
-QUERIES = {"op7_packing": op7_packing}
+def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_packing": op7_packing, "op10_matroska": op10_matroska}
 ORACLES: dict[str, str] = {}
