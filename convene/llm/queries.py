@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from convene.llm import matroska, packing
+from convene.llm import matroska, packing, quality
 from convene.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), quality.fold("doc_id", 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), held_out)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "size_difference")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_byte_bpe)
 
@@ -16,5 +24,5 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_packing": op7_packing, "op10_matroska": op10_matroska}
+QUERIES = {"op1_quality": op1_quality, "op7_packing": op7_packing, "op10_matroska": op10_matroska}
 ORACLES: dict[str, str] = {}
