@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convene.llm import matroska, packing, quality
+from convene.llm import language, matroska, packing, quality
 from convene.llm.common import table
 
 
@@ -16,6 +16,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "size_difference")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), quality.fold("doc_id", 4) == 2
+    model = language.learn(docs, held_out)
+    predicted = language.predict(docs, model)
+    return predicted.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_byte_bpe)
 
@@ -24,5 +31,5 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op7_packing": op7_packing, "op10_matroska": op10_matroska}
+QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op7_packing": op7_packing, "op10_matroska": op10_matroska}
 ORACLES: dict[str, str] = {}
