@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convene.llm import language, matroska, packing, quality
+from convene.llm import language, matroska, packing, quality, secrets
 from convene.llm.common import table
 
 
@@ -27,9 +27,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_byte_bpe)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    joined = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    return found.withColumn("base", F.expr("filter(spans, s -> s.path = '')")).select(
+        "doc_id",
+        *(F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(F.expr(joined.format("base")), 256).alias("base_sha256"),
+        F.expr(joined.format("spans")).alias("spans"),
+        F.expr("cast(size(spans) - size(base) as bigint)").alias("n_decoded"),
+        "oversize",
+    )
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op7_packing": op7_packing, "op10_matroska": op10_matroska}
+QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op10_matroska": op10_matroska}
 ORACLES: dict[str, str] = {}
