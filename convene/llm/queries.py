@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convene.llm import language, matroska, packing, quality, secrets
+from convene.llm import html_text, language, matroska, packing, quality, secrets
 from convene.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_byte_bpe)
 
@@ -44,5 +48,5 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op10_matroska": op10_matroska}
+QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_html": op3_html, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op10_matroska": op10_matroska}
 ORACLES: dict[str, str] = {}
