@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convene.llm import html_text, language, matroska, packing, quality, secrets
+from convene.llm import html_text, language, matroska, neighbours, packing, quality, secrets
 from convene.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_byte_bpe)
 
@@ -48,5 +52,22 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_html": op3_html, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op10_matroska": op10_matroska}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_html": op3_html, "op5_neighbours": op5_neighbours, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op10_matroska": op10_matroska}
+#: SQL for those that it can express.
+ORACLES: dict[str, str] = {
+    "op5_neighbours": """
+        WITH v AS (
+            SELECT vec_id, min(embedding) AS embedding FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+            GROUP BY vec_id
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.embedding) = len(c.embedding)
+            WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 20
+    """,
+}
