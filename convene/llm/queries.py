@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convene.llm import html_text, language, matroska, neighbours, packing, quality, secrets
+from convene.llm import html_text, language, matroska, mixing, neighbours, packing, quality, secrets
 from convene.llm.common import table
 
 
@@ -48,11 +48,15 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_html": op3_html, "op5_neighbours": op5_neighbours, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op10_matroska": op10_matroska}
+QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_html": op3_html, "op5_neighbours": op5_neighbours, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_matroska": op10_matroska}
 #: SQL for those that it can express.
 ORACLES: dict[str, str] = {
     "op5_neighbours": """
