@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convene.llm import html_text, language, matroska, mixing, neighbours, packing, quality, secrets
+from convene.llm import html_text, language, matroska, mixing, neighbours, packing, quality, secrets, templates
 from convene.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -56,9 +60,10 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_html": op3_html, "op5_neighbours": op5_neighbours, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_matroska": op10_matroska}
+QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_html": op3_html, "op4_lines": op4_lines, "op5_neighbours": op5_neighbours, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_matroska": op10_matroska}
 #: SQL for those that it can express.
 ORACLES: dict[str, str] = {
+    "op4_lines": templates.SQL,
     "op5_neighbours": """
         WITH v AS (
             SELECT vec_id, min(embedding) AS embedding FROM embeddings
