@@ -7,7 +7,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
@@ -85,3 +86,38 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def near_buckets(rows: DataFrame, column: Column, wanted: DataFrame, bits: int) -> DataFrame:
+    """Rows whose `column` (a bigint) shares a hash bucket with a value in the one-column frame
+    `wanted`: all that are wanted, and few others while the map of buckets is sparse. The map has a
+    fixed size, bits / 64 rows of two numbers, so it can be broadcast whatever the input."""
+    bucket = F.pmod(F.xxhash64(F.col(wanted.columns[0])), F.lit(bits))
+    words = wanted.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("w__")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits__"))
+    own = F.pmod(F.xxhash64(column), F.lit(bits))
+    joined = rows.join(F.broadcast(words), F.shiftright(own, 6) == F.col("w__"))
+    return joined.where(F.getbit("bits__", own.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("w__", "bits__")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the graph with edges (a, b) of bigints; root is the least node
+    that it is connected to.
+
+    Large-star and small-star steps by turns: every step hangs nodes on the least node near them, until
+    nothing moves; a chain of n nodes takes about log n rounds. Each round is written to shared storage."""
+    now = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mark = None
+    while True:
+        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if (new.n, new.h) == mark or not new.n:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        mark = (new.n, new.h)
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # large star: neighbours above a node hang on the least node beside it
+        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = cut(large.where(F.col("a") != F.col("b")), "edges-large")
+        # small star: the neighbours below a node, and the node, hang on the least of them
+        under = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(under, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(under.select("a", F.col("m").alias("b")))
+        now = cut(small.where(F.col("a") != F.col("b")).distinct(), "edges-small")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convene.llm import html_text, language, matroska, mixing, neighbours, packing, quality, secrets, templates
+from convene.llm import html_text, language, matroska, mixing, neighbours, ngram_join, packing, quality, secrets, templates
 from convene.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_byte_bpe)
 
@@ -60,9 +64,10 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_html": op3_html, "op4_lines": op4_lines, "op5_neighbours": op5_neighbours, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_matroska": op10_matroska}
+QUERIES = {"op1_quality": op1_quality, "op2_language": op2_language, "op3_html": op3_html, "op4_lines": op4_lines, "op5_neighbours": op5_neighbours, "op6_ngram_join": op6_ngram_join, "op7_packing": op7_packing, "op8_secrets": op8_secrets, "op9_mixing": op9_mixing, "op10_matroska": op10_matroska}
 #: SQL for those that it can express.
 ORACLES: dict[str, str] = {
+    "op6_ngram_join": ngram_join.SQL,
     "op4_lines": templates.SQL,
     "op5_neighbours": """
         WITH v AS (
