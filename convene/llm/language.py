@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from convene.llm.common import mix, small_batches
 
@@ -147,14 +148,16 @@ def counts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
     return np.maximum(0, (out - n[:, None] * wrong) / np.maximum(1e-9, 1 - wrong)), n
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs (doc_id, text).
+def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `carry`, lang_pred and score for every row of docs (text, and what is carried).
 
     Null texts and texts without a letter are `und` with score 0. The score grows from a half to one
     with the lead of the best language over the next; it is 0 where no language has an n-gram of the
     text (the language with most documents is then the prediction). Ties go to the language that sorts
     first. Repeated rows get repeated results, an empty table none; other columns are ignored."""
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    carry = tuple(c for c in carry if c not in ("lang_pred", "score"))
+    given = docs.select(*carry, *(() if "text" in carry else ("text",)))
+    schema = to_arrow_schema(given.select(*carry).schema).append(pa.field("lang_pred", pa.string())).append(pa.field("score", pa.float64()))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the learning sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +174,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 second = np.sort(hits, 1)[:, -2] if hits.shape[1] > 1 else np.zeros(len(texts))
                 score = np.where(top > 0, 0.5 + 0.5 * (top - second) / np.maximum(top, 1e-9), 0.0)
             names = [m.languages[b] if ok else UNKNOWN for b, ok in zip(best, has)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return given.mapInArrow(run, given.select(*carry).schema.add("lang_pred", "string").add("score", "double"))

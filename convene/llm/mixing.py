@@ -64,7 +64,7 @@ def _fold(items: Column) -> Column:
     The state holds the decided documents and the open one. Of the open one (words a of size s) and the
     next (b of t) with a + b = w, the open one ends at its highest share, min(s, w), or at its lowest,
     max(0, w - t), with chances that keep its mean at a."""
-    document = "struct<k:bigint,doc_id:bigint,source:string,size:bigint,source_size:bigint,target:double,whole:bigint,part:double,salt:bigint>"
+    document = "struct<k:bigint,doc_id:bigint,th:bigint,source:string,size:bigint,source_size:bigint,target:double,whole:bigint,part:double,salt:bigint>"
 
     def step(state: Column, item: Column) -> Column:
         held = state["open"]
@@ -95,17 +95,18 @@ def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), seed: int = 1, fan: int = FAN) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source).
+    """doc_id, th (hash of the text), size, source_size, target, taken for every row of docs (doc_id,
+    text, source).
 
     Sources in code-point order, null last, weigh `weights`, repeating; together they are to give `share`
     times all words, none over `most` times its own. taken is a whole number of copies times the size,
     but for one document of each source, which gives a part of a copy. Documents without words take
     nothing. Repeated rows are rows of their own; the same input gives the same result. A null doc_id is
     an id like others; other columns are ignored; an empty table gives no row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("salt"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))
     # repeated rows are told apart by number
     sized = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "mix-sizes")
-    each = sized.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("salt", F.xxhash64("salt", "copy")).drop("copy", "n")
+    each = sized.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("salt", F.xxhash64("th", "copy")).drop("copy", "n")
     sources = cut(source_targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, most, weights), "mix-sources")
     joined = _with_source(each, sources)
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -113,10 +114,10 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     planned = joined.withColumn("whole", whole).withColumn("part", F.col("size") * F.greatest(F.lit(0.0), times - whole))
     planned = cut(planned, "mix-planned")
     taken = lambda part: (F.col("whole") * F.col("size") + F.round(part)).cast("long").alias("taken")
-    columns = ["doc_id", "size", "source_size", "target"]
+    columns = ["doc_id", "th", "size", "source_size", "target"]
     done = [planned.where(F.col("part") <= 0).select(*columns, taken(F.lit(0.0)))]
     todo = planned.where(F.col("part") > 0)
-    fields = ["doc_id", "source", "size", "source_size", "target", "whole", "part", "salt"]
+    fields = ["doc_id", "th", "source", "size", "source_size", "target", "whole", "part", "salt"]
     level = 0
     while True:
         level += 1
@@ -133,3 +134,17 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     for d in done[1:]:
         out = out.unionByName(d)
     return out
+
+
+def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The mixture itself: rows of docs repeated as mix() decided, columns as they are. A part of a copy
+    is a row whose text is the document's first words, parted by spaces. Rows that share doc_id and text
+    share what they take evenly."""
+    plan = mixed.where(F.col("taken") > 0).groupBy("doc_id", "th").agg(F.first("size").alias("size__"), F.expr("sum(taken) div count(*)").alias("taken__"))
+    plan = plan.select(F.col("doc_id").alias("id__"), F.col("th").alias("th__"), "size__", "taken__")
+    joined = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("id__")) & (F.xxhash64("text") == F.col("th__")))
+    rest = F.col("taken__") % F.col("size__")
+    words = F.array_remove(F.split(F.translate("text", "\t\n\x0b\x0c\r", " " * 5), " ", -1), "")
+    parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.expr("cast(taken__ div size__ as int)")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    text = F.when(F.col("part__") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("part__"), F.lit(0)).cast("int")), " "))
+    return joined.withColumn("part__", F.explode(parts)).withColumn("text", text).select(*docs.columns)
