@@ -18,51 +18,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convene.llm.common import cut
+from convene.llm.common import cut, near_buckets
 
 MIN_DOCS, DEPTH, CONSTANT, SIMILAR, SIMILAR_REST = 8, 3, 0.5, 0.7, 0.5
 FIELD = "<*>"
-#: Bits of the map of buckets with frequent leaves, 64 to a word.
+#: Bits of the map of buckets with frequent leaves.
 MAP_BITS = 1 << 20
 
 _MASK = "[^ ]*[0-9][^ ]*"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), idx, line (blanks as single spaces' worth, trimmed) of non-empty lines."""
+    """doc_id, th (hash of the text), idx, line (white space as spaces, trimmed) of non-empty lines."""
     blank = "\t\r\x0b\x0c"
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("idx", "line"))
-    return split.withColumn("line", F.trim(F.translate("line", blank, " " * len(blank)))).where(F.col("line") != "")
+    # translate() goes character by character; few texts need it
+    odd = F.contains(F.col("text"), F.lit(blank[0]))
+    for c in blank[1:]:
+        odd = odd | F.contains(F.col("text"), F.lit(c))
+    text = F.when(odd, F.translate("text", blank, " " * len(blank))).otherwise(F.col("text"))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("idx", "line"))
+    return split.withColumn("line", F.trim("line")).where(F.col("line") != "")
+
+
+def _masked(text: Column) -> Column:
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, _MASK, FIELD)).otherwise(text)
 
 
 def _leaf(depth: int) -> Column:
     """Hash of a line's path in the tree: number of tokens, leading tokens with digit fields masked."""
     tokens = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
-    return F.xxhash64(tokens, F.regexp_replace(F.substring_index("line", " ", depth), _MASK, FIELD))
-
-
-def _frequent(lines: DataFrame, min_docs: int) -> Column:
-    """A condition on `leaf` that holds for every leaf with at least min_docs lines, and few others."""
-    bucket = F.pmod(F.col("leaf"), F.lit(MAP_BITS)).cast("int")
-    words = (
-        lines.groupBy("leaf").count().where(F.col("count") >= min_docs).select(bucket.alias("b"))
-        .groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("bits")).collect()
-    )
-    bits = [0] * (MAP_BITS // 64)  # at most this many rows are collected
-    for r in words:
-        bits[r.w] = r.bits
-    if not words:
-        return F.lit(False)
-    word = F.element_at(F.lit(bits), F.shiftright(bucket, 6) + 1)
-    return F.getbit(word, bucket.bitwiseAND(F.lit(63))) == 1
+    return F.xxhash64(tokens, _masked(F.substring_index("line", " ", depth)))
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
     """doc_id, th, idx, template of every line to be dropped."""
     lines = _lines(docs).withColumn("leaf", _leaf(depth))
-    frequent = _frequent(lines, min_docs)
-    masked = F.regexp_replace("line", _MASK, FIELD)
-    hot = cut(lines.where(frequent).select("doc_id", "th", "idx", "leaf", masked.alias("line")).withColumn("lh", F.xxhash64("line")), "lines-hot")
+    frequent = lines.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    masked = _masked(F.col("line"))
+    hot = cut(near_buckets(lines, F.col("leaf"), frequent, MAP_BITS).select("doc_id", "th", "idx", "leaf", masked.alias("line")).withColumn("lh", F.xxhash64("line")), "lines-hot")
     # each different line of a leaf once
     distinct = hot.groupBy("leaf", "lh").agg(F.count("*").alias("n"), F.first("line").alias("line")).withColumn("tokens", F.split("line", " ", -1))
     distinct = cut(distinct, "lines-distinct")
