@@ -12,7 +12,8 @@
    paths. A probe goes down the trie with the overlap so far; a subtree is left where the overlap plus
    what remains on either side can't reach the threshold, or where all its sets are linked to the probe
    already. Links go into a union-find, and only a spanning forest leaves the task.
-5. A cluster of more than `BLOCK` classes is cut into blocks, and pairs of blocks are tasks of their own.
+5. A cluster of more than `BLOCK` classes is cut into bands of sizes and these into blocks; the pairs of
+   blocks whose sizes allow links are tasks of their own.
 
 Nothing is capped or dropped, and no pair of documents is listed more than as an edge of a forest.
 """
@@ -305,6 +306,7 @@ def link(names: list[int], sets: list[np.ndarray], side: list[int] | None = None
             continue
         x = ordered[i]
         has[x] = True
+        below_of = np.cumsum(has)  # n-grams of x up to a rank
         n, after = len(x), position.get(i, -1)
         work = [(root, 0, False)]
         while work:
@@ -321,7 +323,7 @@ def link(names: list[int], sets: list[np.ndarray], side: list[int] | None = None
                 continue
             if len(node.tokens):
                 overlap += int(np.count_nonzero(has[node.tokens]))
-                rest = n - int(np.searchsorted(x, node.tokens[-1], "right"))
+                rest = n - int(below_of[node.tokens[-1]])
             else:
                 rest = n
             # the size that suits the bound best, of those below
@@ -340,42 +342,64 @@ def link(names: list[int], sets: list[np.ndarray], side: list[int] | None = None
     return out
 
 
+def band_edges(percent: int, most: int = 1 << 40) -> list[int]:
+    """Sizes at which bands begin. A size and one that it may be linked to lie in one band or in
+    neighbouring ones."""
+    out = [1]
+    while out[-1] < most:
+        out.append(out[-1] * 100 // percent + 1)
+    return out
+
+
 def _verified(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the links in clusters. members: cls, doc_id (of a document
-    of the class), root (of the cluster), size (of the cluster)."""
-    total = members.count()
-    bins = max(1, -(-total // TASK_CLASSES))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.select(
-        F.col("doc_id").alias("id"), F.col("cls").alias("want"), "root",
-        F.when(F.col("size") <= BLOCK, 1).otherwise(blocks).alias("blocks"),
-        F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("task"),
+    """Edges (a, b) of a spanning forest of the links in clusters. members: cls, n, doc_id (of a document
+    of the class), root (of the cluster), size (of the cluster).
+
+    Small clusters share tasks. A large one is cut by bands of sizes, of which only a band and the next
+    can hold linked sets, and bands into blocks; its tasks are pairs of blocks."""
+    bins = max(1, -(-members.count() // TASK_CLASSES))
+    edges = ", ".join(f"{e}L" for e in band_edges(percent))
+    large = members.where(F.col("size") > BLOCK).withColumn("band", F.expr(f"size(filter(array({edges}), e -> e <= n))"))
+    blocks = large.groupBy("root", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("blocks"))
+    one = members.where(F.col("size") <= BLOCK).select("*", F.lit(0).alias("band"), F.lit(None).cast("map<int,int>").alias("blocks"))
+    dealt = one.unionByName(large.join(blocks, "root")).select(
+        F.col("doc_id").alias("id"), F.col("cls").alias("want"), "root", "band", "blocks",
+        F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("task"),
     )
     near = near_buckets(docs.select("doc_id", "text"), F.coalesce("doc_id", F.lit(-1)), members.select(F.coalesce("doc_id", F.lit(-1)).alias("k")), MAP_BITS)
-    rows = near.join(dealt, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want", "root", "blocks", "task")
-    kinds = "task long, i int, j int, root long, cls long, block int, grams binary"
-    schema = pa.schema([("task", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("root", pa.int64()), ("cls", pa.int64()), ("block", pa.int32()), ("grams", pa.binary())])
+    rows = near.join(dealt, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want", "root", "band", "blocks", "task")
+    kinds = "task long, i long, j long, root long, cls long, place long, grams binary"
+    schema = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in kinds.split(", ")])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, words):
             out = []
-            for g, want, root, n, task in zip(sets, *(batch.column(c).to_pylist() for c in ("want", "root", "blocks", "task"))):
-                if len(g) and class_of(g) == want:  # ids may repeat
-                    own, raw = want % n, g.tobytes()
-                    out += [(task, min(own, k) if n > 1 else -1, max(own, k), root, want, own, raw) for k in range(n)]
+            for g, want, root, band, blocks, task in zip(sets, *(batch.column(c).to_pylist() for c in ("want", "root", "band", "blocks", "task"))):
+                if not len(g) or class_of(g) != want:  # ids may repeat
+                    continue
+                raw = g.tobytes()
+                if blocks is None:
+                    out.append((task, -1, -1, root, want, 0, raw))
+                    continue
+                count = dict(blocks)
+                own = band << 32 | want % count[band]
+                for near in (band - 1, band, band + 1):
+                    for k in range(count.get(near, 0)):
+                        other = near << 32 | k
+                        out.append((task, min(own, other), max(own, other), root, want, own, raw))
             for k in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 2000]), schema)], schema=schema)
 
     def verify(group: pa.Table) -> pa.Table:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         by: dict[int, dict[int, tuple[np.ndarray, int]]] = {}
-        for root, cls, block, raw in zip(*(group.column(c).to_pylist() for c in ("root", "cls", "block", "grams"))):
-            by.setdefault(root, {})[cls] = (np.frombuffer(raw, np.uint64), block)
+        for root, cls, place, raw in zip(*(group.column(c).to_pylist() for c in ("root", "cls", "place", "grams"))):
+            by.setdefault(root, {})[cls] = (np.frombuffer(raw, np.uint64), place)
         out = []
         for found in by.values():
             names = sorted(found)
             sets = [found[c][0] for c in names]
-            side = None if i == j or i < 0 else [int(found[c][1] == j) for c in names]
+            side = None if i == j else [int(found[c][1] == j) for c in names]
             out += link(names, sets, side, percent)
         return pa.Table.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], schema=_EDGES)
 
@@ -402,12 +426,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     first = listed.select(F.explode(F.slice("held", F.lit(1), F.col("room").cast("int"))).alias("h"), "cls", "n").select("h.token", "cls", "n")
     beyond = shared.where(~sampled).join(of_class.select("cls", "n"), "cls").select("token", "cls", "n")
     clusters = cut(components(_chains(first.unionByName(beyond), percent)), "clusters")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    members = cut(clusters.join(sizes, "root").withColumnRenamed("node", "cls").join(of_class.select("cls", "doc_id"), "cls"), "members")
+    # written first, small tables are joined as they are, and a hot key on the other side can be split
+    sizes = cut(clusters.groupBy("root").agg(F.count("*").alias("size")), "sizes")
+    members = cut(clusters.join(sizes, "root").withColumnRenamed("node", "cls").join(of_class.select("cls", "n", "doc_id"), "cls"), "members")
     linked = cut(components(_verified(members, docs, words, percent)), "linked")
-    named = of_class.select("cls", "doc_id").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_cls = named.select("cls", "root").join(least, "root").select("cls", "component_id")
+    named = cut(of_class.select("cls", "doc_id").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "named")
+    least = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    of_cls = cut(named.select("cls", "root").join(least, "root").select("cls", "component_id"), "named-components")
     some = every.where(F.col("cls").isNotNull()).join(of_cls, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = every.where(F.col("cls").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)

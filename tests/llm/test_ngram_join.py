@@ -94,6 +94,14 @@ def test_join_by_brute_force(spark, block, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_bands(percent):
+    edges = j.band_edges(percent, 5000)
+    band = lambda n: sum(e <= n for e in edges)
+    for n in range(1, 2000):
+        assert band(n * 100 // percent) - band(n) in (0, 1)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert j.similar_groups(df).count() == 0
