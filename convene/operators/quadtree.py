@@ -92,10 +92,11 @@ class QuadTree:
 
 def name_rects(cells: DataFrame) -> DataFrame:
     """Adds x0, y0 and ds to rows whose cell is a quadtree name."""
-    steps = F.transform(F.sequence(F.lit(1), F.length("cell")), lambda k: F.struct(F.substring(F.col("cell"), k, F.lit(1)).cast("int").alias("d"), F.pow(F.lit(0.5), k).alias("w")))
-    steps = F.when(F.length("cell") > 0, steps).otherwise(F.slice(steps, 1, 0))
-    total = lambda flag: F.aggregate(steps, F.lit(0.0), lambda a, s: a + F.when(flag(s["d"]), s["w"]).otherwise(0.0))
-    return cells.withColumns({"x0": total(lambda d: d % 2 == 1), "y0": total(lambda d: d < 2), "ds": F.pow(F.lit(0.5), F.length("cell"))})
+    # the root's name has no digit; its one step finds none
+    levels = F.sequence(F.lit(1), F.greatest(F.length("cell"), F.lit(1)))
+    digit = lambda k: F.substring(F.col("cell"), k, F.lit(1))
+    total = lambda *digits: F.aggregate(levels, F.lit(0.0), lambda a, k: a + F.when(digit(k).isin(*digits), F.pow(F.lit(0.5), k)).otherwise(0.0))
+    return cells.withColumns({"x0": total("1", "3"), "y0": total("0", "1"), "ds": F.pow(F.lit(0.5), F.length("cell"))})
 
 
 def leaf_widths(internal: DataFrame, any_internal: bool) -> list[float]:
