@@ -34,15 +34,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 #: A start tag of one of these ends an open p.
 ENDS_P = BLOCKS - frozenset("br option legend caption summary td th tr tbody thead tfoot body head html li dd dt title select".split())
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adsense adslot adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted related reply replies respond share sharing sidebar signup skip social sidenav sponsor sponsored subnav subscribe subscription toc toolbar topbar widget".split()
 )
 #: Elements that a class naming furniture doesn't take away.
 KEPT = frozenset("html body article main".split())
 
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<other>[!?][^>]*(?:>|\Z))|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_BESIDE = re.compile(r"(?<![a-z])(?:no|with|has|without|hide|show)[-_]+[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -54,7 +54,9 @@ def _is_furniture(name: str, attrs: str) -> bool:
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id"):
-            if not WORDS.isdisjoint(re.split(r"[^a-z0-9]+", _CAMEL.sub(" ", value).lower())):
+            # a layout class says what a block goes with, or without: no-sidebar, has-comments
+            named = _BESIDE.sub(" ", _CAMEL.sub("-", value).lower())
+            if not WORDS.isdisjoint(re.split(r"[^a-z]+", named)):
                 return True
         elif key == "role":
             if value.lower() in ROLES:

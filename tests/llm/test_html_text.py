@@ -16,6 +16,7 @@ WANT = "A title First & second words of the long paragraph, with bold and a link
         f"<div><ul>{MENU}</ul></div><main>{BODY}</main><div id='comments'><p>A reader says many things about this article, at length.</p></div>",
         f"<div role=navigation><p>Some words that lead elsewhere</p></div><div>{BODY}</div><form><p>Your name please, and your address</p><textarea>text</textarea><input></form>",
         f"<script>var a = '<p>not text</p>';</script><div class='cookieNotice'><p>We use cookies to make this site work for you</p></div><!-- <p>comment of many words</p> --><article>{BODY}</article><p hidden>never seen</p>",
+        f"<div class='layout no-sidebar has-comments'>{BODY}</div><div class='ad2'>Another thing that you ought to buy, cheap</div>",
         f"<article>{BODY}<aside>An aside that is not part of the article's text</aside><div class=\"ad\">Buy this thing now, it is very cheap</div></article>",
     ],
 )
