@@ -1,5 +1,16 @@
-"""python -m convene training=PATH query=PATH name=value...: a group nearest-neighbour query over text
-files of points. Names are those of plans.engine.Config, plus output=PATH."""
+"""python -m convene [COMMAND] name=value...
+
+  query    training=PATH query=PATH [output=PATH] and the options of plans.engine.Config: the k points
+           with the least sums of distances to the query points (the default)
+  crop     input=PATH output=PATH xmin= xmax= ymin= ymax=: the points in a box
+  sample   input=PATH output=PATH rate=PERCENT [seed=]: a random sample, by id
+  summary  query=PATH [output=PATH] [step= mindist= limit= diff=]: box, centroid and distance sum
+  trace    query=PATH [step= mindist= limit= diff=]: the centroid's descent, to choose its step by
+  sort     query=PATH output=PATH: the query points by x
+  tree     input=PATH output=PATH capacity= [split= depth= rate= seed=]: a quadtree
+
+Points are text files of tab-separated id, x, y.
+"""
 
 from __future__ import annotations
 
@@ -8,37 +19,78 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from convene.functions.geometry import in_box
+from convene.operators import quadtree, sampling, summary
 from convene.plans.engine import Config, run
 from convene.sources import points as io
 
 _ALIASES = {"phase15": "candidates", "fastSums": "fast_sums", "K": "k", "N": "n"}
+_PATHS = ("training", "query", "input", "output")
+_NUMBERS = {"xmin": float, "xmax": float, "ymin": float, "ymax": float, "rate": float, "mindist": float, "limit": int, "diff": float}
+_NEEDS = {
+    "query": ("training", "query"),
+    "crop": ("input", "output", "xmin", "xmax", "ymin", "ymax"),
+    "sample": ("input", "output", "rate"),
+    "summary": ("query",),
+    "trace": ("query",),
+    "sort": ("query", "output"),
+    "tree": ("input", "output", "capacity"),
+}
 
 
-def parse(args: list[str]) -> tuple[Config, dict[str, str]]:
-    kinds, options, paths = {f.name: f.type for f in dataclasses.fields(Config)}, {}, {}
-    for arg in args:
+def parse(args: list[str]) -> tuple[str, Config, dict]:
+    """(command, options of queries and trees, all that was given)"""
+    command = args[0] if args and "=" not in args[0] else "query"
+    kinds, options, given = {f.name: f.type for f in dataclasses.fields(Config)}, {}, {}
+    for arg in args[command != "query" or args[:1] == ["query"] :]:
         name, _, value = arg.partition("=")
         name = _ALIASES.get(name, name)
-        if name in ("training", "query", "output"):
-            paths[name] = value
+        if name in _PATHS:
+            given[name] = value
+        elif name in _NUMBERS:
+            given[name] = _NUMBERS[name](value)
         elif name in kinds:
             options[name] = value.lower() == "true" if kinds[name] == "bool" else {"int": int, "float": float}.get(kinds[name], str)(value)
         else:
             raise SystemExit(f"unknown option {name}\n{__doc__}")
-    if not {"training", "query"} <= set(paths):
+    if command not in _NEEDS or not set(_NEEDS[command]) <= set(given) | set(options):
         raise SystemExit(__doc__)
-    return Config(**options), paths
+    return command, Config(**options), given
 
 
 def main(args: list[str]) -> None:
-    config, paths = parse(args)
+    command, config, given = parse(args)
     spark = SparkSession.builder.appName("convene").getOrCreate()
-    done = run(io.read_text(spark, paths["training"]), io.read_text(spark, paths["query"]), config)
-    if "output" in paths:
-        io.write_neighbours(done.nearest, paths["output"])
-    else:
-        for r in done.nearest.orderBy("rank").collect():
-            print(f"{r.id}\t{r.dist:.10f}")
+    read = lambda name: io.read_text(spark, given[name])
+    descent = (config.step, given.get("mindist", 0.0), given.get("limit", config.steps), given.get("diff", 1e-6))
+    if command == "query":
+        done = run(read("training"), read("query"), config)
+        if "output" in given:
+            io.write_neighbours(done.nearest, given["output"])
+        else:
+            for r in done.nearest.orderBy("rank").collect():
+                print(f"{r.id}\t{r.dist:.10f}")
+        print("\n".join(f"{name}: {seconds:.3f} s" for name, seconds in done.seconds.items()), file=sys.stderr)
+    elif command == "crop":
+        io.write_text(read("input").where(in_box("x", "y", given["xmin"], given["ymin"], given["xmax"], given["ymax"])), given["output"])
+    elif command == "sample":
+        io.write_text(sampling.bernoulli(read("input"), given["rate"], config.seed).orderBy("id"), given["output"])
+    elif command == "summary":
+        s = summary.summarize(read("query"), *descent)
+        print(s.line())
+        if "output" in given:
+            io.write_summary(spark, s, given["output"])
+    elif command == "trace":
+        step, mindist, limit, diff = descent
+        for r in summary.trace(read("query"), step, limit, mindist, diff).orderBy("iter").collect():
+            print(f"{r.iter}\t{r.x:.10f}\t{r.y:.10f}\t{r.move:.10f}\t{r.sumdist:.10f}")
+    elif command == "sort":
+        io.write_text(read("query").orderBy("x", "id"), given["output"])
+    elif command == "tree":
+        sample = read("input") if given.get("rate", 100) >= 100 else sampling.bernoulli(read("input"), given["rate"], config.seed)
+        tree = quadtree.build(sample, config.capacity, config.split, config.depth)
+        io.write_tree(tree, given["output"])
+        print(" ".join(f"{k}={v}" for k, v in quadtree.shape(tree).items()))
 
 
 if __name__ == "__main__":

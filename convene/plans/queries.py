@@ -210,6 +210,14 @@ def quadtree_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, internal bigint, leaves bigint")
 
 
+@query(f"SELECT avg(w) AS width, count(*) AS widths FROM (SELECT DISTINCT w FROM ({_WIDTHS}))")
+def quadtree_leaf_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of the different widths of the capacity tree's leaves."""
+    tree = _events_tree(spark, sf_dir, "capacity")[1]
+    widths = quadtree.leaf_widths(tree.nodes, tree.n_nodes > 0)
+    return spark.createDataFrame([(w,) for w in widths], "w double").agg(F.avg("w").alias("width"), F.count("*").alias("widths"))
+
+
 # ---- first cells
 
 _MEAN_STEP = f"""SELECT m.n, m.xmin, m.xmax, m.ymin, m.ymax, s.x AS xc, s.y AS yc, (SELECT sum(sqrt((s.x-q.x)*(s.x-q.x)+(s.y-q.y)*(s.y-q.y))) FROM ({Q}) q) AS sumdist

@@ -182,9 +182,10 @@ def test_normalised(spark):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    config, paths = parse(["training=a", "query=b", "partitioning=QT", "phase15=mbr", "K=3", "N=7", "heuristics=false", "fastSums=true"])
+    command, config, given = parse(["training=a", "query=b", "partitioning=QT", "phase15=mbr", "K=3", "N=7", "heuristics=false", "fastSums=true"])
     assert (config.partitioning, config.candidates, config.k, config.n, config.heuristics, config.fast_sums) == ("qt", "mbr", 3, 7, False, True)
-    for bad in (["training=a"], ["training=a", "query=b", "what=1"]):
+    assert command == "query" and given == {"training": "a", "query": "b"}
+    for bad in (["training=a"], ["training=a", "query=b", "what=1"], ["fly", "query=b"], ["crop", "input=a", "output=b"]):
         with pytest.raises(SystemExit):
             parse(bad)
     t, q = points(50, 10), points(3, 11)
@@ -196,3 +197,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert [int(i) for i, _ in printed] == [i for _, i in want]
     main([f"training={tmp_path}/t", f"query={tmp_path}/q", "K=3", f"output={tmp_path}/out"])
     assert spark.read.text(f"{tmp_path}/out").count() == 3
+    capsys.readouterr()
+    main(["crop", f"input={tmp_path}/t", f"output={tmp_path}/crop", "xmin=0.1", "xmax=0.5", "ymin=0", "ymax=0.5"])
+    assert io.read_text(spark, f"{tmp_path}/crop").count() == sum(0.1 <= x <= 0.5 and y <= 0.5 for _, x, y in t)
+    main(["sample", f"input={tmp_path}/t", f"output={tmp_path}/sample", "rate=50"])
+    assert 0 < io.read_text(spark, f"{tmp_path}/sample").count() < 50
+    main(["sort", f"query={tmp_path}/q", f"output={tmp_path}/sorted"])
+    assert io.read_text(spark, f"{tmp_path}/sorted").count() == 3
+    main(["tree", f"input={tmp_path}/t", f"output={tmp_path}/tree", "capacity=4", "split=siblings"])
+    assert io.read_tree(spark, f"{tmp_path}/tree").n_nodes > 0
+    capsys.readouterr()
+    main(["summary", f"query={tmp_path}/q", f"output={tmp_path}/sum"])
+    main(["trace", f"query={tmp_path}/q", "limit=3", "diff=0"])
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0] == io.read_summary(spark, f"{tmp_path}/sum").line() and len(lines) == 4
