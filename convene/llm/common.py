@@ -32,7 +32,39 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of cut() from shared storage, when all that was read from them is itself written."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: Rows of an Arrow batch; with long documents, Spark's default of 10,000 can be gigabytes.
+BATCH_ROWS = 2000
+
+
+def lean_batches(df: DataFrame) -> DataFrame:
+    """df as it is; from now on its session hands Python batches of at most BATCH_ROWS rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def spaced(text: Column) -> Column:
+    """A text with tabs, vertical tabs, form feeds and carriage returns as spaces. translate() goes
+    character by character, so only texts that hold one are put through it."""
+    blank = "\t\r\x0b\x0c"
+    odd = F.contains(text, F.lit(blank[0]))
+    for c in blank[1:]:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.translate(text, blank, " " * len(blank))).otherwise(text)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -117,7 +149,9 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: neighbours above a node hang on the least node beside it
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = cut(large.where(F.col("a") != F.col("b")), "edges-large")
+        discard(now)
         # small star: the neighbours below a node, and the node, hang on the least of them
         under = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(under, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(under.select("a", F.col("m").alias("b")))
         now = cut(small.where(F.col("a") != F.col("b")).distinct(), "edges-small")
+        discard(large)

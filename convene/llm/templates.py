@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convene.llm.common import cut, near_buckets
+from convene.llm.common import cut, discard, near_buckets, spaced
 
 MIN_DOCS, DEPTH, CONSTANT, SIMILAR, SIMILAR_REST = 8, 3, 0.5, 0.7, 0.5
 FIELD = "<*>"
@@ -30,13 +30,7 @@ _MASK = "[^ ]*[0-9][^ ]*"
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), idx, line (white space as spaces, trimmed) of non-empty lines."""
-    blank = "\t\r\x0b\x0c"
-    # translate() goes character by character; few texts need it
-    odd = F.contains(F.col("text"), F.lit(blank[0]))
-    for c in blank[1:]:
-        odd = odd | F.contains(F.col("text"), F.lit(c))
-    text = F.when(odd, F.translate("text", blank, " " * len(blank))).otherwise(F.col("text"))
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("idx", "line"))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split(spaced(F.col("text")), "\n", -1)).alias("idx", "line"))
     return split.withColumn("line", F.trim("line")).where(F.col("line") != "")
 
 
@@ -73,11 +67,15 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) ->
     parsed = parsed.select("leaf", "lh", F.when(fits, general).otherwise(F.col("line")).alias("template"))
     # a template of fields and signs alone says nothing
     parsed = parsed.where(F.replace(F.col("template"), F.lit(FIELD), F.lit("")).rlike(r"\p{L}"))
+    parsed = cut(parsed, "lines-parsed")
     placed = hot.join(parsed, ["leaf", "lh"]).select("doc_id", "th", "idx", "leaf", F.xxhash64("template").alias("t"), "template")
     placed = cut(placed, "lines-placed")
+    discard(hot, distinct, parsed)
     first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id"), F.col("th"), F.col("idx"))
     per_doc = placed.groupBy("leaf", "t", "doc_id", "th").agg(F.min("idx").alias("idx"))
     kept = per_doc.groupBy("leaf", "t").agg(F.count("*").alias("docs"), F.min(first).alias("first")).where(F.col("docs") >= min_docs)
+    # written first, so that the other side's hot templates can be split in the join
+    kept = cut(kept, "lines-kept")
     found = placed.join(kept, ["leaf", "t"])
     return found.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("idx") == F.col("first.idx")))).select("doc_id", "th", "idx", "template")
 
