@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convene.llm.common import components, cut, mix, near_buckets, shuffle_parts, small_batches, text_bytes
+from convene.llm.common import components, cut, discard, lean_batches, mix, near_buckets, shuffle_parts, small_batches, text_bytes
 
 WORDS, PERCENT = 5, 80
 #: n-grams whose hash has these bits clear are counted: a quarter.
@@ -414,7 +414,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     Documents without words are linked with nothing. Equal texts are linked; rows that share a doc_id are
     rows of their own; a null doc_id is never the least unless all are null. Other columns are ignored;
     an empty table gives no row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = cut(classes(docs, words), "sets")
     of_class = cut(every.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.min("doc_id").alias("doc_id")), "classes")
     shared = cut(_shared(docs, words, percent), "shared")
@@ -426,13 +426,16 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     first = listed.select(F.explode(F.slice("held", F.lit(1), F.col("room").cast("int"))).alias("h"), "cls", "n").select("h.token", "cls", "n")
     beyond = shared.where(~sampled).join(of_class.select("cls", "n"), "cls").select("token", "cls", "n")
     clusters = cut(components(_chains(first.unionByName(beyond), percent)), "clusters")
+    discard(shared)
     # written first, small tables are joined as they are, and a hot key on the other side can be split
     sizes = cut(clusters.groupBy("root").agg(F.count("*").alias("size")), "sizes")
     members = cut(clusters.join(sizes, "root").withColumnRenamed("node", "cls").join(of_class.select("cls", "n", "doc_id"), "cls"), "members")
+    discard(clusters, sizes)
     linked = cut(components(_verified(members, docs, words, percent)), "linked")
     named = cut(of_class.select("cls", "doc_id").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "named")
     least = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     of_cls = cut(named.select("cls", "root").join(least, "root").select("cls", "component_id"), "named-components")
+    discard(members, linked, of_class, named, least)
     some = every.where(F.col("cls").isNotNull()).join(of_cls, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = every.where(F.col("cls").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)
