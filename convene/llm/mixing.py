@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convene.llm.common import cut
+from convene.llm.common import cut, discard, spaced
 
 FAN = 64
 #: Sources (a name and two numbers each) that are broadcast; more are joined by shuffle.
@@ -25,9 +25,11 @@ BROADCAST_SOURCES = 20_000
 
 def word_count(text: Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in a text; null: 0."""
-    blank = " \t\n\x0b\x0c\r"
-    marked = F.translate(F.coalesce(text, F.lit("")), blank, " " * len(blank))
-    return F.size(F.array_remove(F.split(marked, " ", -1), "")).cast("long")
+    return F.size(_words(F.coalesce(text, F.lit("")))).cast("long")
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.replace(spaced(text), F.lit("\n"), F.lit(" ")), " ", -1), "")
 
 
 def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[int, ...]) -> DataFrame:
@@ -113,6 +115,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     whole = F.floor(times + 1e-12)
     planned = joined.withColumn("whole", whole).withColumn("part", F.col("size") * F.greatest(F.lit(0.0), times - whole))
     planned = cut(planned, "mix-planned")
+    discard(sized, sources)
     taken = lambda part: (F.col("whole") * F.col("size") + F.round(part)).cast("long").alias("taken")
     columns = ["doc_id", "th", "size", "source_size", "target"]
     done = [planned.where(F.col("part") <= 0).select(*columns, taken(F.lit(0.0)))]
@@ -127,6 +130,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
         grouped = _with_source(todo, groups.drop("n")).withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "salt"), F.col("groups")))
         folded = grouped.groupBy("source", "grp").agg(_fold(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), F.lit(-level), "doc_id", "salt").alias("k"), *fields)))).alias("r"))
         folded = cut(folded.select("r.decided", "r.open"), f"mix-level{level}")
+        discard(groups)
         done.append(folded.select(F.explode("decided").alias("d")).select("d.*").select(*columns, taken(F.col("part"))))
         todo = folded.select("open.*")
     done.append(todo.select(*columns, taken(F.col("part"))))
@@ -144,7 +148,7 @@ def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     plan = plan.select(F.col("doc_id").alias("id__"), F.col("th").alias("th__"), "size__", "taken__")
     joined = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("id__")) & (F.xxhash64("text") == F.col("th__")))
     rest = F.col("taken__") % F.col("size__")
-    words = F.array_remove(F.split(F.translate("text", "\t\n\x0b\x0c\r", " " * 5), " ", -1), "")
+    words = _words(F.col("text"))
     parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.expr("cast(taken__ div size__ as int)")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     text = F.when(F.col("part__") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("part__"), F.lit(0)).cast("int")), " "))
     return joined.withColumn("part__", F.explode(parts)).withColumn("text", text).select(*docs.columns)
