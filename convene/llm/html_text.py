@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from convene.llm.common import lean_batches
+
 WINDOW, SURGE, SURGE_SHARE = 3, 60, 0.1
 
 # Element names of HTML by their role here.
@@ -219,4 +221,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 texts = [extract(h) for h in batch.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return lean_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

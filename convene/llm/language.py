@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from convene.llm.common import mix, small_batches
+from convene.llm.common import lean_batches, mix, small_batches
 
 SAMPLE_DOCS = 2000
 HASHES = 3
@@ -82,7 +82,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, held_out: Column, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from text and non-null lang of docs (doc_id, text, lang) for which `held_out` is not
     true. No such document: a model without languages, which calls all texts unknown."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
+    known = lean_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = tuple(sorted(sizes))
     if not languages:
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",))
     text (the language with most documents is then the prediction). Ties go to the language that sorts
     first. Repeated rows get repeated results, an empty table none; other columns are ignored."""
     carry = tuple(c for c in carry if c not in ("lang_pred", "score"))
-    given = docs.select(*carry, *(() if "text" in carry else ("text",)))
+    given = lean_batches(docs).select(*carry, *(() if "text" in carry else ("text",)))
     schema = to_arrow_schema(given.select(*carry).schema).append(pa.field("lang_pred", pa.string())).append(pa.field("score", pa.float64()))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the learning sample
 

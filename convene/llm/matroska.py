@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from convene.llm.common import lean_batches
+
 # Element ids of the Matroska format.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
@@ -278,7 +280,7 @@ def mux_texts(df: DataFrame, text: str = "text", media: str = "media") -> DataFr
                 files = pa.array([mux(payload_of(t)) for t in part.column(text).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), files], schema=out)
 
-    return df.select(*keep).mapInArrow(run, df.select(*keep).schema.add(media, "binary"))
+    return lean_batches(df).select(*keep).mapInArrow(run, df.select(*keep).schema.add(media, "binary"))
 
 
 def pa_schema(df: DataFrame, columns: list[str]) -> pa.Schema:
@@ -314,7 +316,7 @@ def packets(df: DataFrame, key: str, media: str = "media") -> DataFrame:
                 for i in range(0, len(rows), 8192):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 8192]), schema)], schema=schema)
 
-    return df.select(key, media).mapInArrow(run, ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", _PACKETS]))
+    return lean_batches(df).select(key, media).mapInArrow(run, ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", _PACKETS]))
 
 
 _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -349,4 +351,4 @@ def digests(docs: DataFrame) -> DataFrame:
                 rows = [row(d, t) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DIGEST_SCHEMA)], schema=_DIGEST_SCHEMA)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _DIGEST)
+    return lean_batches(docs).select("doc_id", "text").mapInArrow(run, _DIGEST)

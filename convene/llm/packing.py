@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convene.llm.common import mix
+from convene.llm.common import lean_batches, mix
 
 GROUP_DOCS = 4096
 
@@ -191,7 +191,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | Callable[[], str], len
             rows.append((doc[i], len(crcs[i]) * length + start, size, _crc(rest[i][2 * start : 2 * (start + size)]), n[i], sequence + b, at))
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_PIECE_SCHEMA)
 
-    return docs.select("doc_id", "text").mapInArrow(tokens, _TOKENS).groupBy("grp").applyInArrow(packed, _PIECES)
+    return lean_batches(docs).select("doc_id", "text").mapInArrow(tokens, _TOKENS).groupBy("grp").applyInArrow(packed, _PIECES)
 
 
 def public_byte_bpe() -> str:

@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convene.llm.common import lean_batches
+
 BLOCK = 1024
 DICTIONARY_BYTES = 112 << 10
 DICTIONARY_DOCS = 2000
@@ -105,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, dictionary_docs: i
         ids = some if ids is None else ids.unionByName(some)
     chosen = ids.select("doc_id", F.col("quality").alias("label"), (F.pmod(F.xxhash64("h"), F.lit(dictionary_docs + calibration_docs)) < dictionary_docs).alias("train"))
     # at most 2 * (dictionary_docs + calibration_docs) ids are broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = lean_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     samples = {0: [], 1: []}
     for r in rows.where(F.col("train") & (F.length("text") > 0)).select("label", "text").toLocalIterator():
         samples[r.label].append(r.text)
@@ -141,4 +143,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(w[0] + f @ w[1:], -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(f[:, 0] / 100)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, size_difference double")
+    return lean_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, size_difference double")

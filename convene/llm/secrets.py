@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from convene.llm.common import lean_batches
+
 # The base patterns, in the order in which kinds are listed, and least lengths.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -246,4 +248,4 @@ def scan(docs: DataFrame) -> DataFrame:
                 spans = [[dict(zip(("kind", "start", "end", "path"), s)) for s in g[0]] for g in got]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(spans, pa.list_(struct)), pa.array([g[1] for g in got])], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, spans {SPAN}, oversize boolean")
+    return lean_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id long, spans {SPAN}, oversize boolean")
