@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convene.functions.geometry import SLACK, in_box
 from convene.operators import candidates, kernel, prune, quadtree, topk
 from convene.operators.grid import Grid
 from convene.operators.sampling import bernoulli
@@ -84,6 +85,11 @@ def _in_cells(celled: DataFrame, cells: DataFrame, count: int) -> DataFrame:
     return celled.join(F.broadcast(few) if count <= BROADCAST_CELLS else few, "cell", "left_semi")
 
 
+def _in_box(points: DataFrame, x0: float, x1: float, y0: float, y1: float) -> DataFrame:
+    """Points in a box, and a little around it: cells' corners and points are rounded apart."""
+    return points.where(in_box("x", "y", x0 - SLACK, y0 - SLACK, x1 + SLACK, y1 + SLACK))
+
+
 def run(points: DataFrame, queries: DataFrame, config: Config = Config(), index=None) -> Run:
     """points, queries: id, x, y in the unit square, ids unique. index: a Grid or QuadTree to use instead
     of a new one. No point: no row. Fewer than k: all of them."""
@@ -97,15 +103,17 @@ def run(points: DataFrame, queries: DataFrame, config: Config = Config(), index=
 
     qx, qy = collect_query(in_domain(queries))
     summary = summarize_points(qx, qy, config.step, 0.0, config.steps)
-    points = in_domain(points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    points = points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     lap("summary")
-    index = index or make_index(points, config)
-    celled = index.assign(points)
-    hist = histogram(celled, index).persist()
+    # the first pass over all points checks their domain; later ones filter plain columns, which a scan can skip by
+    checked = in_domain(points)
+    index = index or make_index(checked, config)
+    hist = histogram(index.assign(checked), index).persist()
     cells = hist.count()
     lap("cells")
     chosen = candidates.candidates(hist, summary, index, config.k, config.candidates).persist()
-    size = chosen.agg(F.count("*").alias("cells"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("points")).first()
+    corner = (F.min("x0"), F.max(F.col("x0") + F.col("ds")), F.min("y0"), F.max(F.col("y0") + F.col("ds")))
+    size = chosen.agg(F.count("*").alias("cells"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("points"), F.array(*corner).alias("box")).first()
     lap("candidates")
 
     def sums(some: DataFrame, n: int, best: float | None) -> DataFrame:
@@ -116,7 +124,8 @@ def run(points: DataFrame, queries: DataFrame, config: Config = Config(), index=
         out = kernel.joined_sums(some, queries, sweep)
         return out.where(F.col("dist") <= best + prune.SLACK) if config.fast_sums and best is not None else out
 
-    first = topk.top(sums(_in_cells(celled, chosen, size.cells), size.points, None), config.k).collect()
+    around = index.assign(_in_box(points, *size.box)) if size.cells else index.assign(points)
+    first = topk.top(sums(_in_cells(around, chosen, size.cells), size.points, None), config.k).collect()
     best = max((r.dist for r in first), default=0.0) if len(first) >= config.k else float("inf")
     local = points.sparkSession.createDataFrame([tuple(r) for r in first], "id long, dist double")
     lap("local")
@@ -130,9 +139,11 @@ def run(points: DataFrame, queries: DataFrame, config: Config = Config(), index=
         left = rest.agg(F.count("*").alias("cells"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("points")).first()
         lap("pruned")
         if left.cells:
-            near = _in_cells(celled, rest, left.cells)
-            if best < float("inf"):
-                near = near.where(prune.near_centre(summary, best))
+            within = points
+            if best < float("inf"):  # H4, and the box around its circle for scans to skip by
+                r = (best + summary.sumdist) / summary.n
+                within = _in_box(points, summary.xc - r, summary.xc + r, summary.yc - r, summary.yc + r).where(prune.near_centre(summary, best))
+            near = _in_cells(index.assign(within), rest, left.cells)
             remote = topk.top(sums(near, left.points, best if best < float("inf") else None), config.k)
             nearest = topk.merge(config.k, local, remote)
     return Run(topk.ranked(nearest), summary, best, hist, chosen, reasons, seconds)
