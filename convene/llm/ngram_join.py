@@ -12,8 +12,9 @@
    paths. A probe goes down the trie with the overlap so far; a subtree is left where the overlap plus
    what remains on either side can't reach the threshold, or where all its sets are linked to the probe
    already. Links go into a union-find, and only a spanning forest leaves the task.
-5. A cluster of more than `BLOCK` classes is cut into bands of sizes and these into blocks; the pairs of
-   blocks whose sizes allow links are tasks of their own.
+5. A cluster of more than `BLOCK` classes is compared by the n-grams that its classes share in their
+   beginnings, or whole, by what takes less work. What is large still is cut into bands of sizes and these
+   into blocks; the pairs of blocks whose sizes allow links are tasks of their own.
 
 Nothing is capped or dropped, and no pair of documents is listed more than as an edge of a forest.
 """
@@ -35,6 +36,8 @@ SAMPLED = 3
 BLOCK = 1000
 #: Classes of small clusters that one verifying task takes on.
 TASK_CLASSES = 500
+#: Pairs of classes that are compared in the time that sending one class to a task takes.
+SHIPPING = 1000
 FLUSH = 2_000_000
 MAP_BITS = 1 << 24
 
@@ -351,50 +354,75 @@ def band_edges(percent: int, most: int = 1 << 40) -> list[int]:
     return out
 
 
-def _verified(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the links in clusters. members: cls, n, doc_id (of a document
-    of the class), root (of the cluster), size (of the cluster).
+def _units(members: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """(cls, unit, band): the groups of classes that are compared with one another.
 
-    Small clusters share tasks. A large one is cut by bands of sizes, of which only a band and the next
-    can hold linked sets, and bands into blocks; its tasks are pairs of blocks."""
-    bins = max(1, -(-members.count() // TASK_CLASSES))
+    A small cluster is a unit. So is a large one, or each of the n-grams that its classes share in their
+    beginnings, whichever takes less work: n-grams where many common lines chain texts that have little
+    else in common, the cluster where near copies share nearly all. n-grams with the same classes are one
+    unit. Classes that are linked share such an n-gram, so no link is lost."""
     edges = ", ".join(f"{e}L" for e in band_edges(percent))
-    large = members.where(F.col("size") > BLOCK).withColumn("band", F.expr(f"size(filter(array({edges}), e -> e <= n))"))
-    blocks = large.groupBy("root", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("blocks"))
-    one = members.where(F.col("size") <= BLOCK).select("*", F.lit(0).alias("band"), F.lit(None).cast("map<int,int>").alias("blocks"))
-    dealt = one.unionByName(large.join(blocks, "root")).select(
-        F.col("doc_id").alias("id"), F.col("cls").alias("want"), "root", "band", "blocks",
-        F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("task"),
-    )
-    near = near_buckets(docs.select("doc_id", "text"), F.coalesce("doc_id", F.lit(-1)), members.select(F.coalesce("doc_id", F.lit(-1)).alias("k")), MAP_BITS)
-    rows = near.join(dealt, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want", "root", "band", "blocks", "task")
-    kinds = "task long, i long, j long, root long, cls long, place long, grams binary"
+    banded = cut(members.select("cls", "root", "size", F.expr(f"size(filter(array({edges}), e -> e <= n))").alias("band")), "banded")
+    large = banded.where(F.col("size") > BLOCK)
+    inside = entries.select("token", "cls").join(large.drop("size"), "cls")
+    sets = inside.groupBy("root", "token").agg(F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s")).where(F.col("m") > 1)
+    sets = cut(sets.groupBy("root", "m", "s").agg(F.min("token").alias("token")), "token-sets")
+    by_token = sets.groupBy("root").agg(F.sum(F.col("m") * F.col("m") + SHIPPING * F.col("m")).alias("token_cost"))
+    per = large.groupBy("root", "band").agg(F.count("*").alias("c"))
+    near = per.select("root", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("c").alias("d"))
+    by_band = per.join(near, ["root", "band"]).groupBy("root").agg(F.sum(F.col("c") * F.col("d") + SHIPPING * F.col("c") * F.ceil(F.col("d") / BLOCK)).alias("band_cost"))
+    plan = cut(by_band.join(by_token, "root", "left").select("root", F.coalesce(F.col("token_cost") < F.col("band_cost"), F.lit(False)).alias("split")), "plans")
+    whole = banded.where(F.col("size") <= BLOCK).unionByName(large.join(plan.where(~F.col("split")), "root").drop("split"))
+    split = sets.join(plan.where("split"), "root").select("root", "token")
+    return whole.select("cls", F.col("root").alias("unit"), "band").unionByName(inside.join(split, ["root", "token"]).select("cls", F.xxhash64("root", "token").alias("unit"), "band"))
+
+
+def _verified(members: DataFrame, entries: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges (a, b) of a spanning forest of the links in clusters. members: cls, n, doc_id (of a document
+    of the class), root (of the cluster), size (of the cluster); entries: token, cls.
+
+    Small units share tasks. A large one is cut by bands of sizes, of which only a band and the next can
+    hold linked sets, and bands into blocks; its tasks are pairs of blocks."""
+    units = cut(_units(members, entries, percent), "units")
+    bins = max(1, -(-units.count() // TASK_CLASSES))
+    sizes = cut(units.groupBy("unit").agg(F.count("*").alias("size")), "unit-sizes")
+    blocks = units.join(sizes.where(F.col("size") > BLOCK), "unit").groupBy("unit", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    blocks = cut(blocks.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("blocks")), "blocks")
+    task = F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("unit"), F.lit(bins))).otherwise(F.col("unit"))
+    placed = units.join(sizes, "unit").join(blocks, "unit", "left").select("cls", F.struct("unit", task.alias("task"), "band", "blocks").alias("u"))
+    dealt = placed.groupBy("cls").agg(F.collect_list("u").alias("units")).join(members.select("cls", "doc_id"), "cls")
+    dealt = cut(dealt.select(F.col("doc_id").alias("id"), F.col("cls").alias("want"), "units"), "dealt")
+    discard(units, sizes, blocks)
+    near = near_buckets(docs.select("doc_id", "text"), F.coalesce("doc_id", F.lit(-1)), dealt.select(F.coalesce("id", F.lit(-1)).alias("k")), MAP_BITS)
+    rows = near.join(dealt, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want", "units")
+    kinds = "task long, i long, j long, unit long, cls long, place long, grams binary"
     schema = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in kinds.split(", ")])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, words):
             out = []
-            for g, want, root, band, blocks, task in zip(sets, *(batch.column(c).to_pylist() for c in ("want", "root", "band", "blocks", "task"))):
+            for g, want, units in zip(sets, batch.column("want").to_pylist(), batch.column("units").to_pylist()):
                 if not len(g) or class_of(g) != want:  # ids may repeat
                     continue
                 raw = g.tobytes()
-                if blocks is None:
-                    out.append((task, -1, -1, root, want, 0, raw))
-                    continue
-                count = dict(blocks)
-                own = band << 32 | want % count[band]
-                for near in (band - 1, band, band + 1):
-                    for k in range(count.get(near, 0)):
-                        other = near << 32 | k
-                        out.append((task, min(own, other), max(own, other), root, want, own, raw))
+                for u in units:
+                    if u["blocks"] is None:
+                        out.append((u["task"], -1, -1, u["unit"], want, 0, raw))
+                        continue
+                    count = dict(u["blocks"])
+                    own = u["band"] << 32 | want % count[u["band"]]
+                    for near in (u["band"] - 1, u["band"], u["band"] + 1):
+                        for k in range(count.get(near, 0)):
+                            other = near << 32 | k
+                            out.append((u["task"], min(own, other), max(own, other), u["unit"], want, own, raw))
             for k in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 2000]), schema)], schema=schema)
 
     def verify(group: pa.Table) -> pa.Table:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         by: dict[int, dict[int, tuple[np.ndarray, int]]] = {}
-        for root, cls, place, raw in zip(*(group.column(c).to_pylist() for c in ("root", "cls", "place", "grams"))):
-            by.setdefault(root, {})[cls] = (np.frombuffer(raw, np.uint64), place)
+        for unit, cls, place, raw in zip(*(group.column(c).to_pylist() for c in ("unit", "cls", "place", "grams"))):
+            by.setdefault(unit, {})[cls] = (np.frombuffer(raw, np.uint64), place)
         out = []
         for found in by.values():
             names = sorted(found)
@@ -425,17 +453,18 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     listed = listed.withColumn("room", need - (F.col("sampled") - F.size("held"))).where(F.col("room") > 0)
     first = listed.select(F.explode(F.slice("held", F.lit(1), F.col("room").cast("int"))).alias("h"), "cls", "n").select("h.token", "cls", "n")
     beyond = shared.where(~sampled).join(of_class.select("cls", "n"), "cls").select("token", "cls", "n")
-    clusters = cut(components(_chains(first.unionByName(beyond), percent)), "clusters")
+    entries = cut(first.unionByName(beyond), "entries")
+    clusters = cut(components(_chains(entries, percent)), "clusters")
     discard(shared)
     # written first, small tables are joined as they are, and a hot key on the other side can be split
     sizes = cut(clusters.groupBy("root").agg(F.count("*").alias("size")), "sizes")
     members = cut(clusters.join(sizes, "root").withColumnRenamed("node", "cls").join(of_class.select("cls", "n", "doc_id"), "cls"), "members")
     discard(clusters, sizes)
-    linked = cut(components(_verified(members, docs, words, percent)), "linked")
+    linked = cut(components(_verified(members, entries, docs, words, percent)), "linked")
     named = cut(of_class.select("cls", "doc_id").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "named")
     least = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     of_cls = cut(named.select("cls", "root").join(least, "root").select("cls", "component_id"), "named-components")
-    discard(members, linked, of_class, named, least)
+    discard(members, entries, linked, of_class, named, least)
     some = every.where(F.col("cls").isNotNull()).join(of_cls, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = every.where(F.col("cls").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)

@@ -84,9 +84,10 @@ def test_trie_by_brute_force(sides):
         assert [want.find(a) for a in range(len(sets))] == [got.find(a) for a in range(len(sets))]
 
 
-@pytest.mark.parametrize("block", [1000, 7])
-def test_join_by_brute_force(spark, block, monkeypatch):
+@pytest.mark.parametrize("block,shipping", [(1000, 1000), (7, 1000), (7, 0), (7, -1000)])
+def test_join_by_brute_force(spark, block, shipping, monkeypatch):
     monkeypatch.setattr(j, "BLOCK", block)
+    monkeypatch.setattr(j, "SHIPPING", shipping)  # other weights choose other plans
     monkeypatch.setattr(j, "TASK_CLASSES", 20)
     rows = [(i * 3 % 1009, t) for i, t in enumerate(texts(11, 420))] + [(2000, None), (2001, ""), (2002, " \n"), (None, "w1 w2"), (5, "w1 w2"), (5, "w1 w2"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS cls")
