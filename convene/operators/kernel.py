@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convene.functions.geometry import SLACK, distance
+from convene.operators.summary import collect_query
 
 #: Pairs from which on the Arrow kernel pays for its start.
 ARROW_PAIRS = 5_000_000
@@ -67,3 +68,21 @@ def arrow_sums(points: DataFrame, qx: np.ndarray, qy: np.ndarray, sweep_below: f
                 yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + ROWS][rows], pa.int64()), pa.array(total)], schema=schema)
 
     return points.select(F.col("id").cast("long").alias("id"), "x", "y").mapInArrow(run, "id long, dist double")
+
+
+def arrow_x_sums(points: DataFrame, qx: np.ndarray) -> DataFrame:
+    """id, sumdx: the sum of differences in x to the query points, in log time a point; qx is sorted."""
+    shared = points.sparkSession.sparkContext.broadcast(qx)
+    schema = pa.schema([("id", pa.int64()), ("sumdx", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x_sums(batch.column(1).to_numpy(zero_copy_only=False), shared.value))], schema=schema)
+
+    return points.select(F.col("id").cast("long").alias("id"), "x").mapInArrow(run, "id long, sumdx double")
+
+
+def sums(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """id, dist of all points, by the way that suits the number of pairs."""
+    qx, qy = collect_query(queries)
+    return arrow_sums(points, qx, qy) if points.count() * len(qx) >= ARROW_PAIRS else joined_sums(points, queries)

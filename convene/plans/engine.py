@@ -155,4 +155,4 @@ def gknn(points: DataFrame, queries: DataFrame, config: Config = Config(), index
 
 
 def brute_force(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return topk.ranked(topk.top(kernel.joined_sums(points, queries), k))
+    return topk.ranked(topk.top(kernel.sums(points, queries), k))

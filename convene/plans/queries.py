@@ -324,8 +324,8 @@ def sumdist_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id, round(dx, 6) AS sumdx FROM ({_sums_sql()})")
 def sumdx_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.broadcast(_points(spark, sf_dir, "supplier").select(F.col("x").alias("qx")))
-    return _points(spark, sf_dir, "orders").crossJoin(q).groupBy("id").agg(r6(F.sum(F.abs(F.col("x") - F.col("qx"))), "sumdx"))
+    qx, _ = summary.collect_query(_points(spark, sf_dir, "supplier"))
+    return kernel.arrow_x_sums(_points(spark, sf_dir, "orders"), qx).select("id", r6("sumdx", "sumdx"))
 
 
 # ---- pruning
@@ -385,7 +385,7 @@ def point_prune_h4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT id, round(dist, 6) AS dist FROM ({_sums_sql()}), {_BEST} b WHERE dx <= b.best + 1e-9")
 def point_prune_sumdx(spark: SparkSession, sf_dir: str) -> DataFrame:
     celled, _, q, best = _best(spark, sf_dir)
-    return kernel.joined_sums(celled, q, best).select("id", r6("dist", "dist"))
+    return kernel.arrow_sums(celled, *summary.collect_query(q), sweep_below=best).select("id", r6("dist", "dist"))
 
 
 @query(f"SELECT CAST(row_number() OVER (ORDER BY round(dist, 9), id) AS INTEGER) AS rank, id, round(dist, 6) AS dist FROM ({_local_sql('gd')})")
@@ -404,7 +404,7 @@ _EVEN = f"SELECT * FROM ({_sums_sql(f'SELECT * FROM ({T}) WHERE id % 3 <> 1')})
 def merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lists with ids in common."""
     t, q = _points(spark, sf_dir, "orders"), _points(spark, sf_dir, "supplier")
-    lists = [topk.top(kernel.joined_sums(t.where(F.col("id") % 3 != m), q), K) for m in (0, 1)]
+    lists = [topk.top(kernel.sums(t.where(F.col("id") % 3 != m), q), K) for m in (0, 1)]
     return topk.ranked(topk.merge(K, *lists)).select("rank", "id", r6("dist", "dist"))
 
 
