@@ -41,7 +41,7 @@ WORDS = frozenset(
 #: Elements that a class naming furniture doesn't take away.
 KEPT = frozenset("html body article main".split())
 
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<other>[!?][^>]*(?:>|\Z))|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
+_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<other>[!?][^>]*(?:>|\Z))|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>=]+|=)*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _BESIDE = re.compile(r"(?<![a-z])(?:no|with|has|without|hide|show)[-_]+[a-z]+")

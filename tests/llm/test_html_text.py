@@ -31,6 +31,7 @@ def test_edges():
     assert html_text.extract("<p>a<b>c</b>d</p><p>e&#233;&nbsp;f&lt;") == "acd eé f<"
     assert html_text.extract("<p>cut <a href='x") in ("cut", "cut ")
     assert html_text.extract("<article><p>one<script>x</article>") == "one"
+    assert html_text.extract("<p title=it's id='a>b'>one</p><p>two's</p>") == "one two's"
     many = "<p>" + "word " * 20 + "</p>"
     assert len(html_text.extract(many * 5000).split()) == 100000
 
