@@ -57,7 +57,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) ->
     top = counted.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("n"))
     constant = F.when((F.col("top.n") >= CONSTANT * F.col("n")) & (F.col("top.token") != FIELD), F.col("top.token"))
     leaves = top.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", constant.alias("token")))).alias("template"))
-    leaves = leaves.withColumn("template", F.col("template.token"))
+    leaves = cut(leaves.withColumn("template", F.col("template.token")), "lines-leaves")
     agreeing = F.zip_with("tokens", "template", lambda a, b: F.coalesce(a == b, F.lit(False)) | (a == FIELD))
     share = lambda flags: F.size(F.filter(flags, lambda x: x)) / F.greatest(F.size(flags), F.lit(1))
     rest = F.slice("agree", depth + 1, F.greatest(F.size("agree") - depth, F.lit(0)))
@@ -70,7 +70,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) ->
     parsed = cut(parsed, "lines-parsed")
     placed = hot.join(parsed, ["leaf", "lh"]).select("doc_id", "th", "idx", "leaf", F.xxhash64("template").alias("t"), "template")
     placed = cut(placed, "lines-placed")
-    discard(hot, distinct, parsed)
+    discard(hot, distinct, leaves, parsed)
     first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id"), F.col("th"), F.col("idx"))
     per_doc = placed.groupBy("leaf", "t", "doc_id", "th").agg(F.min("idx").alias("idx"))
     kept = per_doc.groupBy("leaf", "t").agg(F.count("*").alias("docs"), F.min(first).alias("first")).where(F.col("docs") >= min_docs)
