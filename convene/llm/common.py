@@ -131,6 +131,15 @@ def near_buckets(rows: DataFrame, column: Column, wanted: DataFrame, bits: int)
     return joined.where(F.getbit("bits__", own.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("w__", "bits__")
 
 
+#: Rows of a few numbers that make a task worth its start.
+TASK_ROWS = 250_000
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more tasks than so many short rows are worth."""
+    return df.coalesce(max(1, min(shuffle_parts(df.sparkSession), -(-rows // TASK_ROWS))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the graph with edges (a, b) of bigints; root is the least node
     that it is connected to.
@@ -145,13 +154,14 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = (new.n, new.h)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # the small sides are written, so that the joins can split a hot node's edges
+        least = cut(few_tasks(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), new.n), "edges-least")
         # large star: neighbours above a node hang on the least node beside it
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large.where(F.col("a") != F.col("b")), "edges-large")
-        discard(now)
+        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(few_tasks(large.where(F.col("a") != F.col("b")), new.n), "edges-large")
+        discard(now, least)
         # small star: the neighbours below a node, and the node, hang on the least of them
-        under = large.groupBy("a").agg(F.min("b").alias("m"))
+        under = cut(few_tasks(large.groupBy("a").agg(F.min("b").alias("m")), new.n), "edges-under")
         small = large.join(under, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(under.select("a", F.col("m").alias("b")))
-        now = cut(small.where(F.col("a") != F.col("b")).distinct(), "edges-small")
-        discard(large)
+        now = cut(few_tasks(few_tasks(small.where(F.col("a") != F.col("b")), new.n).distinct(), new.n), "edges-small")
+        discard(large, under)
