@@ -61,7 +61,8 @@ def candidates(hist: DataFrame, s: QuerySummary, index, k: int, how: str) -> Dat
         rounds = box_rounds(hist, s)
     elif how == "centroid":
         x, y = min(max(s.xc, 0.0), 1.0), min(max(s.yc, 0.0), 1.0)
-        rounds = circle_rounds(hist, s, index.width_at(x, y), index.closed, index.cell_at(x, y))
+        own = index.cell_at(x, y)
+        rounds = circle_rounds(hist, s, index.width(own), index.closed, own)
     else:
         raise ValueError("candidates are chosen by mbr or centroid")
     return rounds.where(F.col("round") <= last_round(rounds, k)).drop("round")

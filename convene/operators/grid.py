@@ -34,7 +34,7 @@ class Grid:
         ds = 1.0 / self.n
         return cells.withColumns({"x0": (F.col("cell") % self.n) * F.lit(ds), "y0": F.floor(F.col("cell") / self.n) * F.lit(ds), "ds": F.lit(ds)})
 
-    def width_at(self, x: float, y: float) -> float:
+    def width(self, cell: int) -> float:
         return 1.0 / self.n
 
     def cell_at(self, x: float, y: float) -> int:

@@ -79,15 +79,17 @@ class QuadTree:
     def rects(self, cells: DataFrame) -> DataFrame:
         return name_rects(cells)
 
-    def leaf_at(self, x: float, y: float) -> str:
-        row = self.assign(self.nodes.sparkSession.range(1).select(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")))
-        return row.first()["cell"]
-
-    def width_at(self, x: float, y: float) -> float:
-        return 0.5 ** len(self.leaf_at(x, y))
-
     def cell_at(self, x: float, y: float) -> str:
-        return self.leaf_at(x, y)
+        """The leaf that holds one point: one below the deepest internal node that does."""
+        fx, fy = (min(int(v * (1 << self.depth)), (1 << self.depth) - 1) for v in (x, y))
+        up = lambda v: F.expr(f"shiftright({v}L, {self.depth} - level)")
+        deepest = self.nodes.where((F.col("ix") == up(fx)) & (F.col("iy") == up(fy))).agg(F.max("level")).first()[0]
+        level = max(self.full, 0 if deepest is None else deepest + 1)
+        bit = lambda v, k: v >> self.depth - k & 1
+        return "".join(str(2 * (1 - bit(fy, k)) + bit(fx, k)) for k in range(1, level + 1))
+
+    def width(self, cell: str) -> float:
+        return 0.5 ** len(cell)
 
 
 def name_rects(cells: DataFrame) -> DataFrame:

@@ -66,6 +66,8 @@ def test_quadtree_by_recursion(spark, kind, n, capacity, depth):
         assert r.cell in leaves
         assert r.x0 <= r.x and r.y0 <= r.y and (r.x < r.x0 + r.ds or r.x == 1) and (r.y < r.y0 + r.ds or r.y == 1)
     assert celled.count() == len(probes)
+    for r in celled.limit(5).collect():
+        assert tree.cell_at(r.x, r.y) == r.cell
     if n == 400:
         monkey = quadtree.BROADCAST_NODES
         quadtree.BROADCAST_NODES = 0
@@ -77,7 +79,7 @@ def test_quadtree_by_recursion(spark, kind, n, capacity, depth):
 
 def test_coincident_points_stop_at_the_depth(spark):
     tree = quadtree.build(spark.createDataFrame([(i, 0.3, 0.3) for i in range(200)], POINT), 10, depth=7)
-    assert tree.levels == 7 and len(tree.leaf_at(0.3, 0.3)) == 7
+    assert tree.levels == 7 and len(tree.cell_at(0.3, 0.3)) == 7
     with pytest.raises(ValueError):
         quadtree.build(spark.createDataFrame([], POINT), 0)
 
