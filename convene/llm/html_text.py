@@ -4,10 +4,11 @@ Markup is stripped to lines: one for each block element's run of text. A line's
 of its text outside links; lines inside elements that are furniture by their tag, role or class (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) weigh nothing. The weights are summed
 over sliding windows of `WINDOW` lines. A passage runs from where the sums leave nothing, through a
-surge over a threshold, to where they dive to nothing; the lines with weight in passages are the main
-text. The threshold follows the page: a share of its largest sum, `SURGE` at most, so short pages keep
-theirs.
-An article or main element bounds the search if it has text.
+surge over a threshold, to where they dive to nothing; the lines between the first and the last line
+with weight of a passage are the main text, furniture aside. The threshold follows the page: a share of
+its largest sum, `SURGE` at most, so short pages keep theirs.
+An article or main element bounds the search if it has text. Its lines that are links alone are main
+text, but for list items ahead of all its other lines, which are a menu.
 """
 
 from __future__ import annotations
@@ -70,33 +71,38 @@ def _is_furniture(name: str, attrs: str) -> bool:
     return False
 
 
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside an article or main element) of each block's run of text, in page order.
-    Furniture weighs 0; dropped elements, comments and markup give no text."""
-    out: list[tuple[str, int, bool]] = []
+def lines(html: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """(text, weight, has text outside furniture, inside an article or main element, inside a list item)
+    of each block's run of text, in page order. Furniture and links weigh 0; dropped elements, comments
+    and markup give no text."""
+    out: list[tuple[str, int, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, link, article: each with its ancestors'
     text: list[str] = []
-    weight, furniture, link, article = 0, False, False, False
+    weight, plain, furniture, link, article = 0, False, False, False, False
 
     def flush() -> None:
-        nonlocal weight
+        nonlocal weight, plain
         if text:
             joined = _SPACE.sub(" ", "".join(text)).strip()
             if joined:
-                out.append((joined, weight, article))
+                out.append((joined, weight, plain, article, any(s[0] == "li" for s in stack)))
             text.clear()
-        weight = 0
+        weight, plain = 0, False
 
     def add(raw: str) -> None:
-        nonlocal weight
+        nonlocal weight, plain
         if raw:
             got = unescape(raw)
             text.append(got)
-            if not (furniture or link):
-                weight += len(_SPACE.sub(" ", got).strip())
+            if not furniture:
+                length = len(_SPACE.sub(" ", got).strip())
+                plain = plain or length > 0
+                weight += 0 if link else length
 
     def leave(depth: int) -> None:
         nonlocal furniture, link, article
+        if furniture and not (depth and stack[depth - 1][1]):  # inline furniture is a line of its own
+            flush()
         del stack[depth:]
         furniture, link, article = stack[-1][1:] if stack else (False, False, False)
 
@@ -175,7 +181,8 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
 
 
 def passages(weights: np.ndarray) -> np.ndarray:
-    """Which lines lie between a surge and a dive of the sums over windows of lines."""
+    """Which lines lie between a surge and a dive of the sums over windows of lines, from the first with
+    weight to the last."""
     keep = np.zeros(len(weights), bool)
     if not len(weights) or not weights.any():
         return keep
@@ -191,20 +198,25 @@ def passages(weights: np.ndarray) -> np.ndarray:
         while end < len(sums) and sums[end] > 0:
             end += 1
         if sums[start:end].max() >= threshold:
-            keep[start : end + WINDOW - 1] = True
+            heavy = start + np.flatnonzero(weights[start : end + WINDOW - 1])
+            keep[heavy[0] : heavy[-1] + 1] = True
         start = end
     return keep
 
 
 def extract(html: str | None) -> str:
     found = lines(html or "")
-    inside = np.array([a and w > 0 for _, w, a in found], bool)
-    weights = np.array([w for _, w, _ in found], np.int64)
-    if inside.any():
-        weights[: np.flatnonzero(inside)[0]] = 0
-        weights[np.flatnonzero(inside)[-1] + 1 :] = 0
-        weights[[not a for _, _, a in found]] = 0
-    keep = passages(weights) & (weights > 0)
+    weights = np.array([w for _, w, _, _, _ in found], np.int64)
+    plain = np.array([p for _, _, p, _, _ in found], bool)
+    own = np.array([p and a for _, _, p, a, _ in found], bool)
+    links = np.zeros(len(found), bool)
+    if (own & (weights > 0)).any():
+        weights[~own] = 0
+        plain = own
+        items = np.array([i for _, _, _, _, i in found], bool)
+        links = own & (weights == 0)
+        links[: np.flatnonzero(own & ~(links & items))[0]] = False
+    keep = (passages(weights) | links) & plain
     return " ".join(found[i][0] for i in np.flatnonzero(keep))
 
 

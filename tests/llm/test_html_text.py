@@ -55,3 +55,16 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (None, None, "<p>x</p>", 2), (1, "u", None, 1)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, html_text.extract_pages(df).collect()), key=str) == [(1, "u", "", 0), (1, "u", "", 0), (None, None, "x", 1)]
     assert html_text.extract_pages(df.limit(0)).count() == 0
+
+
+def test_links_of_the_article_stay():
+    link = "<a href='/x'>{}</a>"
+    listed = "".join(f"<li>{link.format(f'Item {i}')}</li>" for i in range(5))
+    page = f"<article><h1>{link.format('Linked title')}</h1><p>Words of the first part, which is long enough to be main text.</p><h2>{link.format('Section')}</h2><ul>{listed}</ul><p>Words of the second part, which is long enough as well, by far.</p><p>{link.format('Source')}</p></article>"
+    want = "Linked title Words of the first part, which is long enough to be main text. Section Item 0 Item 1 Item 2 Item 3 Item 4 Words of the second part, which is long enough as well, by far. Source"
+    assert html_text.extract(page) == want
+    assert html_text.extract(page.replace("<article>", f"<ul>{MENU}</ul><article><nav>{link.format('Home')}</nav>")) == want
+    body = f"<p>Words of the first part, long enough.</p><h2>{link.format('Section')}</h2><p>Words of the second part.</p>"
+    assert html_text.extract(f"<ul>{MENU}</ul><div>{body}</div><ul>{MENU}</ul>") == "Words of the first part, long enough. Section Words of the second part."
+    assert html_text.extract(f"<main><ul>{MENU}</ul>{body}</main>") == "Words of the first part, long enough. Section Words of the second part."
+    assert html_text.extract("<article><p>one <button>Press</button> two</p></article>") == "one two"
