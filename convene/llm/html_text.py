@@ -7,8 +7,8 @@ over sliding windows of `WINDOW` lines. A passage runs from where the sums leave
 surge over a threshold, to where they dive to nothing; the lines between the first and the last line
 with weight of a passage are the main text, furniture aside. The threshold follows the page: a share of
 its largest sum, `SURGE` at most, so short pages keep theirs.
-An article or main element bounds the search if it has text. Its lines that are links alone are main
-text, but for list items ahead of all its other lines, which are a menu.
+Where an article or main element has text outside links, there is no search: all its lines that aren't
+furniture are the main text, but for list items that are links alone ahead of its other lines, a menu.
 """
 
 from __future__ import annotations
@@ -209,14 +209,12 @@ def extract(html: str | None) -> str:
     weights = np.array([w for _, w, _, _, _ in found], np.int64)
     plain = np.array([p for _, _, p, _, _ in found], bool)
     own = np.array([p and a for _, _, p, a, _ in found], bool)
-    links = np.zeros(len(found), bool)
     if (own & (weights > 0)).any():
-        weights[~own] = 0
-        plain = own
-        items = np.array([i for _, _, _, _, i in found], bool)
-        links = own & (weights == 0)
-        links[: np.flatnonzero(own & ~(links & items))[0]] = False
-    keep = (passages(weights) | links) & plain
+        keep = own
+        listed = np.array([i for _, _, _, _, i in found], bool) & (weights == 0)
+        keep[: np.flatnonzero(own & ~listed)[0]] = False
+    else:
+        keep = passages(weights) & plain
     return " ".join(found[i][0] for i in np.flatnonzero(keep))
 
 

@@ -68,3 +68,10 @@ def test_links_of_the_article_stay():
     assert html_text.extract(f"<ul>{MENU}</ul><div>{body}</div><ul>{MENU}</ul>") == "Words of the first part, long enough. Section Words of the second part."
     assert html_text.extract(f"<main><ul>{MENU}</ul>{body}</main>") == "Words of the first part, long enough. Section Words of the second part."
     assert html_text.extract("<article><p>one <button>Press</button> two</p></article>") == "one two"
+
+
+@pytest.mark.parametrize("name", ["article", "main"])
+def test_short_parts_of_the_article_stay(name):
+    share, body = "".join(f"<li>Share {i}</li>" for i in range(3)), "Words of a long body, " * 30
+    page = f"<p>Elsewhere</p><{name}><h1>Short title</h1><ul class=share>{share}</ul><p>{body}</p><ul class=share>{share}</ul><p>The end.</p></{name}><p>Elsewhere</p>"
+    assert html_text.extract(page) == f"Short title {body.strip()} The end."
