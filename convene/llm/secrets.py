@@ -1,8 +1,10 @@
 """Secret scans through encodings: a worklist of layers, each rescanned, with spans mapped back.
 
 The first layer is the text. From each layer come others: the layer with its URL escapes undone, the
-layer with its Unicode escapes undone, and one layer for each base64 run that holds text or compressed
-data (gzip, zlib, bzip2, xz, zstd; compressed runs of URL escapes too). Every character of a layer knows
+layer with its Unicode escapes undone, and one layer for each base64 run, in one line or in lines of one
+width, that holds text or compressed data (gzip, zlib, bzip2, xz, zstd, all members of each; compressed
+runs of URL escapes too). Of bytes that aren't text in UTF-8, the ASCII text in them counts, as single
+bytes and as UTF-16; they are given up if they hold none. Every character of a layer knows
 the span of the text it came from. New layers go on the worklist until none is left; a layer whose
 characters and spans were met before is not taken again, so encodings that decode to themselves end.
 
@@ -39,9 +41,16 @@ _URL = re.compile("(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile("(?:[A-Za-z0-9+/]{76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}|(?:[A-Za-z0-9+/]{64}\r?\n)+[A-Za-z0-9+/]{1,64}={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile("[A-Za-z0-9+/_=-]+")
 _PART = re.compile("[A-Za-z0-9]{16,}={0,2}")
 
 
+#: Runs of text in other bytes: shorter ones can't hold a match or an encoded one.
+_ASCII = re.compile(rb"[\t\n\r -~]{12}")
+_UTF16 = re.compile(rb"(?:[\t\n\r -~]\0){11}[\t\n\r -~]")
+
+
 class Oversize(Exception):
     pass
 
@@ -54,37 +63,64 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def _format(data: bytes) -> str | None:
+    if data[:2] == b"\x1f\x8b":
+        return "gzip"
+    if len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0:
+        return "zlib"
+    if data[:3] == b"BZh":
+        return "bzip2"
+    if data[:6] == b"\xfd7zXZ\0":
+        return "xz"
+    return "zstd" if data[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+def _member(name: str):
+    """(decompress(bytes, most), the object whose eof and unused_data tell of the end, bytes to feed at once)."""
+    import zstandard
+
+    if name == "zstd":  # knows no most, so a step is small: its blocks of 128 KiB take 4 bytes at least
+        d = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+        return (lambda part, most: d.decompress(part)), d, 256
+    d = zlib.decompressobj(31) if name == "gzip" else zlib.decompressobj() if name == "zlib" else bz2.BZ2Decompressor() if name == "bzip2" else lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=256 << 20)
+    return d.decompress, d, 1 << 16
+
+
 def _inflate(data: bytes) -> tuple[str, bytes] | None:
-    """(format, content) of compressed data, or None."""
+    """(format, content) of compressed data, or None. Members of one format follow one another, zeros
+    and zstd's skippable frames between them; what breaks off in a later one is read as far as it goes."""
     import zstandard
 
+    name = _format(data)
+    if name is None:
+        return None
+    out, size, at, whole = [], 0, 0, 0
     try:
-        if data[:2] == b"\x1f\x8b":
-            name, d = "gzip", zlib.decompressobj(31)
-        elif len(data) > 2 and data[0] & 15 == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0:
-            name, d = "zlib", zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            name, d = "bzip2", bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\0":
-            name, d = "xz", lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=256 << 20)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data) as reader:
-                out = reader.read(LAYER_CHARS + 1)
-            if len(out) > LAYER_CHARS:
-                raise Oversize
-            return "zstd", out
-        else:
-            return None
-        out = d.decompress(data, LAYER_CHARS + 1)
-        if len(out) > LAYER_CHARS:
-            raise Oversize
-        return (name, out) if d.eof else None
+        while at < len(data):
+            decompress, d, step = _member(name)
+            while at < len(data) and not d.eof:
+                part = data[at : at + step]
+                got = decompress(part, LAYER_CHARS + 1 - size)
+                out.append(got)
+                size += len(got)
+                if size > LAYER_CHARS:
+                    raise Oversize
+                at += len(part) - (len(d.unused_data) if d.eof else 0)
+            if not d.eof:
+                break
+            whole += 1
+            while at < len(data) and (data[at] == 0 or data[at + 1 : at + 4] == b"\x2a\x4d\x18" and data[at] >> 4 == 5):
+                at += 8 + int.from_bytes(data[at + 4 : at + 8], "little") if data[at] else 1
+            if _format(data[at : at + 8]) != name:
+                break
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
+        pass
+    return (name, b"".join(out)) if whole or name == "zstd" and size else None
 
 
-def _as_text(data: bytes) -> tuple[str, str] | None:
-    """(formats, text) of bytes that are text or compressed text; compression may be nested."""
+def _as_texts(data: bytes) -> tuple[bool, list[tuple[str, str]]]:
+    """Whether bytes are text or compressed text, and (formats, text) of what they hold; compression may
+    be nested."""
     names = []
     while (got := _inflate(data)) is not None:
         names.append(got[0])
@@ -92,9 +128,18 @@ def _as_text(data: bytes) -> tuple[str, str] | None:
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
+        text = ""
     odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
-    return (">".join(names), text) if text and odd * 20 <= len(text) else None
+    if text and odd * 20 <= len(text):
+        return True, [(">".join(names), text)]
+    out = []
+    at = {m.start() % 2 for m in _UTF16.finditer(data)}
+    for k in sorted(at):  # of UTF-16BE, the low bytes begin at 1
+        part = data[k:] + b"\0"
+        out.append((">".join([*names, "utf-16"]), part[: len(part) & ~1].decode("utf-16-le", "replace")))
+    if _ASCII.search(data):
+        out.append((">".join([*names, "bytes"]), data.decode("latin-1")))
+    return False, out
 
 
 def _unbase64(run: str) -> bytes | None:
@@ -178,32 +223,50 @@ def layers_of(layer: Layer) -> Iterator[Layer | None]:
         for m in runs:
             if m.end() - m.start() >= 24:
                 try:
-                    got = _as_text(bytes.fromhex(m[0].replace("%", "")))
+                    _, got = _as_texts(bytes.fromhex(m[0].replace("%", "")))
                 except Oversize:
                     yield None
                     continue
-                if got and got[0]:
-                    yield layer.inner(f"url>{got[0]}", m.start(), m.end(), got[1])
+                for formats, inside in got:
+                    if formats not in ("", "bytes"):  # those are in the layer above
+                        yield layer.inner(f"url>{formats}", m.start(), m.end(), inside)
     if "\\" in text:
         runs = list(_UNICODE.finditer(text))
         if runs:
             yield layer.rewritten("unicode", [(m.start(), m.end(), _unicode_chars(m[0], m.start())) for m in runs])
-    for m in _BASE64.finditer(text):
-        spans = [(m.start(), m.end())]
-        tried = False
+    runs = [(m.start(), m.end()) for m in _BASE64.finditer(text)]
+    for run in [*runs, *sorted(set(_wrapped(text)) - set(runs))]:
+        spans, tried = [run], False
         while spans:
             start, end = spans.pop()
             data = _unbase64(text[start:end])
             try:
-                got = data and _as_text(data)
+                sure, got = _as_texts(data) if data else (False, [])
             except Oversize:
                 yield None
                 continue
-            if got:
-                yield layer.inner(f"base64>{got[0]}".rstrip(">"), start, end, got[1])
-            elif not tried:  # the alphabet's signs may as well be what parts the run from its neighbours
+            for formats, inside in got:
+                yield layer.inner(f"base64>{formats}".rstrip(">"), start, end, inside)
+            if not sure and not tried:  # the alphabet's signs may as well be what parts the run from its neighbours
                 tried = True
-                spans = [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0]) if p.end() - p.start() < end - start]
+                spans = [(start + p.start(), start + p.end()) for p in _PART.finditer(text[start:end]) if p.end() - p.start() < end - start]
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of lines of one width, and the shorter one that ends them, in base64's alphabet."""
+    if "\n" not in text:
+        return
+    for m in _WRAPPED.finditer(text):
+        rows = [(m.start() + r.start(), m.start() + r.end()) for r in _LINE.finditer(m[0])]
+        i = 0
+        while i < len(rows) - 1:
+            j, width = i + 1, rows[i][1] - rows[i][0]
+            while j < len(rows) and rows[j][1] - rows[j][0] == width:
+                j += 1
+            last = j if j < len(rows) and rows[j][1] - rows[j][0] < width else j - 1
+            if last > i and rows[last][1] - rows[i][0] >= 16:
+                yield rows[i][0], rows[last][1]
+            i = j
 
 
 def scan_text(text: str) -> tuple[list[tuple[str, int, int, str]], bool]:

@@ -102,3 +102,37 @@ def test_query(spark, tmp_path):
     for r in got:
         if r.doc_id in (2, 3):
             assert r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.spans == ""
+
+
+def _hidden(text):
+    return [(k, a, b) for k, a, b, path in secrets.scan_text(text)[0] if path]
+
+
+def test_all_members():
+    packers = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress]
+    for pack in packers:
+        for data in (pack(b"first ") + pack(SECRET.encode()), pack(b"first ") + pack(b"") + pack(SECRET.encode()) + b"trailing"):
+            run = _b64(data)
+            assert _hidden(f"x {run} y") == [("assign", 2, 2 + len(run))], pack
+    run = _b64(zstandard.compress(b"a") + b"\x50\x2a\x4d\x18\x03\0\0\0abc" + zstandard.compress(SECRET.encode()))
+    assert _hidden(run) == [("assign", 0, len(run))]
+
+
+def test_members_stop_at_the_cap(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_CHARS", 1000)
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        assert secrets.scan_text(_b64(pack(b"a" * 600) * 2))[1]
+
+
+def test_bytes_that_are_not_utf8():
+    for data in (SECRET.encode("utf-16"), SECRET.encode("utf-16-le"), SECRET.encode("utf-16-be"), b"\0" + SECRET.encode("utf-16-le"), b"\xff\xfe\x80" * 9 + SECRET.encode() + b"\x81\0", gzip.compress(b"\x80" + SECRET.encode())):
+        run = _b64(data)
+        assert set(_hidden(f"x {run} y")) == {("assign", 2, 2 + len(run))}, data
+
+
+def test_any_width():
+    for width in (5, 20, 48, 60, 70, 72, 100):
+        for end in ("\n", "\r\n"):
+            whole = _b64(("words before " * 4 + SECRET).encode())
+            run = end.join(whole[i : i + width] for i in range(0, len(whole), width))
+            assert ("assign", 2, 2 + len(run)) in _hidden(f"x {run} y"), width
