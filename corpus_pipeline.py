@@ -34,10 +34,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least doc_id."""
-    groups = ngram_join.similar_groups(docs)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id__")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("id__"), "left_anti")
+    """One document of each group of near-duplicates stays: the one with the least doc_id, of those that
+    share it the one with the least text hash; a null doc_id comes last. Documents that share doc_id and
+    text are one."""
+    key, th = F.xxhash64(F.col("doc_id").cast("long"), "text"), F.xxhash64("text")
+    linked = ngram_join.similar_groups(docs.select(key.alias("doc_id"), "text")).where(F.col("doc_id") != F.col("component_id"))
+    linked = linked.select(F.col("doc_id").alias("key__"), "component_id")
+    members = cut(linked.unionByName(linked.select(F.col("component_id").alias("key__"), "component_id")).distinct(), "near-members")
+    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").cast("long").alias("d"), th.alias("t"), key.alias("key__")).alias("place")
+    placed = members.join(docs.select(place).select("place", "place.key__"), "key__")
+    least = cut(placed.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.key__").alias("key__")), "near-kept")
+    gone = members.join(least, "key__", "left_anti").select("key__")
+    kept = docs.withColumn("key__", key).join(gone, "key__", "left_anti")
     return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 

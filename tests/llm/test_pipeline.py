@@ -89,3 +89,11 @@ def test_empty(spark):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_near_duplicates_with_shared_or_null_ids(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, words(0)), (2, words(0) + " end"), (2, words(1)), (None, words(2)), (None, words(2) + " end"), (3, words(3)), (3, words(3) + " end"), (None, words(3) + " last"), (4, words(4)), (4, words(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text.split()[0]) for r in p.ngram_jaccard(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, "w0x0"), (2, "w1x0"), (None, "w2x0"), (3, "w3x0"), (4, "w4x0")], key=str)
