@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset, as in tests, a
-    folder beside the warehouse."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset and all runs in one
+    process, as in tests, a folder beside the warehouse; a cluster without one is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
 
 

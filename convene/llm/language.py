@@ -5,30 +5,38 @@ share hash functions and are stored sliced: word i of the table holds bit i of e
 up an n-gram is the AND of a few words, which gives the set of all languages that have it as a bit
 mask. Counts of the mask's bits over a text, corrected for each filter's false-positive rate, decide.
 
-Learning takes a bounded sample, about `sample_docs` documents of each language by a hash of doc_id,
-and keeps the n-grams that are neither rare in a language nor far more frequent in another one (words
-of one language turn up in documents of others).
+Learning takes a bounded sample, at most `sample_docs` documents of each language by a hash of their
+row, and keeps the n-grams that are neither rare in a language nor far more frequent in another one
+(words of one language turn up in documents of others). An n-gram makes up `LEAST_SHARE` of a language's
+at least, so no more than 1 / `LEAST_SHARE` of a language reach the driver, whatever the texts' length;
+more than `MOST_LANGUAGES` values of lang are refused.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from convene.llm.common import lean_batches, mix, small_batches
+from convene.llm.common import cut, discard, lean_batches, mix, small_batches
 
 SAMPLE_DOCS = 2000
+MOST_LANGUAGES = 1000
+#: Rows are drawn by this many bits of a hash, so a sample is as large from 10^10 rows as from 10^4.
+DRAW_BITS = 62
 HASHES = 3
 #: Bits of a language's filter for each of the n-grams of the fullest language.
 BITS_PER_GRAM = 16
 LEAST_COUNT, LEAST_SHARE, OF_HIGHEST = 3, 1e-5, 0.25
+#: A text is in none of the languages if it knows fewer of its n-grams than this part of what all but
+#: one in `STRANGE` sample documents know at least.
+KNOWN_PART, STRANGE = 0.25, 100
 UNKNOWN = "und"
 
 
@@ -38,6 +46,7 @@ class Model:
     table: np.ndarray  # (bits, words of 64 languages), uint64
     false_positive: np.ndarray  # rate of each language's filter
     fallback: int  # the language with most documents
+    least_known: float = 0.0  # share of a text's n-grams that its language knows, at least
 
 
 @lru_cache(1)
@@ -79,17 +88,34 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.searchsorted(at[order], ends)
 
 
+def draw_limit(rows: int, wanted: int) -> int:
+    """A hash of DRAW_BITS bits under this is drawn, for twice the wanted number of rows."""
+    return min(1 << DRAW_BITS, (2 * wanted << DRAW_BITS) // max(1, rows) + 1)
+
+
+def sample_of(known: DataFrame, sample_docs: int, sizes: dict[str, int]) -> DataFrame:
+    """lang, text of at most `sample_docs` rows of each language: those with the least hashes of doc_id
+    and text. The draw leaves about twice as many for the ranking."""
+    limits = known.sparkSession.createDataFrame([(x, draw_limit(n, sample_docs)) for x, n in sizes.items()], "lang string, limit long")
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - DRAW_BITS)
+    few = known.join(F.broadcast(limits), "lang").withColumn("h", drawn).where(F.col("h") < F.col("limit"))  # MOST_LANGUAGES rows
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    return few.withColumn("place", place).where(F.col("place") <= sample_docs).select("lang", "text")
+
+
 def learn(docs: DataFrame, held_out: Column, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from text and non-null lang of docs (doc_id, text, lang) for which `held_out` is not
     true. No such document: a model without languages, which calls all texts unknown."""
-    known = lean_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = lean_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out, F.lit(False))).select("doc_id", "lang", "text")
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counted) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
+    sizes = {r.lang: r.n for r in counted}
     languages = tuple(sorted(sizes))
     if not languages:
         return Model((), np.zeros((1, 1), np.uint64), np.zeros(0), -1)
     number = {x: i for i, x in enumerate(languages)}
-    share = F.create_map(*(F.lit(y) for x in languages for y in (x, int(min(1.0, sample_docs / sizes[x]) * 1_000_000))))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    sample = cut(sample_of(known, sample_docs, sizes), "language-sample")
     schema = pa.schema([("lang", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +135,12 @@ def learn(docs: DataFrame, held_out: Column, sample_docs: int = SAMPLE_DOCS) ->
                 yield from flush()
         yield from flush()
 
-    found = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT).toPandas()
+    counts_ = cut(sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT), "language-grams")
+    totals = F.broadcast(counts_.groupBy("lang").agg(F.sum("n").alias("total")))  # a row for each language
+    found = counts_.join(totals, "lang").where(F.col("n") >= LEAST_SHARE * F.col("total")).select("lang", "gram", (F.col("n") / F.col("total")).alias("rate")).toPandas()
     found = found.sort_values(["gram", "lang"])
-    total = np.maximum(1, np.bincount(found["lang"], found["n"], len(languages)))
-    rate = found["n"].to_numpy() / total[found["lang"]]
-    highest = found.assign(rate=rate).groupby("gram")["rate"].transform("max").to_numpy()
-    kept = (rate >= LEAST_SHARE) & (rate >= OF_HIGHEST * highest)
+    highest = found.groupby("gram")["rate"].transform("max").to_numpy()
+    kept = found["rate"].to_numpy() >= OF_HIGHEST * highest
     gram, lang = found["gram"].to_numpy().view(np.uint64)[kept], found["lang"].to_numpy()[kept]
     most = int(max(1, np.bincount(lang, minlength=1).max(initial=1)))
     bits = 1 << (BITS_PER_GRAM * most - 1).bit_length()
@@ -122,7 +148,11 @@ def learn(docs: DataFrame, held_out: Column, sample_docs: int = SAMPLE_DOCS) ->
     for place in _places(gram, bits):
         np.bitwise_or.at(table, (place, lang // 64), np.uint64(1) << (lang % 64).astype(np.uint64))
     fill = np.array([((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
-    return Model(languages, table, fill**HASHES, max(range(len(languages)), key=lambda i: (sizes[languages[i]], -i)))
+    model = Model(languages, table, fill**HASHES, max(range(len(languages)), key=lambda i: (sizes[languages[i]], -i)))
+    # what texts of the languages know of themselves tells what texts of none do not
+    usual = predict(sample, model, ("lang",)).where((F.col("lang") == F.col("lang_pred")) & (F.col("score") > 0)).agg(F.percentile_approx("known", 1.0 / STRANGE, 10_000)).first()[0]
+    discard(sample, counts_)
+    return replace(model, least_known=KNOWN_PART * (usual or 0.0))
 
 
 def _places(gram: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -149,31 +179,39 @@ def counts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
 
 
 def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `carry`, lang_pred and score for every row of docs (text, and what is carried).
+    """The columns `carry`, lang_pred, score and known for every row of docs (text, and what is carried).
 
     Null texts and texts without a letter are `und` with score 0. The score grows from a half to one
     with the lead of the best language over the next; it is 0 where no language has an n-gram of the
-    text (the language with most documents is then the prediction). Ties go to the language that sorts
-    first. Repeated rows get repeated results, an empty table none; other columns are ignored."""
-    carry = tuple(c for c in carry if c not in ("lang_pred", "score"))
+    text (the language with most documents is then the prediction). `known` is the share of the text's
+    n-grams that the predicted language has. Ties go to the language that sorts first. Texts of any
+    length are counted whole. Repeated rows get repeated results, an empty table none; other columns are
+    ignored, and carried ones with a result's name are refused."""
+    results = {"lang_pred": "string", "score": "double", "known": "double"}
+    if clash := sorted(set(carry) & set(results)):
+        raise ValueError(f"rename these columns before they are carried: {', '.join(clash)}")
     given = lean_batches(docs).select(*carry, *(() if "text" in carry else ("text",)))
-    schema = to_arrow_schema(given.select(*carry).schema).append(pa.field("lang_pred", pa.string())).append(pa.field("score", pa.float64()))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the learning sample
+    out, schema = given.select(*carry).schema, to_arrow_schema(given.select(*carry).schema)
+    for name, kind in results.items():
+        out, schema = out.add(name, kind), schema.append(pa.field(name, pa.string() if kind == "string" else pa.float64()))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_LANGUAGES filters of 1 / LEAST_SHARE n-grams at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in small_batches(batches, "text"):
             texts = batch.column("text").to_pylist()
+            zero = np.zeros(len(texts))
             if not m.languages:
-                best, score, has = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
+                best, score, has, share = zero.astype(int), zero, zero.astype(bool), zero
             else:
                 hits, n = counts(m, texts)
                 has = n > 0
                 best = np.where(hits.max(1) > 0, hits.argmax(1), m.fallback)
                 top = hits.max(1)
-                second = np.sort(hits, 1)[:, -2] if hits.shape[1] > 1 else np.zeros(len(texts))
-                score = np.where(top > 0, 0.5 + 0.5 * (top - second) / np.maximum(top, 1e-9), 0.0)
+                second = np.sort(hits, 1)[:, -2] if hits.shape[1] > 1 else zero
+                score = np.where(has & (top > 0), 0.5 + 0.5 * (top - second) / np.maximum(top, 1e-9), 0.0)
+                share = top / np.maximum(n, 1)
             names = [m.languages[b] if ok else UNKNOWN for b, ok in zip(best, has)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(score), pa.array(share)], schema=schema)
 
-    return given.mapInArrow(run, given.select(*carry).schema.add("lang_pred", "string").add("score", "double"))
+    return given.mapInArrow(run, out)
