@@ -86,6 +86,7 @@ class Packet:
     keyframe: bool
     lacing: int
     cluster: int
+    duration: int | None = None  # in the segment's scale, where the file says it
 
 
 @dataclass
@@ -135,27 +136,43 @@ def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
 
 def parse(data: bytes) -> Media:
     """The packet table of a file. Offsets are from the start of the file; timestamps are in the
-    segment's scale. Unknown elements are skipped."""
+    segment's scale. Unknown elements are skipped. What a block group says of its block (references,
+    duration) counts when the group ends, in whatever order it stands there."""
     media = Media()
-    stack: list[list] = []  # [id, end (None: unknown), state]
+    stack: list[list] = []  # [id, end (None: unknown)]
     at, cluster_time, segment_start = 0, 0, 0
     duration: dict[int, int] = {}
     track: dict[int, object] = {}
     cue: dict[int, int] = {}
+    group: dict[int, int] = {}  # fields of the open block group
+    first = 0  # its first packet
+
+    def close(done: int) -> None:
+        if done == TRACK_ENTRY:
+            number = int(track.get(TRACK_NUMBER, 0))
+            media.tracks[number] = str(track.get(CODEC_ID, ""))
+            duration[number] = int(track.get(DEFAULT_DURATION, 0))
+        elif done == CUE_POINT:
+            media.cues.append((cue.get(CUE_TIME, 0), cue.get(CUE_TRACK, 0), cue.get(CUE_CLUSTER_POSITION, 0) + segment_start))
+        elif done == BLOCK_GROUP:
+            frames = media.packets[first:]
+            whole, begin = group.get(BLOCK_DURATION), frames[0].timestamp if frames else 0
+            for k, p in enumerate(frames):
+                p.keyframe = REFERENCE_BLOCK not in group
+                if whole is not None:  # a lace's frames share the block's duration
+                    p.timestamp = begin + whole * k // len(frames)
+                    p.duration = begin + whole * (k + 1) // len(frames) - p.timestamp
+
     while True:
         while stack and stack[-1][1] is not None and at >= stack[-1][1]:
-            done = stack.pop()[0]
-            if done == TRACK_ENTRY:
-                number = int(track.get(TRACK_NUMBER, 0))
-                media.tracks[number] = str(track.get(CODEC_ID, ""))
-                duration[number] = int(track.get(DEFAULT_DURATION, 0))
-            elif done == CUE_POINT:
-                media.cues.append((cue.get(CUE_TIME, 0), cue.get(CUE_TRACK, 0), cue.get(CUE_CLUSTER_POSITION, 0) + segment_start))
+            close(stack.pop()[0])
         if at >= len(data):
+            while stack:
+                close(stack.pop()[0])
             return media
         ident, start = read_id(data, at)
         while stack and stack[-1][1] is None and ident in _MASTERS.get(stack[-1][0], ()):
-            stack.pop()
+            close(stack.pop()[0])
         size, start = read_size(data, start)
         if size is None and ident not in _MASTERS:
             raise Malformed(f"unknown size of element {ident:x}")
@@ -174,6 +191,8 @@ def parse(data: bytes) -> Media:
                 track = {}
             elif ident == CUE_POINT:
                 cue = {}
+            elif ident == BLOCK_GROUP:
+                group, first = {}, len(media.packets)
             at = start
             continue
         if ident in (SIMPLE_BLOCK, BLOCK):
@@ -185,16 +204,12 @@ def parse(data: bytes) -> Media:
             sizes, frame = lace_sizes(data, body + 3, end, lacing)
             step = duration.get(number, 0) / media.timestamp_scale
             for k, length in enumerate(sizes):
-                media.packets.append(Packet(number, cluster_time + relative + round(k * step), frame, length, bool(flags & 128) or ident == BLOCK, lacing, media.clusters - 1))
+                media.packets.append(Packet(number, cluster_time + relative + round(k * step), frame, length, bool(flags & 128), lacing, media.clusters - 1, round((k + 1) * step) - round(k * step) if step else None))
                 frame += length
         elif ident == CLUSTER_TIMESTAMP:
             cluster_time = int.from_bytes(data[start:end], "big")
-        elif ident == REFERENCE_BLOCK and media.packets:
-            last = media.packets[-1]
-            for p in reversed(media.packets):
-                if (p.cluster, p.track) != (last.cluster, last.track) or p.timestamp < last.timestamp and p.lacing == NO_LACING:
-                    break
-                p.keyframe = False
+        elif ident in (REFERENCE_BLOCK, BLOCK_DURATION):
+            group[ident] = int.from_bytes(data[start:end], "big")
         elif ident == DOC_TYPE:
             media.doc_type = data[start:end].decode("ascii", "replace").rstrip("\0")
         elif ident == TIMESTAMP_SCALE:
@@ -289,14 +304,15 @@ def pa_schema(df: DataFrame, columns: list[str]) -> pa.Schema:
     return to_arrow_schema(df.select(*columns).schema)
 
 
-_PACKETS = "packet int, track int, timestamp_ms double, offset long, size long, keyframe boolean, lacing int, cluster int, cued boolean"
+_PACKETS = "packet int, track int, timestamp_ms double, duration_ms double, offset long, size long, keyframe boolean, lacing int, cluster int, cued boolean"
 
 
 def packets(df: DataFrame, key: str, media: str = "media") -> DataFrame:
-    """One row for each packet of each file: key, its number in the file, track, timestamp, byte
-    range, key frame flag, lacing, cluster, and whether a cue points at its cluster. A null or empty
-    file has none; a file that is not well formed gives one row with only the key."""
-    kinds = ["int32", "int32", "float64", "int64", "int64", "bool", "int32", "int32", "bool"]
+    """One row for each packet of each file: key, its number in the file, track, timestamp, duration
+    (null where the file says none), byte range, key frame flag, lacing, cluster, and whether a cue points
+    at its cluster. Packets of one timestamp keep the file's order. A null or empty file has none; a file
+    that is not well formed gives one row with only the key; repeated rows give repeated packets."""
+    kinds = ["int32", "int32", "float64", "float64", "int64", "int64", "bool", "int32", "int32", "bool"]
     key_type = pa_schema(df, [key]).field(0)
     schema = pa.schema([key_type, *(pa.field(c.split()[0], pa.type_for_alias(k)) for c, k in zip(_PACKETS.split(", "), kinds))])
 
@@ -312,7 +328,7 @@ def packets(df: DataFrame, key: str, media: str = "media") -> DataFrame:
                 first: dict[int, int] = {}
                 for p in found.packets:
                     first.setdefault(p.cluster, p.timestamp)
-                rows = [(k, i, p.track, p.timestamp * scale, p.offset, p.size, p.keyframe, p.lacing, p.cluster, first[p.cluster] in cued) for i, p in enumerate(found.packets)]
+                rows = [(k, i, p.track, p.timestamp * scale, None if p.duration is None else p.duration * scale, p.offset, p.size, p.keyframe, p.lacing, p.cluster, first[p.cluster] in cued) for i, p in enumerate(found.packets)]
                 for i in range(0, len(rows), 8192):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 8192]), schema)], schema=schema)
 
@@ -333,8 +349,8 @@ def feature(data: bytes, media: Media) -> str:
 
 def digests(docs: DataFrame) -> DataFrame:
     """Store each document's text (doc_id, text; null: empty) as a Matroska file, read the stored
-    bytes back through the packet table, and digest both. Repeated rows give repeated results; other
-    columns are ignored; an empty table gives no row."""
+    bytes back through the packet table, and digest both. Texts of any length are stored whole; equal
+    texts, and repeated rows, get equal values; other columns are ignored; an empty table gives no row."""
 
     def row(doc_id: int | None, text: str | None) -> tuple:
         n = len((text or "").encode("utf-8", "surrogatepass"))

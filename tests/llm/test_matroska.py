@@ -79,3 +79,84 @@ def test_packet_table(spark):
     assert sum(r.doc_id == 2 for r in rows) == 2
     broken = spark.createDataFrame([(7, b"\0bad")], "doc_id long, media binary")
     assert [tuple(r)[:2] for r in m.packets(broken, "doc_id").collect()] == [(7, None)]
+
+
+def walk(data, at, end):
+    """(id, start, end) of the elements in a byte range, by nothing of the module's: sizes are known."""
+    while at < end:
+        width = next(n for n in range(1, 5) if data[at] >> (8 - n) == 1)
+        ident, at = int.from_bytes(data[at : at + width], "big"), at + width
+        width = next(n for n in range(1, 9) if data[at] >> (8 - n) == 1)
+        size, at = int.from_bytes(data[at : at + width], "big") - (1 << 7 * width), at + width
+        yield ident, at, at + size
+        at += size
+
+
+def decoded(data):
+    """Frames in order, by a second decoder: (cluster's and block's time, offset, bytes)."""
+    out = []
+    for ident, a, b in walk(data, 0, len(data)):
+        for inner, c, d in walk(data, a, b) if ident == 0x18538067 else ():
+            if inner != 0x1F43B675:
+                continue
+            parts = list(walk(data, c, d))
+            time = next(int.from_bytes(data[x:y], "big") for i, x, y in parts if i == 0xE7)
+            for i, x, y in parts:
+                if i != 0xA3:
+                    continue
+                when, kind, at = time + int.from_bytes(data[x + 1 : x + 3], "big", signed=True), data[x + 3] & 6, x + 4
+                sizes = []
+                if kind:
+                    n, at = data[at] + 1, at + 1
+                    for k in range(n - 1 if kind != 4 else 0):
+                        if kind == 2:
+                            size = 0
+                            while data[at] == 255:
+                                size, at = size + 255, at + 1
+                            size, at = size + data[at], at + 1
+                        else:
+                            width = 9 - data[at].bit_length()
+                            raw = int.from_bytes(data[at : at + width], "big") - (1 << 7 * width)
+                            size, at = (raw if not k else sizes[-1] + raw - (1 << 7 * width - 1) + 1), at + width
+                        sizes.append(size)
+                    sizes = [(y - at) // n] * n if kind == 4 else [*sizes, y - at - sum(sizes)]
+                for size in sizes or [y - at]:
+                    out.append((when, at, data[at : at + size]))
+                    at += size
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 576, 577, 5000, 576 * 8 * 32 - 1, 576 * 8 * 32 * 4 + 9])
+def test_files_by_a_second_decoder(n):
+    text = "".join(random.Random(n).choices("ab é", k=n))
+    raw, stored = m.payload_of(text), m.mux(m.payload_of(text))
+    frames, got = decoded(stored), m.parse(stored)
+    assert b"".join(f for _, _, f in frames) == raw and all(len(f) == 576 for _, _, f in frames)
+    assert [(p.offset, p.size) for p in got.packets] == [(at, len(f)) for _, at, f in frames]
+    assert [p.timestamp for p in got.packets][::8] == [t for t, _, _ in frames][::8]  # a block's first frame has its time
+    table = ";".join(f"1,{p.timestamp},{at},{len(f)},1,{p.lacing}" for p, (_, at, f) in zip(got.packets, frames))
+    clusters = len({p.cluster for p in got.packets})
+    assert m.feature(stored, got) == f"tracks=1 packets={len(frames)} clusters={clusters} cues={clusters} last={got.packets[-1].timestamp} table={zlib.crc32(table.encode()):08x}"
+
+
+def _segment(*body):
+    cluster = m.element(m.CLUSTER, m.uint(m.CLUSTER_TIMESTAMP, 100) + b"".join(body))
+    return m._HEAD + m.element(m.SEGMENT, m.element(m.TRACKS, m.element(m.TRACK_ENTRY, m.uint(m.TRACK_NUMBER, 1))) + cluster)
+
+
+def test_block_groups():
+    laced = m.element(m.SIMPLE_BLOCK, b"\x81\x00\x00" + bytes([128 | m.XIPH << 1]) + m.lace([b"a", b"bb"], m.XIPH))
+    block = m.element(m.BLOCK, b"\x81\x00\x0a\x00ccc")
+    reference, lasting = m.element(m.REFERENCE_BLOCK, b"\xff"), m.uint(m.BLOCK_DURATION, 7)
+    for inside in (block + reference + lasting, reference + lasting + block, lasting + block + reference):
+        got = m.parse(_segment(laced, m.element(m.BLOCK_GROUP, inside), laced)).packets
+        assert [(p.timestamp, p.keyframe, p.duration) for p in got] == [(100, True, None)] * 2 + [(110, False, 7)] + [(100, True, None)] * 2
+    three = m.element(m.BLOCK, b"\x81\x00\x0a" + bytes([m.XIPH << 1]) + m.lace([b"c", b"d", b"e"], m.XIPH))
+    got = m.parse(_segment(m.element(m.BLOCK_GROUP, reference + block), m.element(m.BLOCK_GROUP, m.uint(m.BLOCK_DURATION, 8) + three))).packets
+    assert [(p.timestamp, p.keyframe, p.duration) for p in got] == [(110, False, None), (110, True, 2), (112, True, 3), (115, True, 3)]
+
+
+def test_very_long_text(spark):
+    text = "long " * 1_000_000
+    row = m.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.payload_sha256 == hashlib.sha256(m.payload_of(text)).hexdigest()
