@@ -123,11 +123,22 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def near_buckets(rows: DataFrame, column: Column, wanted: DataFrame, bits: int) -> DataFrame:
-    """Rows whose `column` (a bigint) shares a hash bucket with a value in the one-column frame
-    `wanted`: all that are wanted, and few others while the map of buckets is sparse. The map has a
-    fixed size, bits / 64 rows of two numbers, so it can be broadcast whatever the input."""
-    bucket = F.pmod(F.xxhash64(F.col(wanted.columns[0])), F.lit(bits))
+#: Bits of the largest map of buckets that is broadcast: 64 of them a row of two numbers, 2^19 rows at most.
+MOST_MAP_BITS = 1 << 25
+
+
+def near_buckets(rows: DataFrame, column: Column, wanted: DataFrame, most_bits: int = MOST_MAP_BITS) -> DataFrame:
+    """Rows whose `column` (a bigint) may be a value of the one-column table `wanted`: all that are, and
+    about one in 16 others. A map of hash buckets, 16 bits for each wanted value, is broadcast as long as
+    it stays under `most_bits`; beyond that both sides meet in a shuffled semi join, which lets no other
+    row through."""
+    name, bits = wanted.columns[0], 1 << 14
+    count = wanted.count()
+    while bits < 16 * count:
+        bits *= 2
+    if bits > most_bits:
+        return rows.join(wanted.select(F.col(name).alias("near__")).distinct(), column == F.col("near__"), "left_semi")
+    bucket = F.pmod(F.xxhash64(F.col(name)), F.lit(bits))
     words = wanted.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("w__")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits__"))
     own = F.pmod(F.xxhash64(column), F.lit(bits))
     joined = rows.join(F.broadcast(words), F.shiftright(own, 6) == F.col("w__"))
