@@ -7,7 +7,9 @@ fits better. A logistic fit on labelled texts that trained no dictionary turns i
 and the compressed share, into a probability.
 
 The fit uses a bounded sample of labelled rows: at most `dictionary_docs` for each label and dictionary,
-and `calibration_docs` for each label, taken by a hash of doc_id. Everything else reads all rows.
+and `calibration_docs` for each label, taken by a hash of doc_id; of rows that share a doc_id, the one
+with the least text hash. A dictionary's documents give `DICTIONARY_BLOCKS` blocks each, which are cut on
+the executors. Everything else reads all rows.
 """
 
 from __future__ import annotations
@@ -71,13 +73,15 @@ def _feature_rows(dictionaries: tuple[bytes, bytes], texts: list[str | None]) ->
     return np.array([features(dictionaries, (t or "").encode("utf-8", "surrogatepass")) for t in texts]).reshape(-1, 3)
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    blocks = []
-    for t in texts:
-        raw = t.encode("utf-8", "surrogatepass")
-        starts = range(0, len(raw), BLOCK)
-        step = max(1, -(-len(starts) // DICTIONARY_BLOCKS))
-        blocks += [raw[i : i + BLOCK] for i in starts[::step]]
+def sample_blocks(text: str) -> list[bytes]:
+    """The blocks that a text gives to a dictionary."""
+    raw = text.encode("utf-8", "surrogatepass")
+    starts = range(0, len(raw), BLOCK)
+    return [raw[i : i + BLOCK] for i in starts[:: max(1, -(-len(starts) // DICTIONARY_BLOCKS))]]
+
+
+def _dictionary(samples: list[list[bytes]]) -> bytes:
+    blocks = [b for s in sorted(samples) for b in s]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, blocks).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: the samples are the dictionary
@@ -106,19 +110,26 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, dictionary_docs: i
         some = known.where(F.col("quality") == label).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(dictionary_docs + calibration_docs)
         ids = some if ids is None else ids.unionByName(some)
     chosen = ids.select("doc_id", F.col("quality").alias("label"), (F.pmod(F.xxhash64("h"), F.lit(dictionary_docs + calibration_docs)) < dictionary_docs).alias("train"))
-    # at most 2 * (dictionary_docs + calibration_docs) ids are broadcast
-    rows = lean_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # at most 2 * (dictionary_docs + calibration_docs) ids are broadcast, and as many texts are left
+    held = lean_batches(docs).select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id")
+    rows = held.groupBy("doc_id").agg(F.min_by(F.struct("text", "label", "train"), F.xxhash64("text")).alias("r")).select("r.*")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [sample_blocks(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.list_(pa.binary())), batch.column(1)], names=["blocks", "label"])
+
     samples = {0: [], 1: []}
-    for r in rows.where(F.col("train") & (F.length("text") > 0)).select("label", "text").toLocalIterator():
-        samples[r.label].append(r.text)
-    dictionaries = (_dictionary(sorted(samples[0])), _dictionary(sorted(samples[1])))
+    for r in rows.where("train").select("text", F.col("label").cast("int")).mapInArrow(blocks, "blocks array<binary>, label int").toLocalIterator():
+        samples[r.label].append([bytes(b) for b in r.blocks])
+    dictionaries = (_dictionary(samples[0]), _dictionary(samples[1]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = _feature_rows(dictionaries, batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*(pa.array(f[:, k]) for k in range(3)), batch.column(1)], names=["a", "b", "c", "label"])
 
-    got = rows.where(~F.col("train") & (F.length("text") > 0)).select("text", F.col("label").cast("int")).mapInArrow(measure, "a double, b double, c double, label int").collect()
+    got = rows.where(~F.col("train")).select("text", F.col("label").cast("int")).mapInArrow(measure, "a double, b double, c double, label int").collect()
     x, y = np.array([r[:3] for r in got]).reshape(-1, 3), np.array([r.label for r in got], float)
     order = np.lexsort((y, *x.T))
     if len(set(y)) < 2:  # nothing to tell apart: the share of label 1, smoothed
@@ -128,8 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, dictionary_docs: i
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score and predicted for every row of docs (doc_id, text). A null text scores as an
-    empty one; repeated rows score alike; other columns are ignored; an empty table gives no row."""
+    """doc_id, score, predicted and size_difference for every row of docs (doc_id, text). Texts of any
+    length are compressed whole, block by block. A null text scores as an empty one; repeated rows, and
+    equal texts, score alike; other columns are ignored; an empty table gives no row."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("size_difference", pa.float64())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of 112 KB at most
 
