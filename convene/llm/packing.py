@@ -6,8 +6,9 @@ each bin's room, every inner node the larger of its two; the first bin with enou
 one descent. First-fit leaves some room, so the emptiest bins are then dissolved, their ids cut to
 fill the others' gaps: at most one sequence of a group is not full.
 
-Groups are independent tasks of about `group_docs` documents, drawn by a hash of the document's id
-and its place in the input split, so repeated rows or ids do not gather in one group.
+Groups are independent tasks of about `group_docs` documents, drawn by a hash of the document's id, its
+ids, the input split, and a number that tells rows alike in a split apart. So copies don't gather in one
+group, and a task that runs again, its rows in whatever order, sends them where they went before.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from convene.llm.common import lean_batches, mix
 
@@ -44,6 +45,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path} has more than 65,536 ids, which are kept in 16 bits")
         specials = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         byte = _bytes_by_letter()
         ranks = {bytes(byte[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if token not in specials}
@@ -135,7 +138,7 @@ def pack(sizes: list[int], length: int) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-_TOKENS = "grp long, doc_id long, doc_tokens long, crcs array<long>, rest binary"
+_TOKENS = "grp long, doc_id long, doc_tokens long, whole_crc long, crcs array<long>, rest binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECE_SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in _PIECES.split(", ")])
 
@@ -148,30 +151,37 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | Callable[[], str], len
     """Pieces of documents (doc_id, text) packed into sequences of at most `length` ids.
 
     tokenizer_path: a byte-level tokenizer's file, or a function that names it on each executor.
-    Null and empty texts are the end id alone. Every row is packed by itself, repeated ids included;
-    an empty table gives no row; other columns are ignored.
+    Null and empty texts are the end id alone; texts of any length are encoded whole. Every row is packed
+    by itself, repeated ids included; documents of equal length go by doc_id and ids; an empty table gives
+    no row; other columns are ignored.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     groups = max(1, -(-docs.count() // group_docs))
-    schema = pa.schema([("grp", pa.int64()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("rest", pa.binary())])
+    schema = pa.schema([("grp", pa.int64()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("whole_crc", pa.int64()), ("crcs", pa.list_(pa.int64())), ("rest", pa.binary())])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, row = tokenizer_path() if callable(tokenizer_path) else tokenizer_path, 0
+        path = tokenizer_path() if callable(tokenizer_path) else tokenizer_path
+        alike: dict[int, int] = {}
+        split = TaskContext.get().partitionId()
         end = np.array([end_id], "<u2").tobytes()
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
                 ids = [x + end for x in encode(path, [t or "" for t in batch.column("text").to_pylist()])]
                 doc = batch.column("doc_id").to_pylist()
-                key = np.array([(x or 0) & 0xFFFFFFFFFFFFFFFF for x in doc], np.uint64)
-                place = np.arange(row, row + len(doc), dtype=np.uint64)
-                row += len(doc)
+                whole_crc = [zlib.crc32(x) for x in ids]
+                key = mix(mix(np.array([(x or 0) & 0xFFFFFFFFFFFFFFFF for x in doc], np.uint64)) ^ np.array([c << 32 | len(x) & 0xFFFFFFFF for c, x in zip(whole_crc, ids)], np.uint64))
+                copy = np.zeros(len(doc), np.uint64)
+                for i, h in enumerate(key.tolist()):
+                    copy[i] = alike[h] = alike.get(h, -1) + 1
+                place = mix(copy << np.uint64(32) | np.uint64(split))
                 cuts = [2 * length * (len(x) // (2 * length)) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((mix(mix(key) ^ place) % np.uint64(groups)).astype(np.int64)),
+                        pa.array((mix(key ^ place) % np.uint64(groups)).astype(np.int64)),
                         pa.array(doc, pa.int64()),
                         pa.array([len(x) // 2 for x in ids], pa.int64()),
+                        pa.array(whole_crc, pa.int64()),
                         pa.array([[_crc(x[i : i + 2 * length]) for i in range(0, c, 2 * length)] for x, c in zip(ids, cuts)], pa.list_(pa.int64())),
                         pa.array([x[c:] for x, c in zip(ids, cuts)], pa.binary()),
                     ],
@@ -179,7 +189,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | Callable[[], str], len
                 )
 
     def packed(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending")])
+        group = group.sort_by([(c, "ascending") for c in ("doc_id", "doc_tokens", "whole_crc", "rest")])
         g = group.column("grp")[0].as_py()
         doc, n, crcs, rest = (group.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "crcs", "rest"))
         rows, sequence = [], g << 32
@@ -198,8 +208,3 @@ def public_byte_bpe() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
-
-
-def packing_by_sequence(pieces: DataFrame) -> DataFrame:
-    """Each sequence's ids and pieces, for a look at how full they are."""
-    return pieces.groupBy("sequence_id").agg(F.sum("length").alias("n_ids"), F.count("*").alias("n_pieces"))

@@ -76,3 +76,34 @@ def test_documents_round_trip(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert packing.pack_documents(df, packing.public_byte_bpe).count() == 0
+
+
+def test_placement_by_naive_first_fit():
+    """The tree's first bin with room is the one that a plain search from the left finds."""
+    rng = random.Random(4)
+    for _ in range(200):
+        n, length = rng.randint(1, 60), rng.choice([10, 100, 1024])
+        sizes = sorted((rng.randint(1, length) for _ in range(n)), reverse=True)
+        room, tree = [length] * n, packing.RoomTree(n, length)
+        for size in sizes:
+            want = next(b for b in range(n) if room[b] >= size)
+            room[want] -= size
+            assert tree.take(size) == want
+
+
+def test_equal_rows_in_any_order(spark):
+    """A task that runs again with its rows in another order deals them out alike."""
+    rows = [(i % 40, f"text {i % 40} " * (i % 7), None) for i in range(400)] + [(1, "copy", None)] * 300
+    key = lambda df: sorted(tuple(r) for r in packing.pack_documents(df, packing.public_byte_bpe, group_docs=50).collect())
+    one = key(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    random.Random(5).shuffle(rows)
+    assert key(spark.createDataFrame(rows, SCHEMA).coalesce(1)) == one
+
+
+def test_large_vocabularies_are_refused(tmp_path):
+    from tokenizers.models import BPE
+
+    path = str(tmp_path / "large.json")
+    Tokenizer(BPE({f"t{i}": i for i in range(70_000)}, [])).save(path)
+    with pytest.raises(ValueError, match="65,536"):
+        packing.Encoder(path)
