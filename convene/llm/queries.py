@@ -71,17 +71,16 @@ ORACLES: dict[str, str] = {
     "op4_lines": templates.SQL,
     "op5_neighbours": """
         WITH v AS (
-            SELECT vec_id, min(embedding) AS embedding FROM embeddings
+            SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
             WHERE vec_id IS NOT NULL AND len(embedding) > 0
               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
               AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-            GROUP BY vec_id
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.embedding) = len(c.embedding)
+            SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+            FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e)
             WHERE q.vec_id % 20 = 0
         )
-        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 20
     """,
 }
