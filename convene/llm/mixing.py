@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from convene.llm.common import cut, discard, spaced
 
 FAN = 64
+#: Copies of one row that one task makes.
+COPIES = 4096
 #: Sources (a name and two numbers each) that are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -36,23 +38,32 @@ def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[i
     """(source, source_size, target) from (source, source_size): `share` times all words dealt by weight,
     no source above `most` times its own.
 
-    Sources that reach their limit do so in the order of limit over weight: with the sources before one
-    at their limits, and the rest sharing what is left by weight, a level is found; a source is at its
-    limit if its own ratio is no more than the level. This is one pass over the sources, in windows."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place = F.row_number().over(order) - 1
+    Sources are numbered in code-point order, null last, by the parts of a sort: a number in each part,
+    and what the parts before it hold. Then a level is raised until it rests: at a level, a source gets
+    its weight times the level or its limit, and what the full ones leave is shared by the weights of the
+    others. The level never falls, and each step fills a source or is the last. No step needs the sources
+    in one task."""
+    parts = sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    ordered = sizes.repartitionByRange(int(parts), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    ordered = cut(ordered, "mix-ordered")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over parts, not sources
+    offsets = ordered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("offset")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place % len(weights) + 1).cast("int"))
-    with_weight = sizes.withColumn("weight", weight).withColumn("limit", most * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    levelled = with_weight.withColumn("level", level).withColumn("place", F.row_number().over(by_ratio)).withColumn("full", F.col("limit") / F.col("weight") <= F.col("level"))
-    # the first source that is not full sets the level of all that follow
-    final = F.min(F.when(~F.col("full"), F.struct("place", "level"))).over(everything)["level"]
-    target = F.least(F.col("limit"), F.coalesce(F.col("weight") * final, F.col("limit")))
-    return levelled.select("source", "source_size", target.alias("target"))
+    weighted = ordered.join(F.broadcast(offsets), "part").select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("limit"))
+    weighted = cut(weighted, "mix-weights")
+    total = weighted.agg(F.sum("source_size")).first()[0] or 0
+    level, full = 0.0, -1
+    while True:
+        over = F.col("limit") <= F.col("weight") * level
+        row = weighted.agg(F.coalesce(F.sum(F.when(over, F.col("limit"))), F.lit(0.0)).alias("spent"), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)).alias("open"), F.count(F.when(over, 1)).alias("full")).first()
+        if row.full == full or not row.open:
+            break
+        level, full = max(level, (share * total - row.spent) / row.open), row.full
+    target = F.col("limit") if not row.open else F.least(F.col("limit"), F.col("weight") * level)
+    out = cut(weighted.select("source", "source_size", target.alias("target")), "mix-targets")
+    discard(ordered, weighted)
+    return out
 
 
 def _uniform(seed: int, *columns: str | Column) -> Column:
@@ -108,8 +119,13 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))
     # repeated rows are told apart by number
     sized = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "mix-sizes")
-    each = sized.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("salt", F.xxhash64("th", "copy")).drop("copy", "n")
-    sources = cut(source_targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, most, weights), "mix-sources")
+    # many copies of one row are dealt to tasks in parts
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))).alias("chunk")
+    many = sized.where(F.col("n") > COPIES).select("*", chunk).repartition("doc_id", "th", "chunk")
+    dealt = sized.where(F.col("n") <= COPIES).withColumn("chunk", F.lit(0).cast("long")).unionByName(many)
+    copies = F.sequence(F.col("chunk") * COPIES + 1, F.least(F.col("n"), (F.col("chunk") + 1) * COPIES))
+    each = dealt.withColumn("copy", F.explode(copies)).withColumn("salt", F.xxhash64("th", "copy")).drop("copy", "n", "chunk")
+    sources = source_targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, most, weights)
     joined = _with_source(each, sources)
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(times + 1e-12)
@@ -119,7 +135,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     taken = lambda part: (F.col("whole") * F.col("size") + F.round(part)).cast("long").alias("taken")
     columns = ["doc_id", "th", "size", "source_size", "target"]
     done = [planned.where(F.col("part") <= 0).select(*columns, taken(F.lit(0.0)))]
-    todo = planned.where(F.col("part") > 0)
+    todo, levels = planned.where(F.col("part") > 0), [planned]
     fields = ["doc_id", "th", "source", "size", "source_size", "target", "whole", "part", "salt"]
     level = 0
     while True:
@@ -131,24 +147,29 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
         folded = grouped.groupBy("source", "grp").agg(_fold(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), F.lit(-level), "doc_id", "salt").alias("k"), *fields)))).alias("r"))
         folded = cut(folded.select("r.decided", "r.open"), f"mix-level{level}")
         discard(groups)
+        levels.append(folded)
         done.append(folded.select(F.explode("decided").alias("d")).select("d.*").select(*columns, taken(F.col("part"))))
         todo = folded.select("open.*")
     done.append(todo.select(*columns, taken(F.col("part"))))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
+    out = cut(out, "mix-taken")
+    discard(groups, *levels)
     return out
 
 
 def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mixture itself: rows of docs repeated as mix() decided, columns as they are. A part of a copy
-    is a row whose text is the document's first words, parted by spaces. Rows that share doc_id and text
-    share what they take evenly."""
-    plan = mixed.where(F.col("taken") > 0).groupBy("doc_id", "th").agg(F.first("size").alias("size__"), F.expr("sum(taken) div count(*)").alias("taken__"))
-    plan = plan.select(F.col("doc_id").alias("id__"), F.col("th").alias("th__"), "size__", "taken__")
-    joined = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("id__")) & (F.xxhash64("text") == F.col("th__")))
-    rest = F.col("taken__") % F.col("size__")
-    words = _words(F.col("text"))
-    parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.expr("cast(taken__ div size__ as int)")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    text = F.when(F.col("part__") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("part__"), F.lit(0)).cast("int")), " "))
-    return joined.withColumn("part__", F.explode(parts)).withColumn("text", text).select(*docs.columns)
+    """The mixture itself: rows of docs repeated as mix() decided, columns as they are, whatever their
+    names. A part of a copy is a row whose text is the document's first words, parted by spaces. Rows that
+    share doc_id and text share what they take evenly. No row taken: an empty table."""
+    plan = mixed.where(F.col("taken") > 0).groupBy("doc_id", "th").agg(F.first("size").alias("size"), F.expr("sum(taken) div count(*)").alias("taken"))
+    plan = plan.select(F.struct("*").alias("plan"))
+    rows = docs.select(F.struct("*").alias("row"))
+    joined = rows.join(plan, F.col("row.doc_id").cast("long").eqNullSafe(F.col("plan.doc_id")) & (F.xxhash64("row.text") == F.col("plan.th")))
+    rest = F.col("plan.taken") % F.col("plan.size")
+    parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.expr("cast(plan.taken div plan.size as int)")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    each = joined.select("row", F.explode(parts).alias("part"))
+    words = F.slice(_words(F.col("row.text")), F.lit(1), F.greatest(F.col("part"), F.lit(0)).cast("int"))
+    text = F.when(F.col("part") < 0, F.col("row.text")).otherwise(F.array_join(words, " ")).alias("text")
+    return each.select(*(text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -3,7 +3,9 @@ import re
 
 import pytest
 
-from convene.llm import mixing
+from pyspark.sql import DataFrame, GroupedData
+
+from convene.llm import mixing, queries, templates
 
 SCHEMA = "doc_id long, text string, source string, size string"
 
@@ -71,3 +73,52 @@ def test_empty_and_wordless(spark):
     df = spark.createDataFrame([(1, "", "a", ""), (2, None, None, "")], SCHEMA)
     assert mixing.mix(df.limit(0)).count() == 0
     assert sorted((r.doc_id, r.size, r.taken) for r in mixing.mix(df).collect()) == [(1, 0, 0), (2, 0, 0)]
+
+
+@pytest.mark.parametrize("n", [1, 3, 50, 900])
+def test_targets_of_many_sources(spark, n):
+    rng = random.Random(n)
+    sizes = {(None if i == 5 else f"{'é' if i % 3 else 'a'}{i:03d}"): rng.choice([0, 1, 7, 1000, 10**6, 10**9]) for i in range(n)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    got = {r.source: r.target for r in mixing.source_targets(df, 1.5, 2.0, (3, 1, 2)).collect()}
+    want = targets(sizes)
+    assert got.keys() == want.keys()
+    assert all(abs(got[s] - want[s]) <= 1e-9 * max(1, want[s]) for s in want)
+
+
+def test_many_copies_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    df = spark.createDataFrame([(1, "a b c", "s", "")] * 333 + [(2, "d", "t", "")], SCHEMA)
+    got = mixing.mix(df, fan=8).collect()
+    assert sorted(r.doc_id for r in got) == [1] * 333 + [2]
+    assert abs(sum(r.taken for r in got) - 1500) <= 2
+
+
+def test_taken_rows_keep_their_columns(spark):
+    names = ["id__", "th__", "size__", "taken__", "part__", "row", "plan"]
+    docs = spark.createDataFrame([(i, f"w{i} x y z", "a", *range(7)) for i in range(30)], "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in names))
+    mixed = mixing.mix(docs)
+    got = mixing.take(docs, mixed)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert all(tuple(r)[3:] == tuple(range(7)) for r in rows)
+    assert sum(len(r.text.split()) for r in rows) == sum(r.taken for r in mixed.collect()) == 180
+
+
+def test_native_in_all_jobs(spark, monkeypatch):
+    """No step of the two native operators, written in between or not, goes through Python."""
+
+    def refuse(*_, **__):
+        raise AssertionError("Python on the main path")
+
+    for kind, names in ((DataFrame, ("mapInArrow", "mapInPandas", "toPandas")), (GroupedData, ("applyInArrow", "applyInPandas", "applyInPandasWithState"))):
+        for owner in {kind, type(spark.range(1)), type(spark.range(1).groupBy("id"))}:
+            for name in names:
+                if hasattr(owner, name):
+                    monkeypatch.setattr(owner, name, refuse)
+    sf = "/root/testdata/sf0.001"
+    for df in (queries.op9_mixing(spark, sf), queries.op4_lines(spark, sf)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Arrow|Pandas", plan)
+    assert templates.MIN_DOCS == 8
