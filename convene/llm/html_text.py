@@ -1,20 +1,25 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines: one for each block element's run of text. A line's weight is the length
-of its text outside links; lines inside elements that are furniture by their tag, role or class (menus,
-headers, footers, sidebars, notices, adverts, forms, comments) weigh nothing. The weights are summed
-over sliding windows of `WINDOW` lines. A passage runs from where the sums leave nothing, through a
-surge over a threshold, to where they dive to nothing; the lines between the first and the last line
-with weight of a passage are the main text, furniture aside. The threshold follows the page: a share of
-its largest sum, `SURGE` at most, so short pages keep theirs.
-Where an article or main element has text outside links, there is no search: all its lines that aren't
-furniture are the main text, but for list items that are links alone ahead of its other lines, a menu.
+Markup is stripped to lines: one for each block element's run of text, and a blank one for every start or
+end of a container (all blocks but paragraphs, headings, items and cells) between them. A line's weight is
+the length of its text, where link text counts a twentieth; text in furniture by its element, role or
+class (menus, headers, footers, sidebars, notices, adverts, forms, comments) weighs nothing, and so makes
+no passage. The weights are summed over sliding windows of `WINDOW` lines. Along the windows, a passage
+begins at a surge point, where the sums rise over `LOW` on their way over `SURGE`, and ends at a dive
+point, where they fall under `LOW` again. The text between the two is the main text: the lines of a page
+that no such passage holds go, the lines in a passage that weigh anything stay, links too. Both levels
+follow the page, `SURGE_SHARE` and `LOW_SHARE` of its largest sum at most, so short pages keep theirs.
+
+Where an article or main element has text outside links, it bounds the search: lines outside weigh
+nothing, and any weight inside is a surge; list items that are links alone ahead of its other lines, a
+menu, weigh nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -23,7 +28,9 @@ from pyspark.sql import DataFrame
 
 from convene.llm.common import lean_batches
 
-WINDOW, SURGE, SURGE_SHARE = 3, 60, 0.1
+WINDOW, SURGE, SURGE_SHARE, LOW, LOW_SHARE = 2, 120, 0.25, 4, 0.1
+#: What a character of link text weighs.
+LINK = 0.05
 
 # Element names of HTML by their role here.
 BLOCKS = frozenset(
@@ -39,6 +46,12 @@ ENDS_P = BLOCKS - frozenset("br option legend caption summary td th tr tbody the
 WORDS = frozenset(
     "ad ads adsense adslot adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted related reply replies respond share sharing sidebar signup skip social sidenav sponsor sponsored subnav subscribe subscription toc toolbar topbar widget".split()
 )
+#: Parts of a class that say where or what shape, not what; the last other part says what.
+SHAPES = frozenset(
+    "area articles block body bottom box button buttons col component container content desktop fixed global group heading icons inline inner input item items js left link links list main mobile module outer page panel posts primary region right row secondary section site slot sticky stories text title top unit wrap wrapper zone".split()
+)
+#: Blocks that hold a line of text; the others hold blocks, and their ends part passages.
+LEAVES = frozenset("br caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr legend li option p pre summary td th tr".split())
 #: Elements that a class naming furniture doesn't take away.
 KEPT = frozenset("html body article main".split())
 
@@ -58,9 +71,10 @@ def _is_furniture(name: str, attrs: str) -> bool:
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id"):
             # a layout class says what a block goes with, or without: no-sidebar, has-comments
-            named = _BESIDE.sub(" ", _CAMEL.sub("-", value).lower())
-            if not WORDS.isdisjoint(re.split(r"[^a-z]+", named)):
-                return True
+            for token in _BESIDE.sub(" ", _CAMEL.sub("-", value).lower()).split():
+                parts = [x for x in re.split(r"[^a-z]+", token) if x and x not in SHAPES]
+                if parts and parts[-1] in WORDS:
+                    return True
         elif key == "role":
             if value.lower() in ROLES:
                 return True
@@ -71,33 +85,51 @@ def _is_furniture(name: str, attrs: str) -> bool:
     return False
 
 
-def lines(html: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, weight, has text outside furniture, inside an article or main element, inside a list item)
-    of each block's run of text, in page order. Furniture and links weigh 0; dropped elements, comments
-    and markup give no text."""
-    out: list[tuple[str, int, bool, bool, bool]] = []
+@dataclass
+class Line:
+    """A block's run of text. plain, link: its length outside furniture, outside and inside of links;
+    gap: containers that begin or end before it."""
+
+    text: str
+    plain: int
+    link: int
+    article: bool
+    item: bool
+    gap: int
+
+
+def lines(html: str) -> list[Line]:
+    """The lines of a page, in its order. Dropped elements, comments and markup give no text."""
+    out: list[Line] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, link, article: each with its ancestors'
     text: list[str] = []
-    weight, plain, furniture, link, article = 0, False, False, False, False
+    plain, linked, gap, furniture, link, article = 0, 0, 0, False, False, False
 
     def flush() -> None:
-        nonlocal weight, plain
+        nonlocal plain, linked, gap
         if text:
             joined = _SPACE.sub(" ", "".join(text)).strip()
             if joined:
-                out.append((joined, weight, plain, article, any(s[0] == "li" for s in stack)))
+                out.append(Line(joined, plain, linked, article, any(s[0] == "li" for s in stack), gap))
+                gap = 0
             text.clear()
-        weight, plain = 0, False
+        plain = linked = 0
+
+    def edge(name: str) -> None:
+        """A block begins or ends."""
+        nonlocal gap
+        flush()
+        gap += name not in LEAVES
 
     def add(raw: str) -> None:
-        nonlocal weight, plain
+        nonlocal plain, linked
         if raw:
             got = unescape(raw)
             text.append(got)
             if not furniture:
                 length = len(_SPACE.sub(" ", got).strip())
-                plain = plain or length > 0
-                weight += 0 if link else length
+                plain += 0 if link else length
+                linked += length if link else 0
 
     def leave(depth: int) -> None:
         nonlocal furniture, link, article
@@ -124,7 +156,7 @@ def lines(html: str) -> list[tuple[str, int, bool, bool, bool]]:
         name = m["name"].lower()
         if m["close"]:
             if name in BLOCKS:
-                flush()
+                edge(name)
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
                     leave(depth)
@@ -148,7 +180,7 @@ def lines(html: str) -> list[tuple[str, int, bool, bool, bool]]:
             at = n if close < 0 else close + 1
             continue
         if name in BLOCKS:
-            flush()
+            edge(name)
         if name in VOID or m["attrs"].endswith("/") and name not in BLOCKS:
             continue
         if name in ENDS_P:
@@ -180,48 +212,52 @@ def lines(html: str) -> list[tuple[str, int, bool, bool, bool]]:
     return out
 
 
-def passages(weights: np.ndarray) -> np.ndarray:
-    """Which lines lie between a surge and a dive of the sums over windows of lines, from the first with
-    weight to the last."""
+def passages(weights: np.ndarray, surge: float, low: float) -> np.ndarray:
+    """Which lines lie between a surge and a dive point of the sums over windows of lines, and weigh
+    something. Sums that never fall under `low`, of which one is `surge` at least, are one passage."""
     keep = np.zeros(len(weights), bool)
-    if not len(weights) or not weights.any():
+    if not len(weights):
         return keep
-    padded = np.concatenate([weights, np.zeros(WINDOW - 1, weights.dtype)])
-    sums = np.convolve(padded, np.ones(WINDOW, np.int64), "valid")
-    threshold = min(SURGE, max(1, SURGE_SHARE * sums.max()))
-    start = 0
-    while start < len(sums):
-        if not sums[start]:
-            start += 1
-            continue
-        end = start
-        while end < len(sums) and sums[end] > 0:
-            end += 1
-        if sums[start:end].max() >= threshold:
-            heavy = start + np.flatnonzero(weights[start : end + WINDOW - 1])
-            keep[heavy[0] : heavy[-1] + 1] = True
-        start = end
-    return keep
+    sums = np.convolve(weights, np.ones(WINDOW))  # sums[i]: lines i - WINDOW + 1 to i
+    high = np.concatenate([[False], sums >= low, [False]])
+    points = np.flatnonzero(high[1:] != high[:-1])
+    for rise, fall in zip(points[::2], points[1::2]):
+        if sums[rise:fall].max() >= surge:
+            keep[max(0, rise - WINDOW + 1) : fall] = True  # all lines of its first window and of its last
+    return keep & (weights > 0)
+
+
+#: Any text weighs more.
+LEAST = 1e-6
 
 
 def extract(html: str | None) -> str:
+    """The main text of a page; blocks are parted by a space."""
     found = lines(html or "")
-    weights = np.array([w for _, w, _, _, _ in found], np.int64)
-    plain = np.array([p for _, _, p, _, _ in found], bool)
-    own = np.array([p and a for _, _, p, a, _ in found], bool)
-    if (own & (weights > 0)).any():
-        keep = own
-        listed = np.array([i for _, _, _, _, i in found], bool) & (weights == 0)
-        keep[: np.flatnonzero(own & ~listed)[0]] = False
-    else:
-        keep = passages(weights) & plain
-    return " ".join(found[i][0] for i in np.flatnonzero(keep))
+    if not found:
+        return ""
+    weights = np.array([x.plain + LINK * x.link for x in found])
+    article = np.array([x.article for x in found], bool)
+    bounded = any(x.article and x.plain for x in found)
+    if bounded:
+        weights[~article] = 0
+        for i, x in enumerate(found):
+            if weights[i] and not (x.item and not x.plain):
+                break
+            weights[i] = 0
+    places = np.cumsum([x.gap + 1 for x in found], dtype=np.int64) - 1
+    spread = np.zeros(places[-1] + 1)
+    spread[places] = weights
+    most = max(LEAST, np.convolve(spread, np.ones(WINDOW)).max())
+    levels = (LEAST, LEAST) if bounded else (min(SURGE, SURGE_SHARE * most), min(LOW, LOW_SHARE * most))
+    keep = passages(spread, *levels)[places]
+    return " ".join(found[i].text for i in np.flatnonzero(keep))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html). A null, empty or
-    textless page has an empty text; repeated rows give repeated results, an empty table none; other
-    columns are ignored."""
+    textless page has an empty text; pages of any length are read whole; of passages alike in all, each
+    stays; repeated rows give repeated results, an empty table none; other columns are ignored."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,7 @@
+import re
+
 import duckdb
+import numpy as np
 import pytest
 
 from convene.llm import html_text, queries
@@ -75,3 +78,56 @@ def test_short_parts_of_the_article_stay(name):
     share, body = "".join(f"<li>Share {i}</li>" for i in range(3)), "Words of a long body, " * 30
     page = f"<p>Elsewhere</p><{name}><h1>Short title</h1><ul class=share>{share}</ul><p>{body}</p><ul class=share>{share}</ul><p>The end.</p></{name}><p>Elsewhere</p>"
     assert html_text.extract(page) == f"Short title {body.strip()} The end."
+
+
+def test_passages_by_brute_force():
+    """Sums, surge and dive points by loops over windows."""
+    rng = np.random.default_rng(3)
+    w = html_text.WINDOW
+    for _ in range(3000):
+        x = np.where(rng.random(n := rng.integers(0, 30)) < 0.4, 0, np.round(rng.random(n) * rng.choice([3, 50, 300]), 1))
+        surge, low = rng.choice([1e-6, 5, 40]), 1e-6
+        low = min(surge, rng.choice([1e-6, 4]))
+        windows = [sum(x[max(0, i - w + 1) : i + 1]) for i in range(n + w - 1)]
+        want, i = set(), 0
+        while i < len(windows):
+            if windows[i] < low:
+                i += 1
+                continue
+            begin = i
+            while i < len(windows) and windows[i] >= low:
+                i += 1
+            if max(windows[begin:i]) >= surge:
+                want |= {k for k in range(max(0, begin - w + 1), min(n, i)) if x[k] > 0}
+        assert set(np.flatnonzero(html_text.passages(x, surge, low))) == want
+
+
+def unnamed(page):
+    """A page whose names say nothing: plain divs, classes without a meaning."""
+    page = re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", page)
+    return page.replace('class="ad"', 'class="zq1"')
+
+
+def test_windows_decide(monkeypatch):
+    """On pages without article elements or known names the windows find the text; without windows, all is kept."""
+    rows = duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    right = sum(html_text.extract(unnamed(page)) == html_text.extract(page) for (page,) in rows)
+    kept = [html_text.extract(page) for (page,) in rows]
+    monkeypatch.setattr(html_text, "passages", lambda weights, surge, low: np.ones(len(weights), bool))
+    changed = sum(html_text.extract(page) != text for (page,), text in zip(rows, kept))
+    assert right >= 0.9 * len(rows) and changed == len(rows), (right, changed)
+
+
+def test_plain_pages():
+    body = "".join(f"<p>Paragraph {i} of the text, with enough words that it is plainly one of the article's own paragraphs.</p>" for i in range(6))
+    linked = f"<h2><a href='/t'>Linked title here</a></h2>{body}<p><a href='/s'>A paragraph that is one link to its source</a></p>"
+    want = html_text.extract(f"<article>{linked}</article>")
+    assert want.startswith("Linked title here Paragraph 0") and want.endswith("to its source")
+    for page in (f"<div class=x><ul>{MENU}</ul></div><div><div>{linked}</div></div><div class=y><p>Some words at the end</p></div>", f"<table><tr><td>{MENU}</td></tr></table><section>{linked}</section><div><span>Words of a foot</span></div>"):
+        assert html_text.extract(page) == want
+    assert html_text.extract('<article><p id="share-prices">Prices of shares rose.</p><div class="related-work"><p>Work that is related.</p></div></article>') == "Prices of shares rose. Work that is related."
+
+
+def test_very_long_page():
+    page = "<article>" + "<p>one two three</p>" * 200_000 + "</article>"
+    assert len(html_text.extract(page)) == 200_000 * 14 - 1
