@@ -3,8 +3,11 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import os
 import random
 import re
+import subprocess
+import sys
 import urllib.parse
 import zlib
 
@@ -80,10 +83,84 @@ def test_fixpoint_and_cycles():
     assert secrets.scan_text("plain Wordsmadeofmanyletters and averyveryverylongword/withmorelettersinit")[0] == []
 
 
-def test_bomb(monkeypatch):
-    monkeypatch.setattr(secrets, "LAYER_CHARS", 1000)
-    found, oversize = secrets.scan_text("token=abcdefghijkl " + _b64(gzip.compress(b"a" * 100000)))
-    assert oversize and [f[0] for f in found] == ["assign"]
+def hidden_far(data, n=9_000_000):
+    """Much text around a secret."""
+    return b"plain words go on " * (n // 18) + data + b" and on " * 1000
+
+
+def test_bombs_are_read_whole():
+    for pack in (gzip.compress, zlib.compress, lambda b: bz2.compress(b, 1), lambda b: lzma.compress(b, preset=0), zstandard.compress):
+        run = _b64(pack(hidden_far(SECRET.encode())))
+        found, oversize = secrets.scan_text(f"token=abcdefghijkl {run}")
+        assert not oversize and ("assign", 19, 19 + len(run)) in [f[:3] for f in found], pack
+    run = _b64(gzip.compress(gzip.compress(hidden_far(_b64(SECRET).encode()))))
+    assert [f[:3] for f in secrets.scan_text(run)[0]] == [("assign", 0, len(run))]
+
+
+def test_windows_of_streams(monkeypatch):
+    """What lies across windows, and base64 runs that are longer than many of them."""
+    monkeypatch.setattr(secrets, "LAYER_CHARS", 5000)
+    monkeypatch.setattr(secrets, "OVERLAP", 600)
+    monkeypatch.setattr(secrets, "STEP", 64)
+    for at in range(3900, 5300, 37):
+        run = _b64(gzip.compress(b"words . " * (at // 8) + b"." * (at % 8) + SECRET.encode() + b" , words" * 2000))
+        assert ("assign", 2, 2 + len(run)) in _hidden(f"x {run} y"), at
+    for inside in (b". words " * 3000 + SECRET.encode(), gzip.compress(random.Random(1).randbytes(20000) + SECRET.encode()), SECRET.encode("utf-16-le").join([b"z\0. " * 3000] * 2)):
+        for width in (0, 76):
+            whole = _b64(inside) if not width else base64.encodebytes(inside).decode()
+            run = _b64(gzip.compress(f"begin: {whole} end, {'. ' * 4000}".encode()))
+            assert ("assign", 0, len(run)) in _hidden(run), (inside[:9], width)
+    both = _b64(gzip.compress(("a b " * 2000 + "Q" * 9000 + " " + SECRET + " . " * 3000).encode()))
+    assert ("assign", 0, len(both)) in _hidden(both)
+
+
+def test_too_large_a_dictionary(monkeypatch):
+    monkeypatch.setattr(secrets, "XZ_MEMORY", 1 << 16)
+    assert secrets.scan_text(_b64(lzma.compress(b"abc " * 1000, preset=9)))[1]
+    monkeypatch.setattr(secrets, "ZSTD_WINDOW", 1 << 10)
+    packed = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=24, write_content_size=0)).compressobj()
+    assert secrets.scan_text(_b64(packed.compress(b"abc " * 1000) + packed.flush()))[1]
+
+
+def test_broken_streams_are_read_as_far_as_they_go():
+    long = SECRET.encode() + b" " + random.Random(2).randbytes(300_000).hex().encode()
+    for pack in (gzip.compress, zlib.compress, zstandard.compress):
+        run = _b64(pack(long)[:-20])
+        assert ("assign", 0, len(run)) in _hidden(run), pack
+
+
+def plain_spans(text, wraps):
+    """Spans of escapes undone one character after the other, for as long as any is left."""
+    chars = [(c, i, i + 1) for i, c in enumerate(text)]
+    out = set()
+    for _ in range(wraps):
+        new, i, joined = [], 0, "".join(c for c, _, _ in chars)
+        while i < len(chars):
+            if re.match("%[0-9A-Fa-f]{2}", joined[i : i + 3]) and int(joined[i + 1 : i + 3], 16) < 128:
+                new.append((chr(int(joined[i + 1 : i + 3], 16)), chars[i][1], chars[i + 2][2]))
+                i += 3
+            else:
+                new.append(chars[i])
+                i += 1
+        chars = new
+        out |= {(k, chars[a][1], chars[b - 1][2]) for k, a, b in secrets.base_spans("".join(c for c, _, _ in chars))}
+    return out
+
+
+def test_spans_through_escapes_by_brute_force():
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice(["token", "=", "%3D", "%253D", "abcdef", "12345678", "%41", "%2541", "%25", "25", " ", "%20", "password", ":", "AKIA", "é"]) for _ in range(rng.randint(2, 14)))
+        got = {(k, a, b) for k, a, b, _ in secrets.scan_text(text)[0]}
+        assert plain_spans(text, 4) | set(secrets.base_spans(text)) == got, text
+
+
+def test_memory_of_long_layers():
+    """Thirty million characters of escapes, in a process of its own."""
+    code = "import resource, sys; sys.path.insert(0, sys.argv[1]); from convene.llm import secrets; before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; t = '%61' * 10_000_000 + ' token=abcdefghijkl%6d'; assert any(k == 'assign' for k, *_ in secrets.scan_text(t)[0]); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)"
+    done = subprocess.run([sys.executable, "-c", code, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 450_000  # KB; of them 60 MB are the text and its decoded form
 
 
 def test_query(spark, tmp_path):
@@ -118,12 +195,6 @@ def test_all_members():
     assert _hidden(run) == [("assign", 0, len(run))]
 
 
-def test_members_stop_at_the_cap(monkeypatch):
-    monkeypatch.setattr(secrets, "LAYER_CHARS", 1000)
-    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
-        assert secrets.scan_text(_b64(pack(b"a" * 600) * 2))[1]
-
-
 def test_bytes_that_are_not_utf8():
     for data in (SECRET.encode("utf-16"), SECRET.encode("utf-16-le"), SECRET.encode("utf-16-be"), b"\0" + SECRET.encode("utf-16-le"), b"\xff\xfe\x80" * 9 + SECRET.encode() + b"\x81\0", gzip.compress(b"\x80" + SECRET.encode())):
         run = _b64(data)
