@@ -1,13 +1,15 @@
 """Exact Jaccard join of word n-gram sets: prefix filter, then a trie of ordered sets.
 
-1. Every document becomes the set of hashes of its word n-grams. Equal sets are one class, which stands
-   for all its documents from here on.
+1. Every document becomes the set of hashes of its word n-grams. Equal sets, by a hash of 128 bits, are
+   one class, which stands for all its documents from here on under a number of its own.
 2. n-grams get a global order: those of a sampled quarter of the hash space first, by the number of
    classes that hold them (rare first), then all others by hash. Two sets that are similar enough share
    an n-gram in the short beginnings of their ordered lists. The counts need only the sampled quarter,
-   and beginnings reach beyond it in short documents only.
+   and beginnings reach beyond it in short documents only. n-grams are counted in buckets of a bounded
+   size; one that is frequent in a task's share goes to many buckets by class, and its counts are summed.
 3. Classes that share an n-gram of their beginnings, and whose sizes allow a link, are chained; chains
-   make clusters. A link can't leave a cluster, and each class lies in one.
+   make clusters. A link can't leave a cluster, and each class lies in one. Each task chains what it has
+   of an n-gram first, and only the ends of these chains meet.
 4. In a cluster the ordered sets are stored in a trie, frequent n-grams first, so that sets share long
    paths. A probe goes down the trie with the overlap so far; a subtree is left where the overlap plus
    what remains on either side can't reach the threshold, or where all its sets are linked to the probe
@@ -39,7 +41,10 @@ TASK_CLASSES = 500
 #: Pairs of classes that are compared in the time that sending one class to a task takes.
 SHIPPING = 1000
 FLUSH = 2_000_000
-MAP_BITS = 1 << 24
+#: Entries of n-grams that one task counts.
+BUCKET = 4_000_000
+#: Times that an n-gram is met in FLUSH entries to be dealt out by class, at most.
+FREQUENT = 512
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -108,11 +113,14 @@ def ngram_sets(raw: np.ndarray, ends: np.ndarray, words: int = WORDS) -> list[np
     return out
 
 
-def class_of(grams: np.ndarray) -> int:
-    """A signed 64-bit id of a set."""
+def class_of(grams: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set."""
+    out = []
     with np.errstate(over="ignore"):
-        h = mix(mix(grams ^ np.uint64(0x243F6A8885A308D3)).sum(dtype=np.uint64).reshape(1) + np.uint64(len(grams)))
-    return int(h.view(np.int64)[0])
+        for seed in (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)):
+            h = mix(mix(grams ^ seed).sum(dtype=np.uint64).reshape(1) + np.uint64(len(grams)))
+            out.append(int(h.view(np.int64)[0]))
+    return out[0], out[1]
 
 
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -125,41 +133,70 @@ def beginning(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def classes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (size of the set), sampled (n-grams in the sampled part), cls (null: empty set)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sampled", pa.int64()), ("cls", pa.int64())])
+def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n (size of the set), sampled (n-grams in the sampled part), entries (that _shared() makes
+    of it), h1, h2 (null: empty set)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "sampled", "entries", "h1", "h2")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, words):
             sampled = [int((g & np.uint64(SAMPLED) == 0).sum()) for g in sets]
-            cls = [class_of(g) if len(g) else None for g in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.array(sampled, pa.int64()), pa.array(cls, pa.int64())], schema=schema)
+            entries = [max(s, beginning(len(g), percent)) if len(g) else 0 for g, s in zip(sets, sampled)]
+            h1, h2 = zip(*(class_of(g) if len(g) else (None, None) for g in sets))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in ([len(g) for g in sets], sampled, entries, h1, h2))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sampled long, cls long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sampled long, entries long, h1 long, h2 long")
 
 
-def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """token, cls, df: the sampled n-grams, and those of beginnings that reach beyond the sample, that
-    more than one class holds. They travel as packed arrays, dealt by hash."""
-    parts = shuffle_parts(docs.sparkSession)
-    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary())])
+def _distinct(t: np.ndarray, *owners: np.ndarray, by: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Entries (token, class) once each, by bucket, token and class."""
+    order = np.lexsort((*owners, t) if by is None else (*owners, t, by))
+    t, owners, by = t[order], tuple(o[order] for o in owners), None if by is None else by[order]
+    new = np.ones(len(t), bool)
+    new[1:] = t[1:] != t[:-1]
+    for o in owners:
+        new[1:] |= o[1:] != o[:-1]
+    return (t[new], *(o[new] for o in owners), *(() if by is None else (by[new],)))
+
+
+def _run_lengths(t: np.ndarray) -> np.ndarray:
+    """For each item of a sorted array, how many are equal to it."""
+    start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, np.int64)
+    count = np.diff(np.concatenate([start, [len(t)]]))
+    return np.repeat(count, count)
+
+
+def _shared(docs: DataFrame, words: int, percent: int, entries: int) -> DataFrame:
+    """token, h1, h2, df: the sampled n-grams, and those of beginnings that reach beyond the sample, that
+    more than one class holds. They travel as packed arrays, dealt by hash to buckets of BUCKET of all
+    `entries`. An n-gram that a task meets often goes to buckets by class, and a mark of it to its own
+    bucket, whose entries of it then join the others."""
+    buckets = max(shuffle_parts(docs.sparkSession), -(-entries // BUCKET))
+    often = int(min(FREQUENT, max(2, FLUSH * BUCKET // max(1, entries))))
+    schema = pa.schema([("bucket", pa.int64()), ("tokens", pa.binary()), ("h1", pa.binary()), ("h2", pa.binary()), ("marks", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
+        owners: list[tuple[int, int, int]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            t, c = np.concatenate(tokens), np.concatenate(owners)
+            t, each = np.concatenate(tokens), np.array(owners, np.int64).reshape(-1, 3)
+            h1, h2 = np.repeat(each[:, 0], each[:, 2]), np.repeat(each[:, 1], each[:, 2])
             tokens.clear()
             owners.clear()
-            bucket = (mix(t) % np.uint64(parts)).astype(np.int32)
-            order = np.lexsort((c, t, bucket))
-            t, c, bucket = t[order], c[order], bucket[order]
-            new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])  # copies in this task
-            t, c, bucket = t[new], c[new], bucket[new]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(t)]])
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([t[a:b].tobytes()], pa.binary()), pa.array([c[a:b].tobytes()], pa.binary())], schema=schema)
+            t, h1, h2 = _distinct(t, h1, h2)  # copies in this task
+            hot = _run_lengths(t) >= often
+            own = (mix(t) % np.uint64(buckets)).astype(np.int64)
+            # buckets from `buckets` on hold frequent n-grams
+            bucket = np.where(hot, buckets + (mix(t ^ mix(h1.view(np.uint64))) % np.uint64(buckets)).astype(np.int64), own)
+            marked = np.unique(t[hot])
+            mark_bucket = (mix(marked) % np.uint64(buckets)).astype(np.int64)
+            t, h1, h2, bucket = _distinct(t, h1, h2, by=bucket)
+            marked, mark_bucket = marked[np.argsort(mark_bucket, kind="stable")], np.sort(mark_bucket)
+            for b in np.unique(np.concatenate([bucket, mark_bucket])).tolist():
+                i, j = np.searchsorted(bucket, [b, b + 1])
+                k, m = np.searchsorted(mark_bucket, [b, b + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (t[i:j], h1[i:j], h2[i:j], marked[k:m]))], schema=schema)
 
         held = 0
         for _, sets in _sets(batches, words):
@@ -172,7 +209,7 @@ def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if need > 0:
                     mine = np.concatenate([mine, g[~sampled][:need]])
                 tokens.append(mine)
-                owners.append(np.full(len(mine), class_of(g), np.int64))
+                owners.append((*class_of(g), len(mine)))
                 held += len(mine)
             if held >= FLUSH:
                 yield from flush()
@@ -180,21 +217,23 @@ def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
         if held:
             yield from flush()
 
-    found = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("df", pa.int64())])
+    found = pa.schema([("token", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("df", pa.int64()), ("hot", pa.bool_())])
 
     def count(group: pa.Table) -> pa.Table:
-        t = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()])
-        c = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("classes").to_pylist()])
-        order = np.lexsort((c, t))
-        t, c = t[order], c[order]
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
-        t, c = t[new], c[new]
-        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        df = np.repeat(np.diff(np.concatenate([start, [len(t)]])), np.diff(np.concatenate([start, [len(t)]])))
-        keep = df > 1
-        return pa.Table.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(c[keep]), pa.array(df[keep].astype(np.int64))], schema=found)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, tokens binary, classes binary").groupBy("bucket").applyInArrow(count, "token long, cls long, df long")
+        joined = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
+        t, h1, h2 = _distinct(joined("tokens", np.uint64), joined("h1", np.int64), joined("h2", np.int64))
+        df = _run_lengths(t)
+        hot = np.isin(t, joined("marks", np.uint64)) if group.column("bucket")[0].as_py() < buckets else np.ones(len(t), bool)
+        keep = (df > 1) | hot
+        return pa.Table.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(h1[keep]), pa.array(h2[keep]), pa.array(df[keep].astype(np.int64)), pa.array(hot[keep])], schema=found)
+
+    packed = docs.select("doc_id", "text").mapInArrow(run, "bucket long, tokens binary, h1 binary, h2 binary, marks binary")
+    counted = cut(packed.groupBy("bucket").applyInArrow(count, "token long, h1 long, h2 long, df long, hot boolean"), "counted")
+    often_met = cut(counted.where("hot").select("token", "h1", "h2").distinct(), "frequent")
+    sums = cut(often_met.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1), "frequent-sums")
+    out = cut(counted.where(~F.col("hot")).drop("hot").unionByName(often_met.join(sums, "token")), "shared")
+    discard(counted, often_met, sums)
+    return out
 
 
 class Forest:
@@ -226,7 +265,40 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _chains(entries: DataFrame, percent: int) -> DataFrame:
     """Edges between classes that share an n-gram (token, cls, n), each with the next in size, where
-    sizes allow a link; a spanning forest of each task's."""
+    sizes allow a link; a spanning forest of each task's.
+
+    In a band of sizes all sizes allow links. So a task chains what it has of an n-gram's band, and sends
+    the chain's ends on, the smallest and the largest class; the ends of all tasks are chained by size. A
+    frequent n-gram is as many rows in the second step as tasks had it, not as classes have it."""
+    edges = np.array(band_edges(percent))
+    kinds = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("to", pa.int64())])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            token, cls, n = np.concatenate(held, 1)
+            held.clear()
+            band = np.searchsorted(edges, n, "right")
+            order = np.lexsort((cls, n, band, token))
+            token, cls, n, band = token[order], cls[order], n[order], band[order]
+            same = (token[1:] == token[:-1]) & (band[1:] == band[:-1])
+            first, last = np.concatenate([[True], ~same]), np.concatenate([~same, [True]])
+            out = first | last
+            # null: an end of a chain; else an edge
+            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(cls[out]), pa.array(n[out]), pa.nulls(int(out.sum()), pa.int64())], schema=kinds)
+            a, b = cls[:-1][same], cls[1:][same]
+            forest = Forest()
+            keep = np.fromiter((forest.join(x, y) for x, y in zip(a.tolist(), b.tolist())), bool, len(a))
+            a, b = a[keep], b[keep]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(b)], schema=kinds)
+
+        for batch in batches:
+            held.append(np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], np.int64))
+            if sum(x.shape[1] for x in held) >= FLUSH:
+                yield from flush()
+        if held:
+            yield from flush()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, last = Forest(), (None, 0, 0)
@@ -240,7 +312,9 @@ def _chains(entries: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=_EDGES)
 
     parts = shuffle_parts(entries.sparkSession)
-    return entries.select("token", "cls", "n").repartition(parts, "token").sortWithinPartitions("token", "n", "cls").mapInArrow(run, "a long, b long")
+    some = cut(entries.select("token", "cls", "n").mapInArrow(ends, "token long, cls long, n long, to long"), "chains")
+    met = some.where(F.col("to").isNull()).select("token", "cls", "n").repartition(parts, "token").sortWithinPartitions("token", "n", "cls").mapInArrow(run, "a long, b long")
+    return met.unionByName(some.where(F.col("to").isNotNull()).select(F.col("cls").alias("a"), F.col("to").alias("b")))
 
 
 class Node:
@@ -378,8 +452,8 @@ def _units(members: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(members: DataFrame, entries: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the links in clusters. members: cls, n, doc_id (of a document
-    of the class), root (of the cluster), size (of the cluster); entries: token, cls.
+    """Edges (a, b) of a spanning forest of the links in clusters. members: cls, h1, h2, n, doc_id (of a
+    document of the class), root (of the cluster), size (of the cluster); entries: token, cls.
 
     Small units share tasks. A large one is cut by bands of sizes, of which only a band and the next can
     hold linked sets, and bands into blocks; its tasks are pairs of blocks."""
@@ -390,10 +464,10 @@ def _verified(members: DataFrame, entries: DataFrame, docs: DataFrame, words: in
     blocks = cut(blocks.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("blocks")), "blocks")
     task = F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("unit"), F.lit(bins))).otherwise(F.col("unit"))
     placed = units.join(sizes, "unit").join(blocks, "unit", "left").select("cls", F.struct("unit", task.alias("task"), "band", "blocks").alias("u"))
-    dealt = placed.groupBy("cls").agg(F.collect_list("u").alias("units")).join(members.select("cls", "doc_id"), "cls")
-    dealt = cut(dealt.select(F.col("doc_id").alias("id"), F.col("cls").alias("want"), "units"), "dealt")
+    dealt = placed.groupBy("cls").agg(F.collect_list("u").alias("units")).join(members.select("cls", "h1", "h2", "doc_id"), "cls")
+    dealt = cut(dealt.select(F.col("doc_id").alias("id"), F.struct("cls", "h1", "h2").alias("want"), "units"), "dealt")
     discard(units, sizes, blocks)
-    near = near_buckets(docs.select("doc_id", "text"), F.coalesce("doc_id", F.lit(-1)), dealt.select(F.coalesce("id", F.lit(-1)).alias("k")), MAP_BITS)
+    near = near_buckets(docs.select("doc_id", "text"), F.coalesce("doc_id", F.lit(-1)), dealt.select(F.coalesce("id", F.lit(-1)).alias("k")))
     rows = near.join(dealt, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want", "units")
     kinds = "task long, i long, j long, unit long, cls long, place long, grams binary"
     schema = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in kinds.split(", ")])
@@ -402,9 +476,9 @@ def _verified(members: DataFrame, entries: DataFrame, docs: DataFrame, words: in
         for batch, sets in _sets(batches, words):
             out = []
             for g, want, units in zip(sets, batch.column("want").to_pylist(), batch.column("units").to_pylist()):
-                if not len(g) or class_of(g) != want:  # ids may repeat
+                if not len(g) or class_of(g) != (want["h1"], want["h2"]):  # ids may repeat
                     continue
-                raw = g.tobytes()
+                raw, want = g.tobytes(), want["cls"]
                 for u in units:
                     if u["blocks"] is None:
                         out.append((u["task"], -1, -1, u["unit"], want, 0, raw))
@@ -439,34 +513,37 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     and the least doc_id that it is connected to by links, itself included. Sets are linked if 100 times
     their intersection is at least `percent` times their union.
 
-    Documents without words are linked with nothing. Equal texts are linked; rows that share a doc_id are
-    rows of their own; a null doc_id is never the least unless all are null. Other columns are ignored;
-    an empty table gives no row."""
+    Texts of any length are compared whole. Documents without words are linked with nothing. Equal texts
+    are linked; rows that share a doc_id are rows of their own; a null doc_id is never the least unless all
+    are null. Other columns are ignored; an empty table gives no row."""
     docs = lean_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = cut(classes(docs, words), "sets")
-    of_class = cut(every.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.min("doc_id").alias("doc_id")), "classes")
-    shared = cut(_shared(docs, words, percent), "shared")
+    every = cut(classes(docs, words, percent), "sets")
+    grouped = every.where(F.col("h1").isNotNull()).groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.min("doc_id").alias("doc_id"))
+    of_class = cut(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    entries = every.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
+    of_hash = _shared(docs, words, percent, entries)
+    shared = cut(of_hash.join(of_class.select("h1", "h2", "cls", "n", "sampled"), ["h1", "h2"]).drop("h1", "h2"), "shared-classes")
     sampled = F.col("token").bitwiseAND(F.lit(SAMPLED)) == 0
     need = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
-    listed = shared.where(sampled).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held")).join(of_class.select("cls", "n", "sampled"), "cls")
+    listed = shared.where(sampled).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"), F.first("n").alias("n"), F.first("sampled").alias("sampled"))
     # n-grams of the sample that no other class holds come first
     listed = listed.withColumn("room", need - (F.col("sampled") - F.size("held"))).where(F.col("room") > 0)
     first = listed.select(F.explode(F.slice("held", F.lit(1), F.col("room").cast("int"))).alias("h"), "cls", "n").select("h.token", "cls", "n")
-    beyond = shared.where(~sampled).join(of_class.select("cls", "n"), "cls").select("token", "cls", "n")
+    beyond = shared.where(~sampled).select("token", "cls", "n")
     entries = cut(first.unionByName(beyond), "entries")
     clusters = cut(components(_chains(entries, percent)), "clusters")
-    discard(shared)
+    discard(of_hash, shared)
     # written first, small tables are joined as they are, and a hot key on the other side can be split
     sizes = cut(clusters.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    members = cut(clusters.join(sizes, "root").withColumnRenamed("node", "cls").join(of_class.select("cls", "n", "doc_id"), "cls"), "members")
+    members = cut(clusters.join(sizes, "root").withColumnRenamed("node", "cls").join(of_class.select("cls", "h1", "h2", "n", "doc_id"), "cls"), "members")
     discard(clusters, sizes)
     linked = cut(components(_verified(members, entries, docs, words, percent)), "linked")
-    named = cut(of_class.select("cls", "doc_id").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "named")
+    named = cut(of_class.select("cls", "h1", "h2", "doc_id").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "named")
     least = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    of_cls = cut(named.select("cls", "root").join(least, "root").select("cls", "component_id"), "named-components")
+    of_cls = cut(named.select("h1", "h2", "root").join(least, "root").select("h1", "h2", "component_id"), "named-components")
     discard(members, entries, linked, of_class, named, least)
-    some = every.where(F.col("cls").isNotNull()).join(of_cls, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = every.where(F.col("cls").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    some = every.where(F.col("h1").isNotNull()).join(of_cls, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    none = every.where(F.col("h1").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)
 
 

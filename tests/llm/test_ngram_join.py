@@ -89,6 +89,10 @@ def test_join_by_brute_force(spark, block, shipping, monkeypatch):
     monkeypatch.setattr(j, "BLOCK", block)
     monkeypatch.setattr(j, "SHIPPING", shipping)  # other weights choose other plans
     monkeypatch.setattr(j, "TASK_CLASSES", 20)
+    if block == 7:  # small shares, so that n-grams are frequent in some of them and rare in others
+        monkeypatch.setattr(j, "FLUSH", 1500)
+        monkeypatch.setattr(j, "FREQUENT", 3)
+        monkeypatch.setattr(j, "BUCKET", 700)
     rows = [(i * 3 % 1009, t) for i, t in enumerate(texts(11, 420))] + [(2000, None), (2001, ""), (2002, " \n"), (None, "w1 w2"), (5, "w1 w2"), (5, "w1 w2"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS cls")
     got = sorted(map(tuple, j.similar_groups(df.repartition(6)).collect()), key=str)
@@ -119,3 +123,33 @@ def test_components(spark):
         forest.join(a, b)
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: forest.find(x) for x in nodes}
+
+
+def test_classes_by_two_hashes():
+    """Sets that share one hash of 64 bits are told apart by the other."""
+    sets = [np.array(sorted(random.Random(i).sample(range(10**6), 8)), np.uint64) for i in range(500)]
+    pairs = [j.class_of(x) for x in sets]
+    assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == 500 and not {a for a, _ in pairs} & {b for _, b in pairs}
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_chains_connect_what_sizes_allow(spark, parts):
+    """Chains of any cut into tasks connect the same classes as all pairs that share an n-gram."""
+    rng = random.Random(parts)
+    rows = [(t, c, 5 + c * c % 97) for c in range(150) for t in rng.sample(range(30), 2)] + [(99, c, 50 + c % 9) for c in range(120)]
+    df = spark.createDataFrame(rows, "token long, cls long, n long").repartition(parts)
+    want, got = j.Forest(), j.Forest()
+    for t, c, n in rows:
+        for u, d, m in rows:
+            if t == u and c < d and 100 * min(n, m) >= 80 * max(n, m):
+                want.join(c, d)
+    for r in j._chains(df, 80).collect():
+        got.join(r.a, r.b)
+    assert [got.find(c) for c in range(150)] == [want.find(c) for c in range(150)]
+
+
+def test_very_long_and_repeated_texts(spark):
+    long = " ".join(f"w{i % 7919}x{i}" for i in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, "other " * 10), (4, "other " * 40), (5, long.upper())]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (299_996, 1), 2: (299_997, 1), 3: (1, 3), 4: (1, 3), 5: (299_996, 1)}
