@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The bounds and the sums that they are held against round differently; nothing within this is pruned.
+#: Cells' corners and points are rounded apart by less.
 SLACK = 1e-9
+#: What sums of n terms, taken in different orders, may differ by: this part of the sum for each term.
+ROUNDING = 2.0**-52
+
+
+def sum_slack(best: float, n: int) -> float:
+    """How far bounds and sums of n distances may lie from `best` by rounding alone. What exceeds it by
+    less is not pruned."""
+    return SLACK + ROUNDING * (n + 16) * abs(best)
 
 
 def _col(x: Column | str | float) -> Column:
@@ -39,11 +47,5 @@ def rects_meet(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
     return (_col(ax0) <= _col(bx1)) & (_col(ax1) >= _col(bx0)) & (_col(ay0) <= _col(by1)) & (_col(ay1) >= _col(by0))
 
 
-def circle_meets_rect(xc, yc, radius, x0, y0, x1, y1, closed: bool = True) -> Column:
-    """Whether a circle's disc reaches a rectangle; not closed: whether it reaches inside."""
-    d = point_rect_distance(xc, yc, x0, y0, x1, y1)
-    return d <= _col(radius) if closed else d < _col(radius)
-
-
 def in_box(x, y, x0, y0, x1, y1) -> Column:
     return _col(x).between(_col(x0), _col(x1)) & _col(y).between(_col(y0), _col(y1))

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convene.functions.geometry import point_rect_distance, rects_meet
+from convene.functions.geometry import point_rect_distance
 from convene.operators.summary import QuerySummary
 
 #: 0.9 to this power is far under the width of the deepest cell.
@@ -30,12 +30,32 @@ def boxes(s: QuerySummary) -> list[tuple[int, float, float, float, float]]:
     return out
 
 
+def _first(values: list[float], bound: Column, guess: Column) -> Column:
+    """The first round whose value reaches a bound: not above it where values fall, not below it where they
+    rise. The guess is off by two rounds at most; the values themselves decide."""
+    known, falls = F.array(*(F.lit(v) for v in values)), values[-1] < values[0]
+    near = F.greatest(F.lit(0), F.least(F.lit(len(values) - 1), F.coalesce(guess, F.lit(0.0)))).cast("int")
+    rounds = [F.greatest(F.lit(0), F.least(F.lit(len(values) - 1), near + d)) for d in range(-2, 3)]
+    meets = lambda t: (F.element_at(known, t + 1) <= bound) if falls else (F.element_at(known, t + 1) >= bound)
+    found = F.lit(None).cast("int")
+    for t in reversed(rounds):
+        found = F.when(meets(t), t).otherwise(found)
+    return found
+
+
 def box_rounds(hist: DataFrame, s: QuerySummary) -> DataFrame:
-    """hist with `round`, the first in which the box meets the cell."""
-    steps = F.broadcast(hist.sparkSession.createDataFrame(boxes(s), "t int, bx0 double, by0 double, bx1 double, by1 double"))  # a fixed number of rows
-    meets = rects_meet("x0", "y0", F.col("x0") + F.col("ds"), F.col("y0") + F.col("ds"), "bx0", "by0", "bx1", "by1")
-    # a box lies within the next one from round to round, so the first that meets is the least
-    return hist.join(steps, meets).groupBy(*hist.columns).agg(F.min("t").alias("round"))
+    """hist with `round`, the first in which the box meets the cell: the latest of the rounds in which its
+    four sides do. A side's values are powers, so their logarithm gives the round, up to rounding."""
+    steps = boxes(s)
+    out = []
+    for axis, low, high in (("x", 1, 3), ("y", 2, 4)):
+        lows, highs = [b[low] for b in steps], [b[high] for b in steps]
+        far, near = F.col(f"{axis}0") + F.col("ds"), F.col(f"{axis}0")
+        out.append(_first(lows, far, F.ceil(F.log(far / F.lit(lows[0])) / math.log(0.9))) if lows[0] > 0 else F.lit(0))
+        begin = highs[1] / 1.1  # the first value, lifted off 0
+        grown = _first(highs[1:], near, F.ceil(F.log(F.greatest(near, F.lit(1e-300)) / F.lit(begin)) / math.log(1.1)) - 1) + 1
+        out.append(F.when(near <= F.lit(highs[0]), 0).otherwise(grown))
+    return hist.withColumn("round", F.greatest(*out)).where(F.col("round").isNotNull())
 
 
 def circle_rounds(hist: DataFrame, s: QuerySummary, width: float, closed: bool, own: object) -> DataFrame:
@@ -66,8 +86,3 @@ def candidates(hist: DataFrame, s: QuerySummary, index, k: int, how: str) -> Dat
     else:
         raise ValueError("candidates are chosen by mbr or centroid")
     return rounds.where(F.col("round") <= last_round(rounds, k)).drop("round")
-
-
-def rounds_needed(distance: float, width: float) -> int:
-    """How many growths a circle needs to reach a distance."""
-    return max(0, math.ceil((distance - 0.5 * width) / (0.25 * width)))

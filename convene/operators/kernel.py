@@ -13,21 +13,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from convene.functions.geometry import SLACK, distance
+from convene.functions.geometry import distance, sum_slack
 from convene.operators.summary import collect_query
 
-#: Pairs from which on the Arrow kernel pays for its start.
-ARROW_PAIRS = 5_000_000
+#: Pairs, and query points where the number of points isn't known, from which on the Arrow kernel pays.
+ARROW_PAIRS, ARROW_QUERIES = 5_000_000, 64
 ROWS, QUERY_STEP = 1024, 2048
 
 
-def joined_sums(points: DataFrame, queries: DataFrame, sweep_below: float | None = None) -> DataFrame:
+def joined_sums(points: DataFrame, queries: DataFrame, sweep_below: float | None = None, query_points: int = 1) -> DataFrame:
     """id, dist by a cross join with the broadcast query points. sweep_below: points of which the sum of
     differences in x alone is larger go."""
     q = F.broadcast(queries.select(F.col("x").alias("qx"), F.col("y").alias("qy")))
     out = points.select("id", "x", "y").crossJoin(q).groupBy("id").agg(F.sum(distance("x", "y", "qx", "qy")).alias("dist"), F.sum(F.abs(F.col("x") - F.col("qx"))).alias("dx"))
-    return (out if sweep_below is None else out.where(F.col("dx") <= sweep_below + SLACK)).select("id", "dist")
+    if sweep_below is not None:
+        out = out.where(F.col("dx") <= sweep_below + sum_slack(sweep_below, query_points))
+    return out.select("id", "dist")
 
 
 def x_sums(x: np.ndarray, qx: np.ndarray) -> np.ndarray:
@@ -45,7 +49,7 @@ def block_sums(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray, bel
         dy = y[rows, None] - qy[k : k + QUERY_STEP]
         total = total + np.sqrt(dx * dx + dy * dy).sum(1)
         if below is not None:
-            fits = total <= below + SLACK
+            fits = total <= below + sum_slack(below, len(qx))
             rows, total = rows[fits], total[fits]
     return rows, total
 
@@ -61,7 +65,7 @@ def arrow_sums(points: DataFrame, qx: np.ndarray, qy: np.ndarray, sweep_below: f
         for batch in batches:
             ids, x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if sweep_below is not None:
-                near = x_sums(x, qx) <= sweep_below + SLACK
+                near = x_sums(x, qx) <= sweep_below + sum_slack(sweep_below, len(qx))
                 ids, x, y = ids[near], x[near], y[near]
             for k in range(0, len(ids), ROWS):
                 rows, total = block_sums(x[k : k + ROWS], y[k : k + ROWS], qx, qy, stop_above)
@@ -82,7 +86,29 @@ def arrow_x_sums(points: DataFrame, qx: np.ndarray) -> DataFrame:
     return points.select(F.col("id").cast("long").alias("id"), "x").mapInArrow(run, "id long, sumdx double")
 
 
+def arrow_rect_sums(cells: DataFrame, qx: np.ndarray, qy: np.ndarray) -> DataFrame:
+    """cells with `bound`: the sum of the least distances of the query points to the cell (x0, y0, ds)."""
+    shared = cells.sparkSession.sparkContext.broadcast((qx, qy))  # at most QUERY_LIMIT points
+    schema = to_arrow_schema(cells.schema).append(pa.field("bound", pa.float64()))
+    at = [cells.columns.index(c) for c in ("x0", "y0", "ds")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qx, qy = shared.value
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                x, y, ds = (batch.column(i).to_numpy(zero_copy_only=False)[:, None] for i in at)
+                total = np.zeros(batch.num_rows)
+                for j in range(0, len(qx), QUERY_STEP):
+                    a, b = qx[j : j + QUERY_STEP], qy[j : j + QUERY_STEP]
+                    dx, dy = np.maximum(np.maximum(x - a, a - (x + ds)), 0), np.maximum(np.maximum(y - b, b - (y + ds)), 0)
+                    total += np.sqrt(dx * dx + dy * dy).sum(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], schema=schema)
+
+    return cells.mapInArrow(run, StructType([*cells.schema.fields, StructField("bound", DoubleType())]))
+
+
 def sums(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """id, dist of all points, by the way that suits the number of pairs."""
+    """id, dist of all points, by the way that suits the number of query points."""
     qx, qy = collect_query(queries)
-    return arrow_sums(points, qx, qy) if points.count() * len(qx) >= ARROW_PAIRS else joined_sums(points, queries)
+    return arrow_sums(points, qx, qy) if len(qx) >= ARROW_QUERIES else joined_sums(points, queries)

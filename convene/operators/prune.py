@@ -7,10 +7,12 @@ What exceeds the k-th distance met so far goes; equals stay, so ties are decided
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convene.functions.geometry import SLACK, distance, point_rect_distance, rect_rect_distance
+from convene.functions.geometry import distance, point_rect_distance, rect_rect_distance, sum_slack
+from convene.operators.kernel import arrow_rect_sums, arrow_x_sums
 from convene.operators.summary import QuerySummary
 
 
@@ -28,26 +30,29 @@ def box_bound(s: QuerySummary) -> Column:
     return s.n * rect_rect_distance("x0", "y0", _high("x"), _high("y"), s.xmin, s.ymin, s.xmax, s.ymax)
 
 
-def point_sums(cells: DataFrame, queries: DataFrame) -> DataFrame:
-    """H3 of cells: (cell, bound), the sum of distances to the query points, which are few by contract."""
-    q = F.broadcast(queries.select(F.col("x").alias("qx"), F.col("y").alias("qy")))
-    d = point_rect_distance("qx", "qy", "x0", "y0", _high("x"), _high("y"))
-    return cells.crossJoin(q).groupBy("cell").agg(F.sum(d).alias("bound"))
-
-
-def reasons(cells: DataFrame, queries: DataFrame, s: QuerySummary, best: float) -> DataFrame:
-    """cells with `reason`: the first of h1, h2, h3 that rules the cell out, or keep. H3 is computed for
-    cells that pass the other two only."""
-    over = best + SLACK
+def reasons(cells: DataFrame, qx: np.ndarray, qy: np.ndarray, s: QuerySummary, best: float) -> DataFrame:
+    """cells with `reason`: the first of h1, h2, h3 that rules the cell out, or keep. H3, the sum of a
+    cell's distances to the query points, is computed for cells that pass the other two only, against
+    the query points as arrays."""
+    over = best + sum_slack(best, s.n)
     first = cells.withColumn("reason", F.when(centre_bound(s) > over, "h1").when(box_bound(s) > over, "h2"))
-    bound = point_sums(first.where(F.col("reason").isNull()), queries)
-    joined = first.join(bound, "cell", "left")
-    return joined.withColumn("reason", F.coalesce("reason", F.when(F.col("bound") > over, "h3").otherwise("keep"))).drop("bound")
+    bounded = arrow_rect_sums(first.where(F.col("reason").isNull()).drop("reason"), qx, qy)
+    third = bounded.withColumn("reason", F.when(F.col("bound") > over, "h3").otherwise("keep")).drop("bound")
+    return first.where(F.col("reason").isNotNull()).unionByName(third)
 
 
 def near_centre(s: QuerySummary, best: float) -> Column:
     """H4: whether a point may be within the k-th distance, by its distance to the centroid."""
-    return s.n * distance("x", "y", s.xc, s.yc) - s.sumdist <= best + SLACK
+    return s.n * distance("x", "y", s.xc, s.yc) - s.sumdist <= best + sum_slack(best, s.n)
+
+
+def point_counters(points: DataFrame, qx: np.ndarray, s: QuerySummary, best: float) -> DataFrame:
+    """One row of point counts for the points of cells that are kept: all, those that the distance to the
+    centroid leaves (H4), and those of them that the sum of differences in x leaves."""
+    h4 = points.withColumn("near", near_centre(s, best))
+    swept = arrow_x_sums(h4.where("near"), qx).agg(F.count(F.when(F.col("sumdx") <= best + sum_slack(best, s.n), 1)).alias("sumdx_left"))
+    counted = h4.agg(F.count("*").alias("points"), F.count(F.when(F.col("near"), 1)).alias("h4_left"))
+    return counted.crossJoin(F.broadcast(swept)).select("points", "h4_left", (F.col("points") - F.col("h4_left")).alias("h4_cut"), "sumdx_left", (F.col("h4_left") - F.col("sumdx_left")).alias("sumdx_cut"))  # one row each
 
 
 def counters(reasoned: DataFrame, candidate_cells: int) -> DataFrame:

@@ -2,7 +2,10 @@
 
 A node of level l is (l, ix, iy): the l leading bits of a point's coordinates. Counting the sample's
 points under every prefix tells which nodes are split. A leaf's name lists the quadrants from the root,
-0 NW, 1 NE, 2 SW, 3 SE; the root alone has the empty name.
+0 NW, 1 NE, 2 SW, 3 SE; the root alone has the empty name. So a name is a number in base 4, points have
+one of `depth` digits, and a leaf holds a range of these: a point's leaf is the last one that begins at its
+number or before. Of a small tree the leaves' beginnings are broadcast and searched; of a large one they
+are sorted among the points, in one shuffle.
 
 Split policies:
   capacity   a node with more than `capacity` sample points is split
@@ -13,13 +16,22 @@ Split policies:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-#: Internal nodes (three numbers each) that are broadcast to name points' leaves; more are joined by shuffle.
+#: Internal nodes of a tree whose leaves (a number, a level and a name each) are broadcast, and which the
+#: driver may hold; larger trees stay distributed.
 BROADCAST_NODES = 200_000
+#: Levels by whose cells points and leaves of a large tree meet, and the parts of each such cell.
+MEET_LEVELS, MEET_PARTS = 6, 8
 KINDS = ("capacity", "siblings", "width")
 
 
@@ -37,6 +49,22 @@ def prefix_counts(sample: DataFrame, depth: int) -> DataFrame:
     return each.groupBy("level", up("fx").alias("ix"), up("fy").alias("iy")).agg(F.sum("n").alias("cnt"))
 
 
+#: Steps that part the 30 low bits of a number by blank ones: shift to the left by, and bits that stay.
+_SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def number(fx: np.ndarray, fy: np.ndarray, depth: int) -> np.ndarray:
+    """The number of cells of a level: their names in base 4."""
+    wide = lambda v: reduce(lambda x, step: (x << step[0] | x) & step[1], _SPREAD, v)
+    return wide((1 << depth) - 1 - fy.astype(np.int64)) << 1 | wide(fx.astype(np.int64))
+
+
+def number_of(fx: Column, fy: Column, last: Column) -> Column:
+    """number() as a column; last: the largest fy of the level."""
+    wide = lambda v: reduce(lambda x, step: F.shiftleft(x, step[0]).bitwiseOR(x).bitwiseAND(F.lit(step[1])), _SPREAD, v)
+    return F.shiftleft(wide(last - fy), 1).bitwiseOR(wide(fx.cast("long")))
+
+
 @dataclass
 class QuadTree:
     #: level, ix, iy of internal nodes from level `full` on
@@ -50,47 +78,101 @@ class QuadTree:
     #: A circle touching a cell from outside makes it a candidate.
     closed = True
 
-    def leaf_levels(self, points: DataFrame) -> DataFrame:
-        """Adds fx, fy and level (of the leaf) to points. Internal nodes are closed towards the root, so
-        the leaf lies one below the deepest internal node that holds the point."""
-        cells = points.withColumns({"fx": fine(F.col("x"), self.depth), "fy": fine(F.col("y"), self.depth)})
-        if self.n_nodes == 0:
-            return cells.withColumn("level", F.lit(self.full))
-        at_most = self.n_nodes <= BROADCAST_NODES
-        out = cells
-        found = F.lit(self.full)
-        for level in range(self.full, self.levels):
-            own = self.nodes.where(F.col("level") == level).select(F.col("ix").alias("jx"), F.col("iy").alias("jy"), F.lit(level + 1).alias(f"at{level}"))
-            near = F.shiftright("fx", self.depth - level)
-            above = F.shiftright("fy", self.depth - level)
-            out = out.join(F.broadcast(own) if at_most else own, (near == F.col("jx")) & (above == F.col("jy")), "left").drop("jx", "jy")
-            found = F.coalesce(F.col(f"at{level}"), found)
-        return out.withColumn("level", found).drop(*(f"at{level}" for level in range(self.full, self.levels)))
-
-    def name(self) -> Column:
-        """A leaf's name from fx, fy and level."""
-        bit = lambda c, level: F.shiftright(c, self.depth - level).bitwiseAND(F.lit(1))
-        digits = [F.when(F.col("level") >= k, (2 * (1 - bit("fy", k)) + bit("fx", k)).cast("string")).otherwise("") for k in range(1, max(self.levels, self.full) + 1)]
-        return F.concat(F.lit(""), *digits)
+    @property
+    def internal(self) -> int:
+        return self.n_nodes + (4**self.full - 1) // 3
+
+    @cached_property
+    def leaves(self) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
+        """Beginnings (sorted), levels and names of the leaves, empty ones included; None for a large tree."""
+        if self.internal > BROADCAST_NODES:
+            return None
+        rows = self.nodes.select("level", "ix", "iy").toPandas()  # BROADCAST_NODES rows at most
+        level, code = rows["level"].to_numpy(np.int64), np.zeros(len(rows), np.int64)
+        for k in np.unique(level):
+            here = level == k
+            code[here] = number(rows["ix"].to_numpy()[here], rows["iy"].to_numpy()[here], int(k))
+        inner = {int(k): np.sort(code[level == k]) for k in np.unique(level)}
+        begin, at = [], []
+        parents = np.arange(1)
+        for k in range(max(self.levels, self.full) + 1):
+            if k < self.full:
+                parents = np.arange(4 ** (k + 1))
+                continue
+            split = np.isin(parents, inner.get(k, np.empty(0, np.int64)))
+            begin.append(parents[~split] << 2 * (self.depth - k))
+            at.append(np.full(int((~split).sum()), k))
+            parents = (parents[split][:, None] * 4 + np.arange(4)).ravel()
+        begin, at = np.concatenate(begin), np.concatenate(at)
+        order = np.argsort(begin)
+        begin, at = begin[order], at[order]
+        names = pa.array([np.base_repr(int(b >> 2 * (self.depth - k)), 4).zfill(int(k)) if k else "" for b, k in zip(begin, at)], pa.string())
+        return begin, at.astype(np.int32), names
+
+    def located(self, points: DataFrame) -> DataFrame:
+        """Adds level and cell (the name) of the leaf to points."""
+        return self._searched(points) if self.leaves is not None else self._merged(points)
+
+    def _searched(self, points: DataFrame) -> DataFrame:
+        shared, depth = points.sparkSession.sparkContext.broadcast(self.leaves), self.depth  # 3 * BROADCAST_NODES + 1 leaves at most
+        schema = to_arrow_schema(points.schema).append(pa.field("level", pa.int32())).append(pa.field("cell", pa.string()))
+        ix, iy, side = points.columns.index("x"), points.columns.index("y"), 1 << depth
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begin, level, names = shared.value
+            for batch in batches:
+                fx, fy = (np.minimum(np.floor(batch.column(i).to_numpy(zero_copy_only=False) * float(side)).astype(np.int64), side - 1) for i in (ix, iy))
+                found = np.searchsorted(begin, number(fx, fy, depth), "right") - 1
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(level[found]), names.take(pa.array(found))], schema=schema)
+
+        return points.mapInArrow(run, StructType([*points.schema.fields, StructField("level", IntegerType()), StructField("cell", StringType())]))
+
+    def _merged(self, points: DataFrame) -> DataFrame:
+        """Leaves and points by number; a point's leaf is the last one before it. They meet by cells of a
+        shallow level, each in parts, so a crowded cell is many tasks; leaves go to all parts they reach."""
+        depth, top = self.depth, min(MEET_LEVELS, self.depth)
+        shift = 2 * (depth - top)
+        leaves = self._leaf_rows().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(MEET_PARTS - 1))))
+        reach = F.sequence(F.shiftright("begin", shift), F.shiftright(F.col("begin") + F.expr(f"shiftleft(1L, 2 * ({depth} - level))") - 1, shift))
+        leaves = leaves.select(F.explode(reach).alias("meet"), "part", "begin", "level", F.lit(True).alias("leaf"), F.lit(None).cast(points.schema).alias("row"))
+        own = points.select(F.struct("*").alias("row")).withColumn("begin", number_of(fine(F.col("row.x"), depth), fine(F.col("row.y"), depth), F.lit((1 << depth) - 1).cast("long")))
+        part = F.pmod(F.xxhash64("row"), F.lit(MEET_PARTS)).cast("int")
+        own = own.select(F.shiftright("begin", shift).alias("meet"), part.alias("part"), "begin", F.lit(None).cast("int").alias("level"), F.lit(False).alias("leaf"), "row")
+        order = Window.partitionBy("meet", "part").orderBy("begin", F.desc("leaf")).rowsBetween(Window.unboundedPreceding, 0)
+        found = leaves.unionByName(own).withColumn("level", F.last("level", True).over(order)).where(~F.col("leaf"))
+        digits = F.conv(F.expr(f"shiftright(begin, 2 * ({depth} - level))").cast("string"), 10, 4)
+        return found.select("row.*", "level", F.lpad(F.when(F.col("level") > 0, digits).otherwise(""), F.col("level"), F.lit("0")).alias("cell"))
+
+    def _leaf_rows(self) -> DataFrame:
+        """begin, level of the leaves: children of internal nodes that are not internal."""
+        spark, whole = self.nodes.sparkSession, 4**self.full
+        own = self.nodes.select("level", number_of(F.col("ix"), F.col("iy"), F.expr("shiftleft(1L, cast(level as int)) - 1")).alias("code"))
+        child = own.select((F.col("level") + 1).alias("level"), F.explode(F.array(*((F.col("code") * 4 + k) for k in range(4)))).alias("code"))
+        shallow = spark.range(whole).select(F.lit(self.full).alias("level"), F.col("id").alias("code"))
+        leaves = child.unionByName(shallow).join(own, ["level", "code"], "left_anti")
+        return leaves.select(F.expr(f"shiftleft(code, 2 * ({self.depth} - level))").alias("begin"), F.col("level").cast("int").alias("level"))
 
     def assign(self, points: DataFrame) -> DataFrame:
-        return self.leaf_levels(points).withColumn("cell", self.name()).drop("fx", "fy", "level")
+        return self.located(points).drop("level")
 
     def rects(self, cells: DataFrame) -> DataFrame:
         return name_rects(cells)
 
     def cell_at(self, x: float, y: float) -> str:
-        """The leaf that holds one point: one below the deepest internal node that does."""
-        fx, fy = (min(int(v * (1 << self.depth)), (1 << self.depth) - 1) for v in (x, y))
-        up = lambda v: F.expr(f"shiftright({v}L, {self.depth} - level)")
-        deepest = self.nodes.where((F.col("ix") == up(fx)) & (F.col("iy") == up(fy))).agg(F.max("level")).first()[0]
-        level = max(self.full, 0 if deepest is None else deepest + 1)
-        bit = lambda v, k: v >> self.depth - k & 1
-        return "".join(str(2 * (1 - bit(fy, k)) + bit(fx, k)) for k in range(1, level + 1))
+        """The leaf that holds one point."""
+        if self.leaves is None:
+            return self.assign(self.nodes.sparkSession.createDataFrame([(x, y)], "x double, y double")).first().cell
+        begin, _, names = self.leaves
+        fx, fy = (np.array([min(int(v * (1 << self.depth)), (1 << self.depth) - 1)]) for v in (x, y))
+        return names[int(np.searchsorted(begin, number(fx, fy, self.depth), "right")[0]) - 1].as_py()
 
     def width(self, cell: str) -> float:
         return 0.5 ** len(cell)
 
+    def close(self) -> None:
+        """Gives up what a large tree holds in the cluster's memory."""
+        self.nodes.unpersist()
+
 
 def name_rects(cells: DataFrame) -> DataFrame:
     """Adds x0, y0 and ds to rows whose cell is a quadtree name."""
@@ -118,16 +200,15 @@ def build(sample: DataFrame, capacity: int, kind: str = "capacity", depth: int =
         raise ValueError(f"kind is one of {KINDS}")
     if capacity < 1 or not 1 <= depth <= 30:
         raise ValueError("capacity is at least 1, depth from 1 to 30")
-    counts = prefix_counts(sample, depth).where((F.col("level") < depth) & (F.col("cnt") > capacity)).select("level", "ix", "iy").persist()
-    stats = counts.agg(F.count("*").alias("n"), F.max("level").alias("top")).first()
-    n, levels, full, nodes = stats.n, (stats.top + 1 if stats.n else 0), 0, counts
+    counts, n, levels = _held(prefix_counts(sample, depth).where((F.col("level") < depth) & (F.col("cnt") > capacity)).select("level", "ix", "iy"))
+    full, nodes = 0, counts
     if kind == "siblings" and n:
         # the four children of the parent of a node that overflows
         both = F.explode(F.array(F.lit(0), F.lit(1)))
         four = counts.where(F.col("level") > 0).select("level", F.shiftright("ix", 1).alias("px"), F.shiftright("iy", 1).alias("py")).distinct()
         four = four.withColumn("dx", both).withColumn("dy", both).select("level", (F.col("px") * 2 + F.col("dx")).alias("ix"), (F.col("py") * 2 + F.col("dy")).alias("iy"))
-        nodes = counts.where(F.col("level") == 0).unionByName(four).persist()
-        n = nodes.count()
+        nodes, n, _ = _held(counts.where(F.col("level") == 0).unionByName(four))
+        counts.unpersist()
     if kind == "width":
         widths = leaf_widths(counts, n > 0)
         mean = sum(widths) / len(widths)
@@ -137,9 +218,23 @@ def build(sample: DataFrame, capacity: int, kind: str = "capacity", depth: int =
     return QuadTree(nodes, depth, full, n, max(levels, full))
 
 
+def _held(nodes: DataFrame) -> tuple[DataFrame, int, int]:
+    """Nodes (level, ix, iy), their number, and the levels that have any. Few are brought to the driver,
+    and are a local table from then on; many stay in the cluster's memory until the tree is closed."""
+    spark = nodes.sparkSession
+    nodes = nodes.select(F.col("level").cast("int").alias("level"), F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"))
+    rows = nodes.limit(BROADCAST_NODES + 1).toArrow()
+    if rows.num_rows <= BROADCAST_NODES:
+        top = max(rows.column("level").to_pylist(), default=-1)
+        return spark.createDataFrame(rows, nodes.schema) if rows.num_rows else spark.createDataFrame([], nodes.schema), rows.num_rows, top + 1
+    nodes = nodes.persist()
+    stats = nodes.agg(F.count("*").alias("n"), F.max("level").alias("top")).first()
+    return nodes, stats.n, stats.top + 1
+
+
 def shape(tree: QuadTree) -> dict[str, int]:
     """internal nodes, leaves (empty ones included) and levels."""
-    internal = tree.n_nodes + (4**tree.full - 1) // 3
+    internal = tree.internal
     return {"internal": internal, "leaves": 3 * internal + 1, "levels": tree.levels}
 
 

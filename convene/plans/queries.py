@@ -11,11 +11,13 @@ from convene.functions import geometry as g
 from convene.operators import candidates, kernel, prune, quadtree, sampling, summary, topk
 from convene.operators.grid import Grid
 from convene.plans import testbed
-from convene.plans.engine import Config, brute_force, histogram, run
+from convene.plans.engine import Config, brute_force, gknn, histogram, prepare, run
 from convene.plans.registry import ORACLES, QUERIES
+from convene.sources import points as io
+from convene.sources.shared import shared_path
 
 K, N, CAPACITY, DEPTH, STEP, CELL_WIDTH = 10, 20, 40, 12, 1e-4, 0.05
-T, Q, E, S = testbed.SQL["orders"], testbed.SQL["supplier"], testbed.SQL["events"], f"SELECT * FROM ({testbed.SQL['events']}) WHERE id % 5 = 0"
+T, Q, E = testbed.SQL["orders"], testbed.SQL["supplier"], testbed.SQL["events"]
 
 
 def query(sql: str):
@@ -35,7 +37,7 @@ _points = testbed.points
 
 def _events_tree(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, quadtree.QuadTree]:
     events = _points(spark, sf_dir, "events")
-    return events, quadtree.build(events.where(F.col("id") % 5 == 0), CAPACITY, kind, DEPTH)
+    return events, quadtree.build(events, CAPACITY, kind, DEPTH)
 
 
 # ---- projections, filters, summaries
@@ -138,7 +140,7 @@ def grid_cell_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SIDE = 1 << DEPTH
 _FINE = f"least(CAST(floor(x*{_SIDE}) AS BIGINT), {_SIDE - 1}) AS fx, least(CAST(floor(y*{_SIDE}) AS BIGINT), {_SIDE - 1}) AS fy"
-_COUNTS = f"SELECT l, fx >> ({DEPTH}-l) AS ix, fy >> ({DEPTH}-l) AS iy, count(*) AS cnt FROM (SELECT {_FINE} FROM ({S})), (SELECT unnest(generate_series(0, {DEPTH})) AS l) GROUP BY ALL"
+_COUNTS = f"SELECT l, fx >> ({DEPTH}-l) AS ix, fy >> ({DEPTH}-l) AS iy, count(*) AS cnt FROM (SELECT {_FINE} FROM ({E})), (SELECT unnest(generate_series(0, {DEPTH})) AS l) GROUP BY ALL"
 _OVER = f"SELECT l, ix, iy FROM ({_COUNTS}) WHERE cnt > {CAPACITY} AND l < {DEPTH}"
 _INNER = {
     "capacity": _OVER,
@@ -172,7 +174,7 @@ _QT_HIST = f"""SELECT cell, count(*) AS cnt, {_NAME_RECT.format(low="cell[k] IN
 def _quadtree_assign(kind: str):
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         events, tree = _events_tree(spark, sf_dir, kind)
-        return tree.leaf_levels(events).withColumn("cell", tree.name()).select("id", "cell", F.col("level").cast("bigint").alias("level"))
+        return tree.located(events).select("id", "cell", F.col("level").cast("bigint").alias("level"))
 
     return f
 
@@ -350,7 +352,7 @@ def _reason_sql(p: str) -> str:
 
 
 def _local(celled: DataFrame, chosen: DataFrame, q: DataFrame) -> DataFrame:
-    return topk.top(kernel.joined_sums(celled.join(chosen.select("cell"), "cell", "left_semi"), q), K)
+    return topk.top(kernel.sums(celled.join(chosen.select("cell"), "cell", "left_semi"), q), K)
 
 
 def _prune_reason(p: str):
@@ -358,7 +360,7 @@ def _prune_reason(p: str):
         celled, _, hist, chosen, s, q = _first_cells(spark, sf_dir, p, "centroid")
         best = _local(celled, chosen, q).agg(F.max("dist")).first()[0]
         rest = hist.join(chosen.select("cell"), "cell", "left_anti")
-        return prune.reasons(rest, q, s, best).groupBy("reason").agg(F.count("*").alias("cells"), F.sum("cnt").alias("points"))
+        return prune.reasons(rest, *summary.collect_query(q), s, best).groupBy("reason").agg(F.count("*").alias("cells"), F.sum("cnt").alias("points"))
 
     return f
 
@@ -394,17 +396,17 @@ def local_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.ranked(_local(celled, chosen, q)).select("rank", "id", r6("dist", "dist"))
 
 
-_ODD = f"SELECT * FROM ({_sums_sql(f'SELECT * FROM ({T}) WHERE id % 3 <> 0')}) ORDER BY round(dist, 9), id LIMIT {K}"
-_EVEN = f"SELECT * FROM ({_sums_sql(f'SELECT * FROM ({T}) WHERE id % 3 <> 1')}) ORDER BY round(dist, 9), id LIMIT {K}"
+_LEFT = f"SELECT * FROM ({_sums_sql(f'SELECT * FROM ({T}) WHERE x <= 0.6::DOUBLE')}) ORDER BY round(dist, 9), id LIMIT {K}"
+_RIGHT = f"SELECT * FROM ({_sums_sql(f'SELECT * FROM ({T}) WHERE x >= 0.4::DOUBLE')}) ORDER BY round(dist, 9), id LIMIT {K}"
 
 
 @query(
-    f"SELECT CAST(row_number() OVER (ORDER BY round(dist, 9), id) AS INTEGER) AS rank, id, round(dist, 6) AS dist FROM (SELECT id, min(dist) AS dist FROM (SELECT * FROM ({_ODD}) UNION ALL SELECT * FROM ({_EVEN})) GROUP BY id) ORDER BY rank LIMIT {K}"
+    f"SELECT CAST(row_number() OVER (ORDER BY round(dist, 9), id) AS INTEGER) AS rank, id, round(dist, 6) AS dist FROM (SELECT id, min(dist) AS dist FROM (SELECT * FROM ({_LEFT}) UNION ALL SELECT * FROM ({_RIGHT})) GROUP BY id) ORDER BY rank LIMIT {K}"
 )
 def merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lists with ids in common."""
+    """Lists of two overlapping halves of the plane, with ids in common."""
     t, q = _points(spark, sf_dir, "orders"), _points(spark, sf_dir, "supplier")
-    lists = [topk.top(kernel.sums(t.where(F.col("id") % 3 != m), q), K) for m in (0, 1)]
+    lists = [topk.top(kernel.sums(t.where(half), q), K) for half in (F.col("x") <= 0.6, F.col("x") >= 0.4)]
     return topk.ranked(topk.merge(K, *lists)).select("rank", "id", r6("dist", "dist"))
 
 
@@ -422,7 +424,7 @@ def gknn_bruteforce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gknn(config: Config, t: str = "orders", q: str = "supplier"):
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run(_points(spark, sf_dir, t), _points(spark, sf_dir, q), config).nearest.select("rank", "id", r6("dist", "dist"))
+        return gknn(_points(spark, sf_dir, t), _points(spark, sf_dir, q), config).select("rank", "id", r6("dist", "dist"))
 
     return f
 
@@ -462,4 +464,113 @@ _PRUNED = f"SELECT reason, cells, points FROM ({_reason_sql('gd')})"
 """)
 def gknn_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = run(_points(spark, sf_dir, "orders"), _points(spark, sf_dir, "supplier"), Config(k=K, n=N, step=STEP))
-    return prune.counters(done.reasons, done.candidate_cells.count())
+    counted = prune.counters(done.reasons, done.candidate_cells.count())
+    out = spark.createDataFrame(counted.collect(), counted.schema)  # one row
+    done.close()
+    return out
+
+
+_KEPT = f"""SELECT h.cell FROM ({_GRID_HIST}) h, ({_MEAN_STEP}) c, {_BEST} b
+    WHERE cell NOT IN (SELECT cell FROM ({_CANDIDATES["gd", "centroid"]}))
+      AND c.n * {_pr('c.xc', 'c.yc', 'x0', 'y0', '(x0+ds)', '(y0+ds)')} - c.sumdist <= b.best + 1e-9
+      AND c.n * {_rr('', ('c.xmin', 'c.xmax', 'c.ymin', 'c.ymax'))} <= b.best + 1e-9
+      AND (SELECT sum({_pr('q.x', 'q.y', 'h.x0', 'h.y0', '(h.x0+h.ds)', '(h.y0+h.ds)')}) FROM ({Q}) q) <= b.best + 1e-9"""
+
+
+@query(f"""
+    SELECT count(*) AS points, count(*) FILTER (h4) AS h4_left, count(*) FILTER (NOT h4) AS h4_cut,
+        count(*) FILTER (h4 AND dx <= best + 1e-9) AS sumdx_left, count(*) FILTER (h4 AND dx > best + 1e-9) AS sumdx_cut
+    FROM (
+        SELECT s.dx, b.best, c.n * sqrt((t.x-c.xc)*(t.x-c.xc)+(t.y-c.yc)*(t.y-c.yc)) - c.sumdist <= b.best + 1e-9 AS h4
+        FROM ({_GRID}) t JOIN ({_sums_sql()}) s USING (id), ({_MEAN_STEP}) c, {_BEST} b WHERE t.cell IN ({_KEPT})
+    )
+""")
+def gknn_point_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the bounds on points fare in the cells that the bounds on cells keep."""
+    q = _points(spark, sf_dir, "supplier")
+    done = run(_points(spark, sf_dir, "orders"), q, Config(k=K, n=N, step=STEP))
+    kept = done.kept_points if done.kept_points is not None else _points(spark, sf_dir, "orders").limit(0)
+    counted = prune.point_counters(kept, summary.collect_query(q)[0], done.summary, done.best)
+    out = spark.createDataFrame(counted.collect(), counted.schema)  # one row
+    done.close()
+    return out
+
+
+# ---- prepared points
+
+
+def _prepartitioned(partitioning: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Points are written with their cells once; the query reads these."""
+        path, config = shared_path(spark, "prepared"), Config(k=K, n=N, capacity=CAPACITY, depth=DEPTH, step=STEP, partitioning=partitioning)
+        io.write_prepared(prepare(_points(spark, sf_dir, "orders"), config), path)
+        return gknn(None, _points(spark, sf_dir, "supplier"), config, prepared=io.read_prepared(spark, path, partitioning)).select("rank", "id", r6("dist", "dist"))
+
+    return f
+
+
+for _p, _name in (("gd", "gknn_prepartitioned"), ("qt", "gknn_prepartitioned_qt")):
+    QUERIES[_name], ORACLES[_name] = _prepartitioned(_p), _top_sql()
+
+
+# ---- files: each is written and read again
+
+
+@query(f"SELECT id, round(x, 12) AS x, round(y, 12) AS y FROM ({T})")
+def file_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "points")
+    io.write_text(_points(spark, sf_dir, "orders"), path)
+    return io.read_text(spark, path).select("id", F.round("x", 12).alias("x"), F.round("y", 12).alias("y"))
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY x, id) AS INTEGER) AS rn, id, round(x, 12) AS x, round(y, 12) AS y FROM ({Q})")
+def file_sorted_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "sorted")
+    io.write_sorted(_points(spark, sf_dir, "supplier"), path)
+    return io.read_sorted(spark, path).select("rn", "id", F.round("x", 12).alias("x"), F.round("y", 12).alias("y"))
+
+
+@query(f"SELECT n, {', '.join(f'round({c}, 6) AS {c}' for c in ('xmin', 'xmax', 'ymin', 'ymax', 'xc', 'yc', 'sumdist'))} FROM ({_MEAN_STEP})")
+def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, s = shared_path(spark, "summary"), summary.summarize(_points(spark, sf_dir, "supplier"), STEP)
+    io.write_summary_text(spark, s, path)
+    again = io.read_summary_text(spark, path, s.n)
+    rows = spark.createDataFrame([(again.n, again.xmin, again.xmax, again.ymin, again.ymax, again.xc, again.yc, again.sumdist)], "n bigint, xmin double, xmax double, ymin double, ymax double, xc double, yc double, sumdist double")
+    return rows.select("n", *(r6(c, c) for c in rows.columns[1:]))
+
+
+@query(f"SELECT cell::VARCHAR AS cell, id, x, y FROM ({_GRID})")
+def file_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "cells")
+    io.write_cell_text(_grid(spark, sf_dir), path)
+    return io.read_cell_text(spark, path)
+
+
+@query(f"SELECT cell::VARCHAR AS cell, count(*) AS cnt FROM ({_GRID}) GROUP BY cell")
+def file_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "histogram")
+    io.write_histogram(_grid(spark, sf_dir).groupBy("cell").agg(F.count("*").alias("cnt")), path)
+    return io.read_histogram(spark, path)
+
+
+@query(f"SELECT cell::VARCHAR AS cell FROM ({_CANDIDATES['gd', 'centroid']})")
+def file_candidate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "candidates")
+    io.write_candidate_cells(_first_cells(spark, sf_dir, "gd", "centroid")[3], path)
+    return io.read_candidate_cells(spark, path)
+
+
+@query(f"SELECT id, cell FROM ({_tree_sql('siblings')})")
+def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points placed by a tree that was read from its line of bits."""
+    path = shared_path(spark, "tree")
+    events, tree = _events_tree(spark, sf_dir, "siblings")
+    io.write_tree_bits(tree, path)
+    return io.read_tree_bits(spark, path, DEPTH).assign(events).select("id", "cell")
+
+
+@query(_top_sql())
+def file_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "neighbours")
+    io.write_neighbours(gknn(_points(spark, sf_dir, "orders"), _points(spark, sf_dir, "supplier"), Config(k=K, n=N, step=STEP)), path)
+    return topk.ranked(io.read_neighbours(spark, path)).select("rank", "id", r6("dist", "dist"))

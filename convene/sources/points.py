@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convene.operators.quadtree import QuadTree
+from convene.operators.grid import Grid
+from convene.operators.quadtree import QuadTree, preorder_bits
 from convene.operators.summary import QuerySummary
 
 POINT = "id bigint, x double, y double"
@@ -42,6 +43,18 @@ def write_text(points: DataFrame, path: str, decimals: int = 15) -> None:
     points.select(F.concat_ws("\t", F.col("id").cast("string"), number("x"), number("y"))).write.mode("overwrite").text(path)
 
 
+def write_sorted(queries: DataFrame, path: str) -> None:
+    """Query points by x, then id, with their rank, as text; a query set is small by contract."""
+    number = lambda c: F.format_string("%.15f", F.col(c))
+    ranked = queries.select(F.row_number().over(Window.orderBy("x", "id")).alias("rn"), "id", "x", "y")
+    ranked.coalesce(1).sortWithinPartitions("rn").select(F.concat_ws("\t", F.col("rn").cast("string"), F.col("id").cast("string"), number("x"), number("y"))).write.mode("overwrite").text(path)
+
+
+def read_sorted(spark: SparkSession, path: str) -> DataFrame:
+    """rn, id, x, y of query points by x."""
+    return spark.read.schema(f"rn int, {POINT}").option("sep", "\t").option("mode", "FAILFAST").csv(path)
+
+
 def write_cells(celled: DataFrame, path: str) -> None:
     """Points with their cells, as Parquet in cell order, so that a filter on cells skips row groups."""
     celled.repartitionByRange("cell").sortWithinPartitions("cell").write.mode("overwrite").parquet(path)
@@ -93,12 +106,58 @@ def read_summary(spark: SparkSession, path: str) -> QuerySummary:
     return QuerySummary(**spark.read.schema("n bigint, xmin double, xmax double, ymin double, ymax double, xc double, yc double, sumdist double").json(path).first().asDict())
 
 
+def write_summary_text(spark: SparkSession, s: QuerySummary, path: str) -> None:
+    """One line of seven tab-separated numbers: xmin, xmax, ymin, ymax, xc, yc, sumdist."""
+    spark.createDataFrame([(s.line(),)], "value string").write.mode("overwrite").text(path)
+
+
+def read_summary_text(spark: SparkSession, path: str, n: int) -> QuerySummary:
+    """A summary of n query points; the line doesn't say how many."""
+    return QuerySummary(n, *(float(v) for v in spark.read.text(path).first().value.split("\t")))
+
+
 def write_neighbours(nearest: DataFrame, path: str) -> None:
     """id and distance (10 decimals) of ranked neighbours, one a line, nearest first; k rows."""
     line = F.concat_ws("\t", F.col("id").cast("string"), F.format_string("%.10f", F.col("dist")))
     nearest.coalesce(1).sortWithinPartitions("rank").select(line).write.mode("overwrite").text(path)
 
 
+def read_neighbours(spark: SparkSession, path: str) -> DataFrame:
+    """id, dist from lines of any number of pairs, as written for one list or for many cells' lists."""
+    parts = F.split(F.trim("value"), "\t", -1)
+    count = (F.size(parts) / 2).cast("int")
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parts.alias("p"), F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
+    at = lambda j: F.element_at("p", F.col("k") * 2 + 1 + j)
+    return rows.select(at(0).cast("bigint").alias("id"), at(1).cast("double").alias("dist"))
+
+
+def append_times(spark: SparkSession, seconds: dict[str, float], path: str) -> None:
+    """One more row (time, seconds of each phase) in a folder of JSON lines."""
+    row = spark.createDataFrame([(seconds,)], "seconds map<string,double>").select(F.current_timestamp().alias("time"), "seconds")
+    row.coalesce(1).write.mode("append").json(path)
+
+
+def write_prepared(prepared, path: str) -> None:
+    """Points with their cells, sorted by them, the histogram, and the index, in folders of a path."""
+    spark = prepared.celled.sparkSession
+    write_cells(prepared.celled, f"{path}/cells")
+    # the written cells are counted, not the points once more
+    counts = spark.read.parquet(f"{path}/cells").groupBy("cell").agg(F.count("*").alias("cnt"))
+    counts.write.mode("overwrite").parquet(f"{path}/histogram")
+    if isinstance(prepared.index, Grid):
+        spark.createDataFrame([(prepared.index.n,)], "n int").write.mode("overwrite").json(f"{path}/grid")
+    else:
+        write_tree(prepared.index, f"{path}/tree")
+
+
+def read_prepared(spark: SparkSession, path: str, partitioning: str):
+    """What write_prepared() wrote; partitioning: gd or qt."""
+    from convene.plans.engine import Prepared
+
+    index = Grid(spark.read.schema("n int").json(f"{path}/grid").first().n) if partitioning == "gd" else read_tree(spark, f"{path}/tree")
+    return Prepared(spark.read.parquet(f"{path}/cells"), index.rects(spark.read.parquet(f"{path}/histogram")), index)
+
+
 def write_tree(tree: QuadTree, path: str) -> None:
     full = F.lit(tree.full)
     spark = tree.nodes.sparkSession
@@ -112,3 +171,20 @@ def read_tree(spark: SparkSession, path: str) -> QuadTree:
     nodes = rows.where(F.col("level") >= 0).select("level", "ix", "iy")
     stats = nodes.agg(F.count("*").alias("n"), F.max("level").alias("top")).first()
     return QuadTree(nodes, int(head.ix), int(head.iy), stats.n, max(int(head.iy), stats.top + 1 if stats.n else 0))
+
+
+def write_tree_bits(tree: QuadTree, path: str) -> None:
+    """The tree as a line of 1 (internal) and 0 (leaf) in preorder NW, NE, SW, SE; small trees only."""
+    tree.nodes.sparkSession.createDataFrame([(preorder_bits(tree),)], "value string").write.mode("overwrite").text(path)
+
+
+def read_tree_bits(spark: SparkSession, path: str, depth: int) -> QuadTree:
+    """A tree from its line, whose deepest cells are of a level."""
+    bits, nodes, work = spark.read.text(path).first().value, [], [(0, 0, 0)]
+    for bit in bits:
+        level, ix, iy = work.pop()
+        if bit == "1":
+            nodes.append((level, ix, iy))
+            work += [(level + 1, 2 * ix + dx, 2 * iy + dy) for dx, dy in ((1, 0), (0, 0), (1, 1), (0, 1))]
+    frame = spark.createDataFrame(nodes, "level int, ix bigint, iy bigint")
+    return QuadTree(frame, depth, 0, len(nodes), max((n[0] for n in nodes), default=-1) + 1)

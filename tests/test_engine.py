@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from convene.operators import candidates, kernel, prune, quadtree, summary, topk
 from convene.operators.grid import Grid
-from convene.plans.engine import Config, gknn, histogram, run
+from convene.plans.engine import Config, gknn, histogram, prepare, run
+from convene.sources import points as io
 
 POINT = "id bigint, x double, y double"
 
@@ -130,6 +131,48 @@ def test_second_pass_skips_by_pushed_filters(spark, tmp_path):
     done = run(spark.read.parquet(str(tmp_path / "t")), spark.createDataFrame(q, POINT), Config(k=50, n=40, candidates="centroid"))
     assert rows(done.nearest) == brute(t, q, 50)
     spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
-    plan = done.nearest._jdf.queryExecution().executedPlan().toString()
+    plan = done.remote.select("*")._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(x," in plan and "LessThanOrEqual(y," in plan
+
+
+@pytest.mark.parametrize("partitioning", ["gd", "qt"])
+def test_prepared_points(spark, tmp_path, partitioning):
+    """Written once with their cells, points answer as before, and the scan is handed ranges of cells."""
+    t, config, seen = uniform(3000, 61), Config(k=150, n=30, capacity=20, depth=12, partitioning=partitioning), 0
+    points = spark.createDataFrame(t, POINT)
+    io.write_prepared(prepare(points, config), str(tmp_path / "prepared"))
+    for seed in (62, 63):
+        q = uniform(6, seed, 0.2 * (seed - 61), 0.2 * (seed - 61) + 0.1)
+        ready = io.read_prepared(spark, str(tmp_path / "prepared"), partitioning)
+        done = run(None, spark.createDataFrame(q, POINT), config, prepared=ready)
+        assert rows(done.nearest) == brute(t, q, 150)
+        if done.remote is None:  # nothing was left for a second pass
+            continue
+        seen += 1
+        spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+        plan = done.remote.select("*")._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+        assert "GreaterThanOrEqual(cell," in plan and "LessThanOrEqual(cell," in plan and "GreaterThanOrEqual(x," in plan
+        done.close()
+    assert seen
+
+
+def test_very_many_query_points(spark):
+    """Sums near 5 * 10^4 round apart by more than a fixed slack; options still change nothing."""
+    rng = np.random.default_rng(71)
+    q = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((100_000, 2)))], POINT)
+    t = uniform(60, 72, 0.3, 0.7) + [(100 + i, 0.5, 0.5) for i in range(8)]
+    points, found = spark.createDataFrame(t, POINT).cache(), []
+    for kind, fast, mode, heuristics in (("join", False, "bf", False), ("arrow", True, "ps", True), ("join", True, "ps", True), ("arrow", False, "bf", True)):
+        got = gknn(points, q, Config(k=12, n=4, kernel=kind, fast_sums=fast, mode=mode, heuristics=heuristics))
+        found.append([(r.rank, r.id) for r in got.orderBy("rank").collect()])
+    assert all(f == found[0] for f in found[1:])
+
+
+def test_nothing_stays_in_memory(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    points = spark.createDataFrame(uniform(300, 81), POINT)
+    for partitioning in ("gd", "qt"):
+        gknn(points, spark.createDataFrame(uniform(4, 82), POINT), Config(k=5, n=6, capacity=9, partitioning=partitioning)).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before

@@ -1,5 +1,6 @@
 """Index, geometry, summaries, samples, files and the command line."""
 
+import dataclasses
 import math
 import random
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from convene.__main__ import main, parse
 from convene.functions import geometry as g
-from convene.operators import quadtree, sampling, summary
+from convene.operators import candidates, quadtree, sampling, summary
 from convene.operators.grid import Grid
 from convene.plans.engine import histogram
 from convene.sources import points as io
@@ -72,7 +73,10 @@ def test_quadtree_by_recursion(spark, kind, n, capacity, depth):
         monkey = quadtree.BROADCAST_NODES
         quadtree.BROADCAST_NODES = 0
         try:
-            assert sorted(map(tuple, tree.assign(df).collect())) == sorted(map(tuple, celled.where("id < 1000").collect()))
+            large = dataclasses.replace(tree)  # its leaves meet the points in a shuffle
+            assert large.leaves is None and large.cell_at(0.3, 0.7) == tree.cell_at(0.3, 0.7)
+            every = spark.createDataFrame(probes, POINT)
+            assert sorted(map(tuple, large.located(every).collect())) == sorted(map(tuple, tree.located(every).collect()))
         finally:
             quadtree.BROADCAST_NODES = monkey
 
@@ -100,13 +104,13 @@ def test_rect_distances(spark):
     rows = [tuple(v for _ in range(2) for v in (lambda a, b: (min(a), min(b), max(a), max(b)))([rng.random(), rng.random()], [rng.random(), rng.random()])) for _ in range(200)]
     names = ["ax0", "ay0", "ax1", "ay1", "bx0", "by0", "bx1", "by1"]
     df = spark.createDataFrame(rows, names)
-    out = df.select(*names, g.rect_rect_distance(*names).alias("d"), g.rects_meet(*names).alias("m"), g.point_rect_distance("ax0", "ay0", *names[4:]).alias("p"), g.circle_meets_rect("ax0", "ay0", 0.2, *names[4:]).alias("c"))
+    out = df.select(*names, g.rect_rect_distance(*names).alias("d"), g.rects_meet(*names).alias("m"), g.point_rect_distance("ax0", "ay0", *names[4:]).alias("p"))
     for r in out.collect():
         gap = lambda lo1, hi1, lo2, hi2: max(lo2 - hi1, lo1 - hi2, 0)
         want = math.hypot(gap(r.ax0, r.ax1, r.bx0, r.bx1), gap(r.ay0, r.ay1, r.by0, r.by1))
         assert math.isclose(r.d, want, abs_tol=1e-12) and r.m == (want == 0)
         near = math.hypot(gap(r.ax0, r.ax0, r.bx0, r.bx1), gap(r.ay0, r.ay0, r.by0, r.by1))
-        assert math.isclose(r.p, near, abs_tol=1e-12) and r.c == (near <= 0.2)
+        assert math.isclose(r.p, near, abs_tol=1e-12)
 
 
 coordinate = st.floats(0, 1)
@@ -166,6 +170,17 @@ def test_files(spark, tmp_path):
     s = summary.summarize(df)
     io.write_summary(spark, s, at("summary"))
     assert io.read_summary(spark, at("summary")) == s
+    io.write_summary_text(spark, s, at("summarytext"))
+    assert io.read_summary_text(spark, at("summarytext"), s.n).line() == s.line()
+    io.write_tree_bits(tree, at("bits"))
+    assert sorted(map(tuple, io.read_tree_bits(spark, at("bits"), 9).assign(df).collect())) == sorted(map(tuple, celled.collect()))
+    io.write_sorted(df, at("sorted"))
+    assert [(r.rn, r.id) for r in io.read_sorted(spark, at("sorted")).orderBy("rn").collect()] == [(k + 1, i) for k, (i, _, _) in enumerate(sorted(rows, key=lambda p: (p[1], p[0])))]
+    spark.createDataFrame([("1\t0.5\t2\t0.25",), ("",), ("3\t1.0",)], "value string").write.text(at("lists"))
+    assert sorted(map(tuple, io.read_neighbours(spark, at("lists")).collect())) == [(1, 0.5), (2, 0.25), (3, 1.0)]
+    for k in range(2):
+        io.append_times(spark, {"cells": k + 0.5}, at("times"))
+    assert sorted(r.seconds.cells for r in spark.read.json(at("times")).collect()) == [0.5, 1.5]
     io.write_cell_table(celled, "cells_bucketed", 4)
     assert spark.table("cells_bucketed").count() == 60
     spark.sql("DROP TABLE cells_bucketed")
@@ -205,11 +220,45 @@ def test_command_line(spark, tmp_path, capsys):
     main(["sample", f"input={tmp_path}/t", f"output={tmp_path}/sample", "rate=50"])
     assert 0 < io.read_text(spark, f"{tmp_path}/sample").count() < 50
     main(["sort", f"query={tmp_path}/q", f"output={tmp_path}/sorted"])
-    assert io.read_text(spark, f"{tmp_path}/sorted").count() == 3
-    main(["tree", f"input={tmp_path}/t", f"output={tmp_path}/tree", "capacity=4", "split=siblings"])
+    assert [r.rn for r in io.read_sorted(spark, f"{tmp_path}/sorted").collect()] == [1, 2, 3]
+    main(["prepare", f"training={tmp_path}/t", f"output={tmp_path}/ready", "N=4"])
+    capsys.readouterr()
+    main([f"prepared={tmp_path}/ready", f"query={tmp_path}/q", "K=3", f"times={tmp_path}/times"])
+    again = [line.split("\t") for line in capsys.readouterr().out.strip().splitlines()]
+    assert again == printed and spark.read.json(f"{tmp_path}/times").count() == 1
+    main(["tree", f"input={tmp_path}/t", f"output={tmp_path}/tree", "capacity=4", "split=siblings", f"bits={tmp_path}/bits"])
     assert io.read_tree(spark, f"{tmp_path}/tree").n_nodes > 0
     capsys.readouterr()
     main(["summary", f"query={tmp_path}/q", f"output={tmp_path}/sum"])
     main(["trace", f"query={tmp_path}/q", "limit=3", "diff=0"])
     lines = capsys.readouterr().out.splitlines()
     assert lines[0] == io.read_summary(spark, f"{tmp_path}/sum").line() and len(lines) == 4
+
+
+@pytest.mark.parametrize("depth", [1, 12, 30])
+def test_numbers_are_names_in_base_four(spark, depth):
+    import numpy as np
+
+    rng = random.Random(depth)
+    cells = [(rng.randrange(1 << depth), rng.randrange(1 << depth)) for _ in range(300)] + [(0, 0), ((1 << depth) - 1, (1 << depth) - 1)]
+    want = [int("".join(str(2 * (1 - (y >> k & 1)) + (x >> k & 1)) for k in range(depth - 1, -1, -1)), 4) for x, y in cells]
+    x, y = (np.array(v, np.int64) for v in zip(*cells))
+    assert quadtree.number(x, y, depth).tolist() == want
+    df = spark.createDataFrame(cells, "x long, y long")
+    got = df.select(quadtree.number_of(F.col("x"), F.col("y"), F.lit((1 << depth) - 1)).alias("n")).collect()
+    assert [r.n for r in got] == want
+
+
+@pytest.mark.parametrize("corner", [(0.0, 0.0, 0.0, 0.0), (0.3, 0.2, 0.5, 0.9), (1.0, 1.0, 1.0, 1.0), (0.0, 0.7, 1e-6, 0.7), (0.049, 0.95, 0.0501, 1.0)])
+def test_box_rounds_by_search(spark, corner):
+    """The round of the logarithms is the first of all boxes that meets the cell."""
+    x0, y0, x1, y1 = corner
+    s = summary.QuerySummary(2, x0, x1, y0, y1, (x0 + x1) / 2, (y0 + y1) / 2, 1.0)
+    rng = random.Random(5)
+    widths = [0.5**k for k in range(1, 31)] + [0.05]
+    cells = [(i, 1, w * int(rng.random() / w), w * int(rng.random() / w), w) for i, w in enumerate(rng.choices(widths, k=1500))]
+    cells += [(5000 + k, 1, b[3], b[2], 0.01) for k, b in enumerate(candidates.boxes(s)[:60])]  # low sides on boxes' high sides
+    got = {r.cell: r.round for r in candidates.box_rounds(spark.createDataFrame(cells, "cell long, cnt long, x0 double, y0 double, ds double"), s).collect()}
+    for cell, _, cx, cy, ds in cells:
+        want = next((t for t, bx0, by0, bx1, by1 in candidates.boxes(s) if cx <= bx1 and cx + ds >= bx0 and cy <= by1 and cy + ds >= by0), None)
+        assert got.get(cell) == want, (cell, cx, cy, ds)
