@@ -9,9 +9,9 @@ needs. What is open in the end is a template of its own, its digit fields left o
 
 A template that recurs in `min_docs` documents or more is dropped everywhere but at its first place (the
 least doc_id, then the least line). Lines of `LONG` tokens don't recur by chance: for them `LONG_DOCS`
-documents are enough. But a document that consists of such rarely repeated lines by more than half its
-characters is a copy, not a text with a borrowed passage; it keeps them, for near-duplicate removal to
-see it whole.
+documents are enough. But a document that consists of such rarely repeated lines by more than a part
+`COPY` of its characters is taken for a copy, not for a text with a borrowed passage; it keeps them, for
+near-duplicate removal to see it whole.
 
 The corpus is scanned for leaves first. Only leaves with enough lines can hold a recurring template; a
 bitmap says which hash buckets have one, and the second scan keeps the lines that fall into those. Token
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from convene.llm.common import cut, discard, near_buckets, spaced
 
 MIN_DOCS, DEPTH, CONSTANT, SIMILAR, SIMILAR_REST = 8, 3, 0.5, 0.7, 0.5
-LONG, LONG_DOCS = 50, 2
+LONG, LONG_DOCS, COPY = 50, 2, 0.25
 FIELD = "<*>"
 
 _MASK = "[^ ]*[0-9][^ ]*"
@@ -140,14 +140,14 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) ->
     row; the caller may drop it. Columns named n_lines or n_dropped are replaced; all others stay as they
     are, whatever their names; an empty table gives no row."""
     lost = recurring(docs, min_docs, depth)
-    # what one document loses: the rare lines only if they are no more than half of it
+    # what one document loses: the rare lines only if they are no more than a part of it
     gone = lost.groupBy("doc_id", "th").agg(F.collect_set("idx").alias("every"), F.collect_set(F.when(~F.col("rare"), F.col("idx"))).alias("common"), F.coalesce(F.sum(F.when(F.col("rare"), F.col("len"))), F.lit(0)).alias("rare_len"))
     gone = gone.select(F.struct("*").alias("gone"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(F.struct(*keep).alias("row"))
     text, th = F.col("row.text"), F.xxhash64("row.text")
     joined = rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone.doc_id")) & (th == F.col("gone.th")), "left")
-    idx = F.when(2 * F.col("gone.rare_len") <= F.length(text), F.col("gone.every")).otherwise(F.col("gone.common"))
+    idx = F.when(F.col("gone.rare_len") <= COPY * F.length(text), F.col("gone.every")).otherwise(F.col("gone.common"))
     joined = joined.select("row", idx.alias("idx"))
     # the split text is bound to a variable once: the lines that stay are looked up by number
     left = F.expr(r"element_at(transform(array(split(row.text, '\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), idx), i -> element_at(ls, i + 1)), '\n')), 1)")
@@ -209,7 +209,7 @@ SQL = f"""
         WHERE NOT (p.doc_id IS NOT DISTINCT FROM first.d AND p.text = first.t AND p.idx = first.i)
     ), gone AS (
         SELECT doc_id, text, list(idx) AS gone FROM lost
-        WHERE NOT rare OR (SELECT 2 * sum(r.chars) FROM lost r WHERE r.rare AND r.doc_id IS NOT DISTINCT FROM lost.doc_id AND r.text = lost.text) <= len(text)
+        WHERE NOT rare OR (SELECT sum(r.chars) FROM lost r WHERE r.rare AND r.doc_id IS NOT DISTINCT FROM lost.doc_id AND r.text = lost.text) <= {COPY} * len(text)
         GROUP BY doc_id, text
     ), rebuilt AS (
         SELECT r.doc_id, r.text, coalesce(string_agg(r.line, chr(10) ORDER BY r.idx) FILTER (NOT list_contains(g.gone, r.idx)), '') AS rest, any_value(len(g.gone)) AS n

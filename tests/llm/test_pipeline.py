@@ -156,7 +156,7 @@ def test_planted_cases(spark):
     passage = text(70)
     docs = dict(clean)
     docs[100], docs[101] = clean[0], clean[1].replace(" ", " added ", 1)
-    docs[102], docs[103] = clean[2] + "\n" + passage + "\n" + text(60), passage + "\n" + "\n".join(text(40) for _ in range(5))
+    docs[102], docs[103] = clean[2] + "\n" + passage + "\n" + text(60), passage + "\n" + "\n".join(text(40) for _ in range(8))
     rows = [(i, t, "aa", f"s{i % 4}", len(t)) for i, t in docs.items()]
     before = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     lined = p.cut(p.line_dedup(spark, p.cut(p.language_id(spark, before, SF), "planted-1"), SF), "planted-2")

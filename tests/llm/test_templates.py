@@ -70,13 +70,13 @@ def test_long_passages_of_two_documents(spark):
     words = lambda k, n: " ".join(f"w{chr(97 + k)}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n))
     passage = words(0, 55)
     own = lambda k: "\n".join(words(k, 40) for _ in range(1)) + "\n" + words(k + 1, 41)
-    rows = [(1, own(2) + "\n" + passage, "x", 0), (2, own(5) + "\n" + passage + "\n" + own(8), "x", 0)]
-    rows += [(3, words(12, 60) + "\nend", "x", 0), (4, words(12, 60) + "\nother end", "x", 0)]  # a copy stays whole
-    rows += [(5, words(15, 49), "x", 0), (6, words(15, 49) + "\n" + own(17), "x", 0)]  # 49 words are no passage
+    rows = [(1, own(2) + "\n" + passage, "x", 0), (2, own(5) + "\n" + passage + "\n" + own(8) + "\n" + own(11), "x", 0)]
+    rows += [(3, words(20, 60) + "\nend", "x", 0), (4, words(20, 60) + "\nother end", "x", 0)]  # a copy stays whole
+    rows += [(5, words(15, 49), "x", 0), (6, words(15, 49) + "\n" + own(17) + "\n" + own(22), "x", 0)]  # 49 words are no passage
     found = run(spark, rows)
     got = {r.doc_id: r for r in found}
     assert {d: r.n_dropped for d, r in got.items()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0}
-    assert got[2].text == own(5) + "\n" + own(8)
+    assert got[2].text == own(5) + "\n" + own(8) + "\n" + own(11)
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, by_sql(rows)))
 
 
