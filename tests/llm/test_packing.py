@@ -107,3 +107,12 @@ def test_large_vocabularies_are_refused(tmp_path):
     Tokenizer(BPE({f"t{i}": i for i in range(70_000)}, [])).save(path)
     with pytest.raises(ValueError, match="65,536"):
         packing.Encoder(path)
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"word{i % 977}" for i in range(250_000))
+    got = packing.pack_documents(spark.createDataFrame([(1, text, None), (2, "short", None)], SCHEMA), packing.public_byte_bpe).collect()
+    ids = np.array([*Tokenizer.from_file(packing.public_byte_bpe()).encode(text, add_special_tokens=False).ids, 0], "<u4")
+    mine = sorted((r.start, r.length, r.ids_crc32) for r in got if r.doc_id == 1)
+    assert sum(n for _, n, _ in mine) == len(ids)
+    assert all(zlib.crc32(ids[s : s + n].tobytes()) == crc for s, n, crc in mine)
