@@ -147,6 +147,8 @@ def near_buckets(rows: DataFrame, column: Column, wanted: DataFrame, most_bits:
 
 #: Rows of a few numbers that make a task worth its start.
 TASK_ROWS = 250_000
+#: Edges that one task's union-find takes on, in some 300 MB.
+UNITE_ROWS = 1_000_000
 
 
 def few_tasks(df: DataFrame, rows: int) -> DataFrame:
@@ -154,13 +156,40 @@ def few_tasks(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, min(shuffle_parts(df.sparkSession), -(-rows // TASK_ROWS))))
 
 
+class Forest:
+    """Union-find over any keys."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def find(self, x):
+        up = self.up
+        root = x
+        while (to := up.get(root, root)) != root:
+            root = to
+        while (to := up.get(x, x)) != root:
+            up[x] = root
+            x = to
+        return root
+
+    def join(self, a, b) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the graph with edges (a, b) of bigints; root is the least node
     that it is connected to.
 
-    Large-star and small-star steps by turns: every step hangs nodes on the least node near them, until
-    nothing moves; a chain of n nodes takes about log n rounds. Each round is written to shared storage."""
+    UNITE_ROWS edges or fewer are one task's work, a union-find. Of more, large-star and small-star steps by
+    turns: every step hangs nodes on the least node near them, until nothing moves; a chain of n nodes
+    takes about log n rounds. Each round is written to shared storage."""
     now = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if now.count() <= UNITE_ROWS:
+        return now.coalesce(1).mapInArrow(_united, "node long, root long")
     mark = None
     while True:
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -179,3 +208,14 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(under, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(under.select("a", F.col("m").alias("b")))
         now = cut(few_tasks(few_tasks(small.where(F.col("a") != F.col("b")), new.n).distinct(), new.n), "edges-small")
         discard(large, under)
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, least node of its tree) of all edges of a task."""
+    forest, nodes = Forest(), set()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            nodes.update((a, b))
+            forest.join(a, b)
+    found = sorted(nodes)
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([forest.find(x) for x in found], pa.int64())], names=["node", "root"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convene.llm.common import components, cut, discard, lean_batches, mix, near_buckets, shuffle_parts, small_batches, text_bytes
+from convene.llm.common import Forest, components, cut, discard, lean_batches, mix, near_buckets, shuffle_parts, small_batches, text_bytes
 
 WORDS, PERCENT = 5, 80
 #: n-grams whose hash has these bits clear are counted: a quarter.
@@ -236,30 +236,6 @@ def _shared(docs: DataFrame, words: int, percent: int, entries: int) -> DataFram
     return out
 
 
-class Forest:
-    """Union-find over any keys."""
-
-    def __init__(self):
-        self.up: dict = {}
-
-    def find(self, x):
-        up = self.up
-        root = x
-        while (to := up.get(root, root)) != root:
-            root = to
-        while (to := up.get(x, x)) != root:
-            up[x] = root
-            x = to
-        return root
-
-    def join(self, a, b) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 

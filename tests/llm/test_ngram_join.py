@@ -5,8 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from convene.llm import common
 from convene.llm import ngram_join as j
-from convene.llm.common import components, text_bytes
+from convene.llm.common import text_bytes
 
 
 def word_sets(text, words=5):
@@ -114,10 +115,12 @@ def test_empty(spark):
     assert sorted(map(tuple, j.similar_groups(df).collect())) == [(1, 0, 1), (2, 0, 2)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("unite", [1_000_000, 10])
+def test_components(spark, unite, monkeypatch):
+    monkeypatch.setattr(common, "UNITE_ROWS", unite)  # beyond it, by rounds
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(-5, 400)] * 3 + [(7, 7)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     forest = j.Forest()
     for a, b in edges:
         forest.join(a, b)
