@@ -32,15 +32,11 @@ def boxes(s: QuerySummary) -> list[tuple[int, float, float, float, float]]:
 
 def _first(values: list[float], bound: Column, guess: Column) -> Column:
     """The first round whose value reaches a bound: not above it where values fall, not below it where they
-    rise. The guess is off by two rounds at most; the values themselves decide."""
+    rise; len(values) if none does. The guess is off by two rounds at most: of the four values from two
+    before it, as many as miss the bound are passed over."""
     known, falls = F.array(*(F.lit(v) for v in values)), values[-1] < values[0]
-    near = F.greatest(F.lit(0), F.least(F.lit(len(values) - 1), F.coalesce(guess, F.lit(0.0)))).cast("int")
-    rounds = [F.greatest(F.lit(0), F.least(F.lit(len(values) - 1), near + d)) for d in range(-2, 3)]
-    meets = lambda t: (F.element_at(known, t + 1) <= bound) if falls else (F.element_at(known, t + 1) >= bound)
-    found = F.lit(None).cast("int")
-    for t in reversed(rounds):
-        found = F.when(meets(t), t).otherwise(found)
-    return found
+    base = F.greatest(F.lit(0), F.least(F.lit(len(values) - 4), F.coalesce(guess.cast("int"), F.lit(0)) - 2))
+    return base + F.size(F.filter(F.slice(known, base + 1, F.lit(4)), lambda v: v > bound if falls else v < bound))
 
 
 def box_rounds(hist: DataFrame, s: QuerySummary) -> DataFrame:
@@ -55,7 +51,7 @@ def box_rounds(hist: DataFrame, s: QuerySummary) -> DataFrame:
         begin = highs[1] / 1.1  # the first value, lifted off 0
         grown = _first(highs[1:], near, F.ceil(F.log(F.greatest(near, F.lit(1e-300)) / F.lit(begin)) / math.log(1.1)) - 1) + 1
         out.append(F.when(near <= F.lit(highs[0]), 0).otherwise(grown))
-    return hist.withColumn("round", F.greatest(*out)).where(F.col("round").isNotNull())
+    return hist.withColumn("round", F.greatest(*out)).where(F.col("round") < len(steps))
 
 
 def circle_rounds(hist: DataFrame, s: QuerySummary, width: float, closed: bool, own: object) -> DataFrame:
