@@ -145,6 +145,19 @@ def near_buckets(rows: DataFrame, column: Column, wanted: DataFrame, most_bits:
     return joined.where(F.getbit("bits__", own.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("w__", "bits__")
 
 
+def only_rows(rows: DataFrame, number: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose number (a bigint, in runs) is in the one-column frame `wanted`. A bitmap of the numbers,
+    64 to a row, is broadcast as long as it stays under MOST_MAP_BITS, so the rows stay where they are;
+    beyond that both sides meet in a shuffled semi join."""
+    name = wanted.columns[0]
+    words = wanted.groupBy(F.shiftright(name, 6).alias("w__")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 as int))")).alias("bits__"))
+    words = cut(words, "row-bits")
+    if words.count() * 64 > MOST_MAP_BITS:
+        return rows.join(wanted, F.col(number) == wanted[name], "left_semi")
+    joined = rows.join(F.broadcast(words), F.shiftright(number, 6) == F.col("w__"))
+    return joined.where(F.getbit("bits__", F.col(number).bitwiseAND(F.lit(63)).cast("int")) == 1).drop("w__", "bits__")
+
+
 #: Rows of a few numbers that make a task worth its start.
 TASK_ROWS = 250_000
 #: Edges that one task's union-find takes on, in some 300 MB.

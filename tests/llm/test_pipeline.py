@@ -5,10 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
-from convene.llm import ngram_join, packing
+from convene.llm import common, ngram_join, packing
 from tests.llm.test_ngram_join import brute
 from tests.llm.test_templates import by_sql
 
@@ -164,3 +165,14 @@ def test_planted_cases(spark):
     assert passage in texts[102] and passage not in texts[103] and all(texts[i] == clean[i] for i in clean)
     left = {r.doc_id for r in p.ngram_jaccard(spark, lined, SF).collect()}
     assert left == {*clean, 102, 103}
+
+
+def test_rows_by_number(spark, monkeypatch):
+    rows = spark.range(0, 3000, numPartitions=7).select(F.monotonically_increasing_id().alias("n"), "id")
+    every = [r.n for r in rows.collect()]
+    wanted = sorted(random.Random(2).sample(every, 900))
+    picked = spark.createDataFrame([(n,) for n in wanted], "kept long")
+    assert sorted(r.n for r in common.only_rows(rows, "n", picked).collect()) == wanted
+    assert common.only_rows(rows, "n", picked.limit(0)).count() == 0
+    monkeypatch.setattr(common, "MOST_MAP_BITS", 1)
+    assert sorted(r.n for r in common.only_rows(rows, "n", picked).collect()) == wanted
