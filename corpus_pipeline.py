@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convene.llm import language, mixing, ngram_join, packing, quality, templates
-from convene.llm.common import cut, discard, table
+from convene.llm.common import cut, discard, only_rows, table
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -63,9 +63,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     placed = numbered.select("n", place).join(groups.select(F.col("doc_id").alias("n"), "component_id", "n_shingles"), "n")
     # rows without words are grouped by all that they hold
     group = F.when(F.col("n_shingles") > 0, F.struct(F.col("component_id").alias("g"), F.lit(0).cast("long").alias("h"))).otherwise(F.struct(F.lit(-1).cast("long").alias("g"), F.col("place.rh").alias("h")))
-    first = cut(placed.groupBy(group.alias("group")).agg(F.min("place").alias("first")).select("first.n"), "near-first")
+    first = cut(placed.groupBy(group.alias("group")).agg(F.min("place").alias("first")).select(F.col("first.n").alias("kept")), "near-first")
     discard(groups)
-    return numbered.join(first, "n", "left_semi").select("row.*")
+    return only_rows(numbered, "n", first).select("row.*")
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
