@@ -29,7 +29,6 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
