@@ -104,9 +104,9 @@ def _parsed(distinct: DataFrame, min_docs: int, depth: int) -> DataFrame:
     return out
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
-    """doc_id, th, idx, len (characters), rare (held by fewer than `min_docs` documents), template of
-    every line that recurs, but for first places."""
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, texts: bool = True) -> DataFrame:
+    """doc_id, th, idx, len (characters), rare (held by fewer than `min_docs` documents) and, if `texts`,
+    template of every line that recurs, but for first places."""
     lines = _lines(docs).withColumn("leaf", _leaf(depth))
     enough = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.max(_tokens()).alias("k"))
     frequent = cut(enough.where(F.col("n") >= _least(F.col("k"), min_docs)).select("leaf"), "lines-frequent")
@@ -116,8 +116,9 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) ->
     distinct = hot.groupBy("leaf", "lh").agg(F.max("k").alias("k"), F.count("*").alias("n"), F.first("line").alias("line"))
     distinct = cut(distinct.select("leaf", "lh", "k", "n", F.split("line", " ", -1).alias("tokens")), "lines-distinct")
     parsed = _parsed(distinct, min_docs, depth)
-    placed = hot.join(parsed, ["leaf", "lh"]).select("doc_id", "th", "idx", "leaf", "k", "len", F.xxhash64("template").alias("t"), "template")
-    placed = cut(placed, "lines-placed")
+    # templates can be as long as lines: where lines meet them, their hashes do
+    named = cut(parsed.select("leaf", "lh", F.xxhash64("template").alias("t")), "lines-named")
+    placed = cut(hot.drop("line").join(named, ["leaf", "lh"]).select("doc_id", "th", "idx", "leaf", "k", "len", "t"), "lines-placed")
     first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id"), F.col("th"), F.col("idx"))
     per_doc = placed.groupBy("leaf", "t", "doc_id", "th").agg(F.min("idx").alias("idx"), F.max("k").alias("k"))
     kept = per_doc.groupBy("leaf", "t").agg(F.count("*").alias("docs"), F.max("k").alias("k"), F.min(first).alias("first"))
@@ -125,8 +126,10 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) ->
     kept = cut(kept.where(F.col("docs") >= _least(F.col("k"), min_docs)).drop("k"), "lines-kept")
     found = placed.join(kept, ["leaf", "t"]).withColumn("rare", F.col("docs") < min_docs)
     found = found.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("idx") == F.col("first.idx"))))
-    out = cut(found.select("doc_id", "th", "idx", "len", "rare", "template"), "lines-recurring")
-    discard(frequent, hot, distinct, parsed, placed, kept)
+    if texts:
+        found = found.join(parsed.select("leaf", F.xxhash64("template").alias("t"), "template").groupBy("leaf", "t").agg(F.first("template").alias("template")), ["leaf", "t"])
+    out = cut(found.select("doc_id", "th", "idx", "len", "rare", *(["template"] if texts else [])), "lines-recurring")
+    discard(frequent, hot, distinct, parsed, named, placed, kept)
     return out
 
 
@@ -139,7 +142,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) ->
     of lines are rebuilt in linear time. A document of which nothing but blank lines is left keeps its
     row; the caller may drop it. Columns named n_lines or n_dropped are replaced; all others stay as they
     are, whatever their names; an empty table gives no row."""
-    lost = recurring(docs, min_docs, depth)
+    lost = recurring(docs, min_docs, depth, False)
     # what one document loses: the rare lines only if they are no more than a part of it
     gone = lost.groupBy("doc_id", "th").agg(F.collect_set("idx").alias("every"), F.collect_set(F.when(~F.col("rare"), F.col("idx"))).alias("common"), F.coalesce(F.sum(F.when(F.col("rare"), F.col("len"))), F.lit(0)).alias("rare_len"))
     gone = gone.select(F.struct("*").alias("gone"))

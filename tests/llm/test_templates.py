@@ -63,6 +63,8 @@ def test_several_templates_in_a_leaf(spark):
     rows += [(200 + i, f"This page was moved {n} {names[-i]} {names[i // 2]} {i}", "x", 0) for i, n in enumerate(names[:7])]
     got = run(spark, rows)
     assert {r.doc_id: r.n_dropped for r in got} == {d: int(d not in (0, 100) and d < 200) for d, *_ in rows}
+    said = templates.recurring(spark.createDataFrame(rows, SCHEMA)).groupBy("template").count().collect()
+    assert {r.template: r["count"] for r in said} == {rows[0][1]: 99, "This page was written by <*> last week": 49}
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, by_sql(rows)))
 
 
