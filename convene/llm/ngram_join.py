@@ -49,8 +49,6 @@ FREQUENT = 512
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -66,25 +64,23 @@ def _word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     global _UP, _DOWN
     if not len(raw):
         return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
-    word = ~_BLANK[raw]
-    inner = np.zeros(len(raw) + 1, bool)
-    inner[:-1] = word
-    starts = word.copy()
-    starts[1:] &= ~word[:-1]
-    edge = ends[:-1][ends[:-1] < len(raw)]
-    starts[edge] = word[edge]  # a text begins a word of its own
-    begin = np.flatnonzero(starts)
-    stop = inner.copy()
-    stop[1:] = word
-    last = np.zeros(len(raw), bool)
-    last[:-1] = word[:-1] & (~word[1:] | starts[1:])
-    last[-1] = word[-1]
-    finish = np.flatnonzero(last) + 1
+    blank = (raw - np.uint8(9)) < np.uint8(5)
+    blank |= raw == 32
+    # words begin and end where blanks do, and where a text begins inside a run of others
+    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    edge = np.unique(ends)
+    edge = edge[(edge > 0) & (edge < len(raw))]
+    edge = edge[~blank[edge] & ~blank[edge - 1]]
+    outer = np.array([0] * (not blank[0]) + [len(raw)] * (not blank[-1]), np.int64)
+    turns = np.sort(np.concatenate([turns, edge, edge, outer]))
+    begin, finish = turns[::2], turns[1::2]
     if len(raw) >= len(_UP):
         _UP, _DOWN = _powers(_BASE, 2 * len(raw)), _powers(pow(_BASE, -1, 1 << 64), 2 * len(raw))
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * _UP[: len(raw)], out=total[1:])
+        scaled = _BYTE.take(raw, mode="clip")  # no byte is out of range
+        scaled *= _UP[: len(raw)]
+        np.cumsum(scaled, out=total[1:])
         h = (total[finish] - total[begin]) * _DOWN[begin]
         return mix(h ^ (finish - begin).astype(np.uint64)), np.searchsorted(begin, ends)
 
@@ -113,14 +109,27 @@ def ngram_sets(raw: np.ndarray, ends: np.ndarray, words: int = WORDS) -> list[np
     return out
 
 
-def class_of(grams: np.ndarray) -> tuple[int, int]:
-    """Two signed 64-bit hashes of a set."""
-    out = []
+def classes_of(sets: list[np.ndarray]) -> list[tuple[int, int] | None]:
+    """Two signed 64-bit hashes of each set (empty: none), all sets in a few steps."""
+    sizes = np.array([len(g) for g in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return [None] * len(sets)
+    flat, sizes = np.concatenate(sets), sizes[full]
+    begin, hashes = np.cumsum(sizes) - sizes, []
     with np.errstate(over="ignore"):
         for seed in (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)):
-            h = mix(mix(grams ^ seed).sum(dtype=np.uint64).reshape(1) + np.uint64(len(grams)))
-            out.append(int(h.view(np.int64)[0]))
-    return out[0], out[1]
+            h = mix(np.add.reduceat(mix(flat ^ seed), begin, dtype=np.uint64) + sizes.astype(np.uint64))
+            hashes.append(h.view(np.int64).tolist())
+    out: list[tuple[int, int] | None] = [None] * len(sets)
+    for i, *pair in zip(full.tolist(), *hashes):
+        out[i] = tuple(pair)
+    return out
+
+
+def class_of(grams: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set that is not empty."""
+    return classes_of([grams])[0]
 
 
 def _sets(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -142,21 +151,26 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for batch, sets in _sets(batches, words):
             sampled = [int((g & np.uint64(SAMPLED) == 0).sum()) for g in sets]
             entries = [max(s, beginning(len(g), percent)) if len(g) else 0 for g, s in zip(sets, sampled)]
-            h1, h2 = zip(*(class_of(g) if len(g) else (None, None) for g in sets))
+            h1, h2 = zip(*(c or (None, None) for c in classes_of(sets)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in ([len(g) for g in sets], sampled, entries, h1, h2))], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sampled long, entries long, h1 long, h2 long")
 
 
-def _distinct(t: np.ndarray, *owners: np.ndarray, by: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Entries (token, class) once each, by bucket, token and class."""
-    order = np.lexsort((*owners, t) if by is None else (*owners, t, by))
-    t, owners, by = t[order], tuple(o[order] for o in owners), None if by is None else by[order]
+def _distinct(t: np.ndarray, *owners: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries (token, class) once each, by token and class."""
+    order = np.lexsort((*owners, t))
+    t, owners = t[order], tuple(o[order] for o in owners)
     new = np.ones(len(t), bool)
     new[1:] = t[1:] != t[:-1]
     for o in owners:
         new[1:] |= o[1:] != o[:-1]
-    return (t[new], *(o[new] for o in owners), *(() if by is None else (by[new],)))
+    return (t[new], *(o[new] for o in owners))
+
+
+def _range_of(mixed: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash: equal ranges of its upper 32 bits, in order."""
+    return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _run_lengths(t: np.ndarray) -> np.ndarray:
@@ -177,22 +191,25 @@ def _shared(docs: DataFrame, words: int, percent: int, entries: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[np.ndarray] = []
-        owners: list[tuple[int, int, int]] = []
+        owners: dict[tuple[int, int], int] = {}  # a class that is met again, a copy, counts once
 
         def flush() -> Iterator[pa.RecordBatch]:
-            t, each = np.concatenate(tokens), np.array(owners, np.int64).reshape(-1, 3)
-            h1, h2 = np.repeat(each[:, 0], each[:, 2]), np.repeat(each[:, 1], each[:, 2])
+            t, each, lengths = np.concatenate(tokens), np.array(list(owners), np.int64), list(owners.values())
+            h1, h2 = np.repeat(each[:, 0], lengths), np.repeat(each[:, 1], lengths)
             tokens.clear()
             owners.clear()
-            t, h1, h2 = _distinct(t, h1, h2)  # copies in this task
-            hot = _run_lengths(t) >= often
-            own = (mix(t) % np.uint64(buckets)).astype(np.int64)
+            # n-grams by their mixed hash are also by bucket, a range of its upper half
+            mixed = mix(t)
+            order = np.argsort(mixed)
+            mixed, t, h1, h2 = mixed[order], t[order], h1[order], h2[order]
+            hot = _run_lengths(mixed) >= often
+            bucket = _range_of(mixed, buckets)
+            first = hot & np.concatenate([[True], mixed[1:] != mixed[:-1]])
+            marked, mark_bucket = t[first], bucket[first]
             # buckets from `buckets` on hold frequent n-grams
-            bucket = np.where(hot, buckets + (mix(t ^ mix(h1.view(np.uint64))) % np.uint64(buckets)).astype(np.int64), own)
-            marked = np.unique(t[hot])
-            mark_bucket = (mix(marked) % np.uint64(buckets)).astype(np.int64)
-            t, h1, h2, bucket = _distinct(t, h1, h2, by=bucket)
-            marked, mark_bucket = marked[np.argsort(mark_bucket, kind="stable")], np.sort(mark_bucket)
+            spread = buckets + (mix(t[hot] ^ mix(h1[hot].view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+            order = np.concatenate([np.flatnonzero(~hot), np.flatnonzero(hot)[np.argsort(spread, kind="stable")]])
+            t, h1, h2, bucket = t[order], h1[order], h2[order], np.concatenate([bucket[~hot], np.sort(spread)])
             for b in np.unique(np.concatenate([bucket, mark_bucket])).tolist():
                 i, j = np.searchsorted(bucket, [b, b + 1])
                 k, m = np.searchsorted(mark_bucket, [b, b + 1])
@@ -200,8 +217,8 @@ def _shared(docs: DataFrame, words: int, percent: int, entries: int) -> DataFram
 
         held = 0
         for _, sets in _sets(batches, words):
-            for g in sets:
-                if not len(g):
+            for g, c in zip(sets, classes_of(sets)):
+                if c is None or c in owners:
                     continue
                 sampled = g & np.uint64(SAMPLED) == 0
                 need = beginning(len(g), percent) - int(sampled.sum())
@@ -209,7 +226,7 @@ def _shared(docs: DataFrame, words: int, percent: int, entries: int) -> DataFram
                 if need > 0:
                     mine = np.concatenate([mine, g[~sampled][:need]])
                 tokens.append(mine)
-                owners.append((*class_of(g), len(mine)))
+                owners[c] = len(mine)
                 held += len(mine)
             if held >= FLUSH:
                 yield from flush()
@@ -221,9 +238,19 @@ def _shared(docs: DataFrame, words: int, percent: int, entries: int) -> DataFram
 
     def count(group: pa.Table) -> pa.Table:
         joined = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
-        t, h1, h2 = _distinct(joined("tokens", np.uint64), joined("h1", np.int64), joined("h2", np.int64))
+        t, h1, h2 = joined("tokens", np.uint64), joined("h1", np.int64), joined("h2", np.int64)
+        if group.column("bucket")[0].as_py() < buckets:
+            # most n-grams are met once: only the others are sorted by class too
+            order = np.argsort(t)
+            marks = np.unique(joined("marks", np.uint64))
+            t = t[order]
+            some = (_run_lengths(t) > 1) | np.isin(t, marks)
+            t, h1, h2 = _distinct(t[some], h1[order[some]], h2[order[some]])
+            hot = np.isin(t, marks)
+        else:
+            t, h1, h2 = _distinct(t, h1, h2)
+            hot = np.ones(len(t), bool)
         df = _run_lengths(t)
-        hot = np.isin(t, joined("marks", np.uint64)) if group.column("bucket")[0].as_py() < buckets else np.ones(len(t), bool)
         keep = (df > 1) | hot
         return pa.Table.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(h1[keep]), pa.array(h2[keep]), pa.array(df[keep].astype(np.int64)), pa.array(hot[keep])], schema=found)
 
@@ -364,7 +391,9 @@ def link(names: list[int], sets: list[np.ndarray], side: list[int] | None = None
         work = [(root, 0, False)]
         while work:
             node, overlap, done = work.pop()
-            if done:  # its children have been seen: they may be linked to one another by now
+            if done:  # its children have been seen: with a new link, they may be linked to one another by now
+                if len(out) == overlap:
+                    continue
                 below = [c.one for c in node.children]
                 if all(below):
                     roots = {forest.find(stored[s]) for s in node.sets} | {forest.find(stored[c.last]) for c in node.children}
@@ -388,10 +417,12 @@ def link(names: list[int], sets: list[np.ndarray], side: list[int] | None = None
                 if j != i and s > after and (100 + percent) * overlap >= percent * (n + node.depth) and forest.join(i, j):
                     out.append((names[i], names[j]))
             if not node.one:
-                work.append((node, 0, True))
+                work.append((node, len(out), True))
             for child in reversed(node.children):
                 work.append((child, overlap, False))
         has[x] = False
+        if len(out) == len(sets) - 1:  # all are linked
+            break
     return out
 
 
@@ -451,8 +482,8 @@ def _verified(members: DataFrame, entries: DataFrame, docs: DataFrame, words: in
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, words):
             out = []
-            for g, want, units in zip(sets, batch.column("want").to_pylist(), batch.column("units").to_pylist()):
-                if not len(g) or class_of(g) != (want["h1"], want["h2"]):  # ids may repeat
+            for g, c, want, units in zip(sets, classes_of(sets), batch.column("want").to_pylist(), batch.column("units").to_pylist()):
+                if c != (want["h1"], want["h2"]):  # ids may repeat
                     continue
                 raw, want = g.tobytes(), want["cls"]
                 for u in units:

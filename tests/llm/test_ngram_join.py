@@ -156,3 +156,20 @@ def test_very_long_and_repeated_texts(spark):
     rows = [(1, long), (2, long + " end"), (3, "other " * 10), (4, "other " * 40), (5, long.upper())]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (299_996, 1), 2: (299_997, 1), 3: (1, 3), 4: (1, 3), 5: (299_996, 1)}
+
+
+def test_classes_of_many_sets_at_once():
+    """Sets beside one another, empty ones among them, have the hashes that each has alone."""
+    sets = [np.array(sorted(random.Random(i).sample(range(10**6), i % 7)), np.uint64) for i in range(60)]
+    got = j.classes_of(sets)
+    assert got == [j.class_of(x) if len(x) else None for x in sets] and j.classes_of([sets[0]] * 3) == [None] * 3
+    assert len(set(got)) == 1 + sum(len(x) > 0 for x in sets)
+
+
+def test_links_end_when_all_are_linked(monkeypatch):
+    """Of copies that are all linked after some probes, the others are not looked for."""
+    probed = []
+    real = np.cumsum
+    monkeypatch.setattr(j.np, "cumsum", lambda *a, **k: probed.append(1) or real(*a, **k))
+    sets = [np.array([*range(40), 100 + i], np.uint64) for i in range(30)]
+    assert len(j.link(list(range(30)), sets)) == 29 and len(probed) < 10
