@@ -69,17 +69,21 @@ def write_cell_text(celled: DataFrame, path: str) -> None:
     """One bzip2 line for each cell: the cell, then id, x, y of each point. For exchange only: a cell's
     points meet in one row."""
     point = F.concat_ws("\t", F.col("id").cast("string"), F.col("x").cast("string"), F.col("y").cast("string"))
-    lines = celled.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("id", point.alias("p")))).alias("ps"))
+    # dealt by number: a cell's rows are few in bytes for what their compression takes, and tasks are not to be merged
+    dealt = celled.repartition(int(celled.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
+    lines = dealt.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("id", point.alias("p")))).alias("ps"))
     lines.select(F.concat_ws("\t", F.col("cell").cast("string"), F.array_join(F.transform("ps", lambda s: s["p"]), "\t"))).write.mode("overwrite").option("compression", "bzip2").text(path)
 
 
 def read_cell_text(spark: SparkSession, path: str) -> DataFrame:
     """cell (string), id, x, y from lines of write_cell_text()."""
-    parts = F.split("value", "\t", -1)
-    count = ((F.size(parts) - 1) / 3).cast("int")
-    rows = spark.read.text(path).select(F.element_at(parts, 1).alias("cell"), parts.alias("p"), F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
-    at = lambda j: F.element_at("p", F.col("k") * 3 + 2 + j)
-    return rows.select("cell", at(0).cast("bigint").alias("id"), at(1).cast("double").alias("x"), at(2).cast("double").alias("y"))
+    # each point is a row of its own text: a row that kept its whole line would make work grow with a cell's square
+    point = F.lit(r"[^\t]++\t[^\t]++\t[^\t]++")
+    line = F.substring("value", F.instr("value", "\t") + 1, F.length("value"))
+    celled = F.transform(F.regexp_extract_all(line, point, F.lit(0)), lambda p: F.struct(F.substring_index("value", "\t", 1).alias("cell"), p.alias("p")))
+    rows = spark.read.text(path).select(F.inline(celled))
+    at = lambda j: F.element_at(F.split("p", "\t"), j)
+    return rows.select("cell", at(1).cast("bigint").alias("id"), at(2).cast("double").alias("x"), at(3).cast("double").alias("y"))
 
 
 def write_histogram(hist: DataFrame, path: str) -> None:

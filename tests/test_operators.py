@@ -262,3 +262,19 @@ def test_box_rounds_by_search(spark, corner):
     for cell, _, cx, cy, ds in cells:
         want = next((t for t, bx0, by0, bx1, by1 in candidates.boxes(s) if cx <= bx1 and cx + ds >= bx0 and cy <= by1 and cy + ds >= by0), None)
         assert got.get(cell) == want, (cell, cx, cy, ds)
+
+
+def test_cell_lines_are_read_point_by_point(spark, tmp_path):
+    """Rows of points do not carry their cell's line; a cell without points gives none."""
+    rows = [(i, i / 997, (i * 7 % 991) / 991) for i in range(900)]
+    celled = Grid(2).assign(spark.createDataFrame(rows, POINT))
+    io.write_cell_text(celled, str(tmp_path / "cells"))
+    got = io.read_cell_text(spark, str(tmp_path / "cells"))
+    assert sorted(map(tuple, got.select("id", "x", "y", F.col("cell").cast("bigint")).collect())) == sorted(map(tuple, celled.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Generate":
+        plan = plan.children().head()
+    kept = plan.requiredChildOutput()
+    assert kept.size() == 0
+    spark.createDataFrame([("7",), ("8\t1\t0.5\t0.25",), ("\t2\t1.0E-5\t1.0",)], "value string").write.text(str(tmp_path / "lines"))
+    assert sorted(map(tuple, io.read_cell_text(spark, str(tmp_path / "lines")).collect())) == [("", 2, 1e-5, 1.0), ("8", 1, 0.5, 0.25)]
