@@ -21,7 +21,8 @@ from convene.operators.summary import collect_query
 
 #: Pairs, and query points where the number of points isn't known, from which on the Arrow kernel pays.
 ARROW_PAIRS, ARROW_QUERIES = 5_000_000, 64
-ROWS, QUERY_STEP = 1024, 2048
+#: Points, cells and query points of a block; a block of points stays in a core's cache.
+ROWS, CELL_ROWS, QUERY_STEP = 32, 1024, 1024
 
 
 def joined_sums(points: DataFrame, queries: DataFrame, sweep_below: float | None = None, query_points: int = 1) -> DataFrame:
@@ -41,35 +42,58 @@ def x_sums(x: np.ndarray, qx: np.ndarray) -> np.ndarray:
     return x * (2 * r - len(qx)) - 2 * prefix[r] + prefix[-1]
 
 
-def block_sums(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray, below: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that remain, their sums). below: rows are left out as soon as a part of the sum is larger."""
+def distinct_points(qx: np.ndarray, qy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """x, y of the different query points, by x, and how many lie on each (None: one on each)."""
+    order = np.lexsort((qy, qx))
+    x, y = qx[order], qy[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    if new.all():
+        return qx, qy, None
+    begin = np.flatnonzero(new)
+    return x[new], y[new], np.diff(begin, append=len(x)).astype(float)
+
+
+def block_sums(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray, below: float | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that remain, their sums). below: rows are left out as soon as a part of the sum is larger.
+    weight: how many query points lie on each. A row's sum doesn't depend on the rows beside it."""
     rows, total = np.arange(len(x)), np.zeros(len(x))
+    n = len(qx) if weight is None else int(weight.sum())
+    room = np.empty((2, len(x), min(len(qx), QUERY_STEP)))
     for k in range(0, len(qx), QUERY_STEP):
-        dx = x[rows, None] - qx[k : k + QUERY_STEP]
-        dy = y[rows, None] - qy[k : k + QUERY_STEP]
-        total = total + np.sqrt(dx * dx + dy * dy).sum(1)
+        dx, dy = room[:, : len(rows), : len(qx) - k]
+        np.subtract(x[rows, None], qx[k : k + QUERY_STEP], out=dx)
+        np.subtract(y[rows, None], qy[k : k + QUERY_STEP], out=dy)
+        dx *= dx
+        dy *= dy
+        dx += dy
+        np.sqrt(dx, out=dx)
+        if weight is not None:
+            dx *= weight[k : k + QUERY_STEP]
+        total = total + dx.sum(1)
         if below is not None:
-            fits = total <= below + sum_slack(below, len(qx))
+            fits = total <= below + sum_slack(below, n)
             rows, total = rows[fits], total[fits]
     return rows, total
 
 
 def arrow_sums(points: DataFrame, qx: np.ndarray, qy: np.ndarray, sweep_below: float | None = None, stop_above: float | None = None) -> DataFrame:
-    """id, dist by the vectorised kernel; qx is sorted."""
+    """id, dist by the vectorised kernel; qx is sorted. Query points that lie on one another are one with a weight."""
     spark = points.sparkSession
-    shared = spark.sparkContext.broadcast((qx, qy))  # at most QUERY_LIMIT points
+    shared = spark.sparkContext.broadcast((qx, *distinct_points(qx, qy)))  # at most QUERY_LIMIT points
     schema = pa.schema([("id", pa.int64()), ("dist", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qx, qy = shared.value
+        every_x, qx, qy, weight = shared.value
         for batch in batches:
             ids, x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if sweep_below is not None:
-                near = x_sums(x, qx) <= sweep_below + sum_slack(sweep_below, len(qx))
+                near = x_sums(x, every_x) <= sweep_below + sum_slack(sweep_below, len(every_x))
                 ids, x, y = ids[near], x[near], y[near]
-            for k in range(0, len(ids), ROWS):
-                rows, total = block_sums(x[k : k + ROWS], y[k : k + ROWS], qx, qy, stop_above)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + ROWS][rows], pa.int64()), pa.array(total)], schema=schema)
+            blocks = [(ids[k : k + ROWS], *block_sums(x[k : k + ROWS], y[k : k + ROWS], qx, qy, stop_above, weight)) for k in range(0, len(ids), ROWS)]
+            if blocks:
+                left, total = np.concatenate([i[rows] for i, rows, _ in blocks]), np.concatenate([t for _, _, t in blocks])
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(total)], schema=schema)
 
     return points.select(F.col("id").cast("long").alias("id"), "x", "y").mapInArrow(run, "id long, dist double")
 
@@ -95,8 +119,8 @@ def arrow_rect_sums(cells: DataFrame, qx: np.ndarray, qy: np.ndarray) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qx, qy = shared.value
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(k, ROWS)
+            for k in range(0, whole.num_rows, CELL_ROWS):
+                batch = whole.slice(k, CELL_ROWS)
                 x, y, ds = (batch.column(i).to_numpy(zero_copy_only=False)[:, None] for i in at)
                 total = np.zeros(batch.num_rows)
                 for j in range(0, len(qx), QUERY_STEP):

@@ -176,3 +176,24 @@ def test_nothing_stays_in_memory(spark):
     for partitioning in ("gd", "qt"):
         gknn(points, spark.createDataFrame(uniform(4, 82), POINT), Config(k=5, n=6, capacity=9, partitioning=partitioning)).collect()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
+def test_copies_of_query_points_are_weights(spark):
+    """Query points on one another are summed as one: the kernel's work is by different points, its sums are by all."""
+    rng = np.random.default_rng(5)
+    some = np.round(rng.random((2, 40)), 2)
+    qx, qy = np.tile(some, 60)
+    order = np.lexsort((rng.random(len(qx)), qx))
+    qx, qy = qx[order], qy[order]
+    ux, uy, weight = kernel.distinct_points(qx, qy)
+    assert len(ux) == len({*zip(qx, qy)}) <= 40 and weight.sum() == 2400 and (np.diff(ux) >= 0).all()
+    assert kernel.distinct_points(np.array([0.1, 0.1]), np.array([0.2, 0.3]))[2] is None
+    x, y = rng.random((2, 70))
+    want = np.sqrt((x[:, None] - qx) ** 2 + (y[:, None] - qy) ** 2).sum(1)
+    rows, total = kernel.block_sums(x, y, ux, uy, None, weight)
+    assert (rows == np.arange(70)).all() and np.allclose(total, want, rtol=1e-13, atol=0)
+    best = float(np.sort(want)[9])
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], POINT)
+    got = {r.id: r.dist for r in kernel.arrow_sums(points, qx, qy, best, best).collect()}
+    assert sorted(got) == sorted(np.flatnonzero(want <= best).tolist()) and np.allclose([got[i] for i in got], [want[i] for i in got], rtol=1e-13, atol=0)
+    assert kernel.arrow_sums(points.where("id < 0"), qx, qy).count() == 0
