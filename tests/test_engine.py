@@ -197,3 +197,11 @@ def test_copies_of_query_points_are_weights(spark):
     got = {r.id: r.dist for r in kernel.arrow_sums(points, qx, qy, best, best).collect()}
     assert sorted(got) == sorted(np.flatnonzero(want <= best).tolist()) and np.allclose([got[i] for i in got], [want[i] for i in got], rtol=1e-13, atol=0)
     assert kernel.arrow_sums(points.where("id < 0"), qx, qy).count() == 0
+
+
+def test_halves_merge_to_the_whole_with_copied_queries(spark):
+    t, q = uniform(400, 51), [(i, x, y) for i, (_, x, y) in enumerate(uniform(30, 52, 0.3, 0.7) * 5)]
+    points, query = spark.createDataFrame(t, POINT), spark.createDataFrame(q, POINT)
+    lists = [topk.top(kernel.sums(points.where(half), query), 10) for half in ("x <= 0.6", "x >= 0.4")]
+    assert rows(topk.ranked(topk.merge(10, *lists))) == brute(t, q, 10)
+    assert len(kernel.distinct_points(*summary.collect_query(query))[0]) == 30
