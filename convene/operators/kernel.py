@@ -132,7 +132,7 @@ def arrow_rect_sums(cells: DataFrame, qx: np.ndarray, qy: np.ndarray) -> DataFra
     return cells.mapInArrow(run, StructType([*cells.schema.fields, StructField("bound", DoubleType())]))
 
 
-def sums(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """id, dist of all points, by the way that suits the number of query points."""
-    qx, qy = collect_query(queries)
+def sums(points: DataFrame, queries: DataFrame, known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """id, dist of all points, by the way that suits the number of query points. known: what collect_query() gave."""
+    qx, qy = collect_query(queries) if known is None else known
     return arrow_sums(points, qx, qy) if len(qx) >= ARROW_QUERIES else joined_sums(points, queries)

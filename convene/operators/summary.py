@@ -41,6 +41,24 @@ def distance_sum(x: float, y: float, qx: np.ndarray, qy: np.ndarray) -> float:
     return float(np.sqrt((x - qx) ** 2 + (y - qy) ** 2).sum())
 
 
+def bottom(x: np.ndarray, y: np.ndarray, weight: np.ndarray, most: int = 60) -> tuple[float, float, float]:
+    """x, y and distance sum of a place where the sum is about least: the best that Weiszfeld's steps from the
+    mean meet. weight: how many query points lie on each."""
+    px, py, best = float(np.average(x, weights=weight)), float(np.average(y, weights=weight)), (0.0, 0.0, math.inf)
+    for _ in range(most):
+        d = np.sqrt((px - x) ** 2 + (py - y) ** 2)
+        total = float((weight * d).sum())
+        if not total < best[2]:
+            break
+        best = (px, py, total)
+        away = d > 0
+        if not away.any():
+            break
+        pull = weight[away] / d[away]
+        px, py = float(np.average(x[away], weights=pull)), float(np.average(y[away], weights=pull))
+    return best
+
+
 def descend(qx: np.ndarray, qy: np.ndarray, step: float, least_sum: float, most: int, least_move: float) -> list[tuple[int, float, float, float, float]]:
     """(iteration, x, y, move, sumdist) of a gradient descent on the distance sum from the mean. It makes
     one step at least, and stops when the sum is small, the steps are used up, or a move is short. A query

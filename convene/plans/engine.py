@@ -14,14 +14,15 @@ import logging
 import time
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convene.functions.geometry import SLACK, in_box, sum_slack
+from convene.functions.geometry import SLACK, distance, in_box, sum_slack
 from convene.operators import candidates, kernel, prune, quadtree, topk
 from convene.operators.grid import Grid
 from convene.operators.sampling import bernoulli
-from convene.operators.summary import QuerySummary, collect_query, summarize_points
+from convene.operators.summary import QuerySummary, bottom, collect_query, summarize_points
 from convene.sources.points import in_domain
 
 log = logging.getLogger("convene")
@@ -207,6 +208,25 @@ def gknn(points: DataFrame | None, queries: DataFrame, config: Config = Config()
     return done.nearest
 
 
+def within_tangents(points: DataFrame, qx: np.ndarray, qy: np.ndarray, k: int) -> DataFrame:
+    """Points that may be among the k nearest, found without cells and in any domain; ids are unique. The k points
+    about the place of the least distance sum give a threshold, and tangents of the sum rule out points beyond it.
+    Fewer than k points with coordinates, or query points without: all points."""
+    if not len(qx):
+        return points
+    x, y, weight = kernel.distinct_points(qx, qy)
+    weight = np.ones(len(x)) if weight is None else weight
+    low = bottom(x, y, weight)
+    if not np.isfinite(low[2]):
+        return points
+    about = points.select("x", "y", distance("x", "y", low[0], low[1]).alias("d")).where(F.col("d") < float("inf"))
+    first = about.orderBy("d").limit(k).collect()
+    if len(first) < k:
+        return points
+    _, sums = kernel.block_sums(np.array([r.x for r in first]), np.array([r.y for r in first]), x, y, weight=weight)
+    return points.where(prune.tangents(x, y, weight, low, float(sums.max())))
+
+
 def brute_force(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n = len(collect_query(queries)[0])
     return topk.ranked(topk.top(kernel.sums(points, queries), k, n), n)

@@ -11,7 +11,7 @@ from convene.functions import geometry as g
 from convene.operators import candidates, kernel, prune, quadtree, sampling, summary, topk
 from convene.operators.grid import Grid
 from convene.plans import testbed
-from convene.plans.engine import Config, brute_force, gknn, histogram, prepare, run
+from convene.plans.engine import Config, brute_force, gknn, histogram, prepare, run, within_tangents
 from convene.plans.registry import ORACLES, QUERIES
 from convene.sources import points as io
 from convene.sources.shared import shared_path
@@ -404,9 +404,10 @@ _RIGHT = f"SELECT * FROM ({_sums_sql(f'SELECT * FROM ({T}) WHERE x >= 0.4::DOUBL
     f"SELECT CAST(row_number() OVER (ORDER BY round(dist, 9), id) AS INTEGER) AS rank, id, round(dist, 6) AS dist FROM (SELECT id, min(dist) AS dist FROM (SELECT * FROM ({_LEFT}) UNION ALL SELECT * FROM ({_RIGHT})) GROUP BY id) ORDER BY rank LIMIT {K}"
 )
 def merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of two overlapping halves of the plane, with ids in common."""
+    """Lists of two overlapping halves of the plane, with ids in common; only points that may be in a list are summed."""
     t, q = _points(spark, sf_dir, "orders"), _points(spark, sf_dir, "supplier")
-    lists = [topk.top(kernel.sums(t.where(half), q), K) for half in (F.col("x") <= 0.6, F.col("x") >= 0.4)]
+    known = summary.collect_query(q)
+    lists = [topk.top(kernel.sums(within_tangents(t.where(half), *known, K), q, known), K) for half in (F.col("x") <= 0.6, F.col("x") >= 0.4)]
     return topk.ranked(topk.merge(K, *lists)).select("rank", "id", r6("dist", "dist"))
 
 

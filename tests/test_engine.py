@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from convene.operators import candidates, kernel, prune, quadtree, summary, topk
 from convene.operators.grid import Grid
-from convene.plans.engine import Config, gknn, histogram, prepare, run
+from convene.plans import queries as named
+from convene.plans.engine import Config, gknn, histogram, prepare, run, within_tangents
 from convene.sources import points as io
 
 POINT = "id bigint, x double, y double"
@@ -205,3 +206,50 @@ def test_halves_merge_to_the_whole_with_copied_queries(spark):
     lists = [topk.top(kernel.sums(points.where(half), query), 10) for half in ("x <= 0.6", "x >= 0.4")]
     assert rows(topk.ranked(topk.merge(10, *lists))) == brute(t, q, 10)
     assert len(kernel.distinct_points(*summary.collect_query(query))[0]) == 30
+
+
+@pytest.mark.parametrize("name", FIXTURES)
+def test_tangents_lose_no_neighbour(spark, name):
+    t, q, k = FIXTURES[name]
+    points, query = spark.createDataFrame(t, POINT), spark.createDataFrame(q, POINT)
+    for low, high in ((0.0, 0.6), (0.4, 1.0)):
+        left = within_tangents(points.where(F.col("x").between(low, high)), *summary.collect_query(query), k)
+        assert rows(topk.ranked(topk.top(kernel.sums(left, query), k))) == brute([p for p in t if low <= p[1] <= high], q, k), (low, high)
+
+
+def test_tangents_keep_every_sum_within_best(spark):
+    t = uniform(3000, 61)
+    points, x, y = spark.createDataFrame(t, POINT), np.array([p[1] for p in t]), np.array([p[2] for p in t])
+    line, even = uniform(90, 62), uniform(2, 63)
+    sets = {"plain": uniform(300, 64, 0.4, 0.6), "line": [(i, a, 0.5) for i, a, _ in line], "two": even, "one": even[:1], "on_points": t[:70], "copies": uniform(5, 65) * 40, "two_ends": uniform(80, 66, 0, 0.01) + uniform(81, 67, 0.99, 1)}
+    for name, q in sets.items():
+        qx, qy, weight = kernel.distinct_points(np.array([p[1] for p in q]), np.array([p[2] for p in q]))
+        weight = np.ones(len(qx)) if weight is None else weight
+        sums = (np.sqrt((x[:, None] - qx) ** 2 + (y[:, None] - qy) ** 2) * weight).sum(1)
+        lows = (summary.bottom(qx, qy, weight), (0.9, 0.1, float((np.hypot(0.9 - qx, 0.1 - qy) * weight).sum())))  # the lowest place, and one that is off
+        bests = [float(b) for b in np.sort(sums)[[0, 9, 500]]]
+        got = points.orderBy("id").select(*(prune.tangents(qx, qy, weight, low, best) for low in lows for best in bests)).collect()
+        for j, kept in enumerate(np.array(got).T):
+            near = sums <= bests[j % 3] + 1e-9
+            assert kept[near].all(), (name, j)
+            assert j >= 3 or name == "two_ends" or kept.sum() <= 1.3 * near.sum() + 60, (name, j, kept.sum())
+
+
+def test_tangents_leave_odd_points_as_they_were(spark):
+    t = [(i, None if i % 3 == 0 else i / 40, None if i % 5 == 0 else float("nan") if i % 7 == 0 else 0.5) for i in range(40)]
+    points, qx = spark.createDataFrame(t, POINT), np.array([0.2, 0.4])
+    real = sorted(i for i, x, y in t if x is not None and y == 0.5)
+    assert within_tangents(points, qx, qx, len(real) + 1).count() == 40
+    assert within_tangents(points, qx[:0], qx[:0], 3).count() == 40
+    assert within_tangents(points, np.array([0.2, np.nan]), qx, 3).count() == 40
+    kept = {r.id for r in within_tangents(points, qx, qx, len(real)).collect()}
+    assert kept == set(real)
+    far = points.selectExpr("id", "1000 * x - 500 as x", "-300 * y as y")  # outside the unit square
+    assert within_tangents(far, 1000 * qx - 500, -300 * qx, 3).count() in range(3, len(real))
+
+
+def test_merge_topk_sums_few_points(spark, monkeypatch):
+    summed = []
+    monkeypatch.setattr(kernel, "arrow_sums", lambda points, *rest, sums=kernel.arrow_sums: summed.append(points.count()) or sums(points, *rest))
+    assert named.QUERIES["merge_topk"](spark, "/root/testdata/sf0.01").count() == 10
+    assert len(summed) == 2 and max(summed) < 300, summed  # of some 9,000 in each half
