@@ -130,14 +130,22 @@ MOST_MAP_BITS = 1 << 25
 def near_buckets(rows: DataFrame, column: Column, wanted: DataFrame, most_bits: int = MOST_MAP_BITS) -> DataFrame:
     """Rows whose `column` (a bigint) may be a value of the one-column table `wanted`: all that are, and
     about one in 16 others. A map of hash buckets, 16 bits for each wanted value, is broadcast as long as
-    it stays under `most_bits`; beyond that both sides meet in a shuffled semi join, which lets no other
-    row through."""
+    it stays under `most_bits`. Beyond that it keeps this size, unless most of it would be full, and rows
+    that it lets through meet `wanted` in a shuffled join, which lets no other row through."""
     name, bits = wanted.columns[0], 1 << 14
     count = wanted.count()
     while bits < 16 * count:
         bits *= 2
     if bits > most_bits:
-        return rows.join(wanted.select(F.col(name).alias("near__")).distinct(), column == F.col("near__"), "left_semi")
+        near = _in_buckets(rows, column, wanted, most_bits) if count <= most_bits else rows
+        # a semi join would be pushed below the map
+        return near.join(wanted.select(F.col(name).alias("near__")).distinct(), column == F.col("near__")).drop("near__")
+    return _in_buckets(rows, column, wanted, bits)
+
+
+def _in_buckets(rows: DataFrame, column: Column, wanted: DataFrame, bits: int) -> DataFrame:
+    """Rows whose `column` falls into one of `bits` hash buckets that a value of `wanted` falls into."""
+    name = wanted.columns[0]
     bucket = F.pmod(F.xxhash64(F.col(name)), F.lit(bits))
     words = wanted.select(bucket.alias("b")).groupBy(F.shiftright("b", 6).alias("w__")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits__"))
     own = F.pmod(F.xxhash64(column), F.lit(bits))

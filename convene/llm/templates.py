@@ -14,9 +14,9 @@ documents are enough. But a document that consists of such rarely repeated lines
 near-duplicate removal to see it whole.
 
 The corpus is scanned for leaves first. Only leaves with enough lines can hold a recurring template; a
-bitmap says which hash buckets have one, and the second scan keeps the lines that fall into those. Token
-statistics see each different line of a leaf once, with its count, so that hot lines are summed before
-anything is dealt out.
+bitmap says which hash buckets have one, and the second scan keeps the lines that fall into those. Lines
+vote only in leaves that hold several different ones, each once, with its count, so that hot lines are
+summed before anything is dealt out; of all others only hashes are.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from convene.llm.common import cut, discard, near_buckets, spaced
 MIN_DOCS, DEPTH, CONSTANT, SIMILAR, SIMILAR_REST = 8, 3, 0.5, 0.7, 0.5
 LONG, LONG_DOCS, COPY = 50, 2, 0.25
 FIELD = "<*>"
+LETTER = r"\p{L}"
 
 _MASK = "[^ ]*[0-9][^ ]*"
 
@@ -57,49 +58,59 @@ def _least(tokens: Column, min_docs: int) -> Column:
     return F.when(tokens >= LONG, min(LONG_DOCS, min_docs)).otherwise(min_docs)
 
 
-def _vote(open_: DataFrame, depth: int) -> DataFrame:
-    """leaf, lh, k, n, tokens, template (null: the line does not fit) after one round."""
+def _vote(open_: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
+    """leaf, lh, k, n, says, tokens, template (null: the line does not fit) after one round of the leaves
+    in `wanted`; lines of others, which a map of buckets let through, go."""
     counted = open_.select("leaf", "n", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
     top = counted.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("n"))
     constant = F.when((F.col("top.n") >= CONSTANT * F.col("n")) & (F.col("top.token") != FIELD), F.col("top.token"))
     leaves = top.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", constant.alias("token")))).alias("general"))
     # written first, so that a hot leaf's lines can be split in the join
-    leaves = cut(leaves.withColumn("general", F.col("general.token")), "lines-leaves")
+    leaves = cut(leaves.join(wanted, "leaf", "left_semi").withColumn("general", F.col("general.token")), "lines-leaves")
     agreeing = F.zip_with("tokens", "general", lambda a, b: F.coalesce(a == b, F.lit(False)) | (a == FIELD))
     share = lambda flags: F.size(F.filter(flags, lambda x: x)) / F.greatest(F.size(flags), F.lit(1))
     rest = F.slice("agree", depth + 1, F.greatest(F.size("agree") - depth, F.lit(0)))
     general = F.array_join(F.transform("general", lambda t: F.coalesce(t, F.lit(FIELD))), " ")
     fits = (share(F.col("agree")) >= SIMILAR) & ((F.size("agree") <= depth) | (share(rest) >= SIMILAR_REST))
-    voted = open_.join(leaves, "leaf").withColumn("agree", agreeing).select("leaf", "lh", "k", "n", "tokens", F.when(fits, general).alias("template"))
+    voted = open_.join(leaves, "leaf").withColumn("agree", agreeing).select("leaf", "lh", "k", "n", "says", "tokens", F.when(fits, general).alias("template"))
     out = cut(voted, "lines-voted")
     discard(leaves)
     return out
 
 
-def _parsed(distinct: DataFrame, min_docs: int, depth: int) -> DataFrame:
-    """leaf, lh, template of the different lines (leaf, lh, k, n, tokens) of leaves with enough lines."""
+def _parsed(hot: DataFrame, min_docs: int, depth: int) -> DataFrame:
+    """leaf, lh, t (hash of the template), template (null: the line itself) of the different lines of
+    `hot` in leaves with enough lines.
+
+    A line that is a template of its own needs no text here: its own hash is its template's. So only
+    lines of leaves with several different ones are dealt out, each once."""
     weight = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
-    per = distinct.groupBy("leaf").agg(F.sum("n").alias("all"), F.count("*").alias("lines"), F.max("k").alias("k"))
-    per = cut(per.where(F.col("all") >= _least(F.col("k"), min_docs)).select("leaf", (F.col("lines") > 1).alias("several")), "lines-per-leaf")
-    literal = F.array_join("tokens", " ").alias("template")
+    lines = cut(hot.groupBy("leaf", "lh").agg(F.max("k").alias("k"), F.count("*").alias("n"), F.max("says").alias("says")), "lines-counted")
+    per = lines.groupBy("leaf").agg(F.sum("n").alias("all"), F.max("k").alias("k"), F.count("*").alias("lines"), F.min("lh").alias("lh"), F.max("says").alias("says"))
+    per = cut(per.where(F.col("all") >= _least(F.col("k"), min_docs)).select("leaf", "lh", "says", (F.col("lines") > 1).alias("several")), "lines-per-leaf")
+    itself = lambda open_: open_.where("says").select("leaf", "lh", F.col("lh").alias("t"), F.lit(None).cast("string").alias("template"))
     # a leaf's only line agrees with itself
-    done = [distinct.join(per.where(~F.col("several")), "leaf", "left_semi").select("leaf", "lh", literal)]
-    open_ = cut(distinct.join(per.where("several"), "leaf", "left_semi"), "lines-open")
-    used = [per, open_]
-    while not open_.isEmpty():
-        voted = _vote(open_, depth)
+    done = [itself(per.where(~F.col("several")))]
+    on = per.where("several").select("leaf")
+    # a map of buckets lets few other texts through, and their hashes stop those
+    texts = near_buckets(hot, F.col("leaf"), on).groupBy("leaf", "lh").agg(F.first("line").alias("line"))
+    open_ = lines.join(on, "leaf", "left_semi").join(texts, ["leaf", "lh"])
+    open_ = cut(open_.select("leaf", "lh", "k", "n", "says", F.split("line", " ", -1).alias("tokens")), "lines-open")
+    used = [lines, per, open_]
+    while not on.isEmpty():
+        voted = _vote(open_, on, depth)
         fitted = F.col("template").isNotNull()
         per = voted.groupBy("leaf").agg(weight(fitted).alias("fitted"), weight(~fitted).alias("rest"), F.max("k").alias("k"))
         on = cut(per.where((F.col("fitted") >= _least(F.col("k"), min_docs)) & (F.col("rest") > 0)).select("leaf"), "lines-on")
-        done.append(voted.where(fitted).select("leaf", "lh", "template"))
-        done.append(voted.where(~fitted).join(on, "leaf", "left_anti").select("leaf", "lh", literal))
-        open_ = cut(voted.where(~fitted).join(on, "leaf", "left_semi").drop("template"), "lines-open")
+        # a template of fields and signs alone says nothing
+        done.append(voted.where(F.col("template").rlike(LETTER)).select("leaf", "lh", F.xxhash64("template").alias("t"), "template"))
+        done.append(itself(voted.where(~fitted).select("leaf", "lh", "says").join(on, "leaf", "left_anti")))
+        open_ = cut(near_buckets(voted.where(~fitted).drop("template"), F.col("leaf"), on), "lines-open")
         used += [voted, on, open_]
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    # a template of fields and signs alone says nothing
-    out = cut(out.where(F.replace(F.col("template"), F.lit(FIELD), F.lit("")).rlike(r"\p{L}")), "lines-parsed")
+    out = cut(out, "lines-parsed")
     discard(*used)
     return out
 
@@ -111,14 +122,12 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, tex
     enough = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.max(_tokens()).alias("k"))
     frequent = cut(enough.where(F.col("n") >= _least(F.col("k"), min_docs)).select("leaf"), "lines-frequent")
     held = near_buckets(lines, F.col("leaf"), frequent)
-    hot = cut(held.select("doc_id", "th", "idx", "leaf", F.length("line").alias("len"), _tokens().alias("k"), _masked(F.col("line")).alias("line")).withColumn("lh", F.xxhash64("line")), "lines-hot")
-    # each different line of a leaf once
-    distinct = hot.groupBy("leaf", "lh").agg(F.max("k").alias("k"), F.count("*").alias("n"), F.first("line").alias("line"))
-    distinct = cut(distinct.select("leaf", "lh", "k", "n", F.split("line", " ", -1).alias("tokens")), "lines-distinct")
-    parsed = _parsed(distinct, min_docs, depth)
+    hot = held.select("doc_id", "th", "idx", "leaf", F.length("line").alias("len"), _tokens().alias("k"), _masked(F.col("line")).alias("line"))
+    hot = cut(hot.withColumn("lh", F.xxhash64("line")).withColumn("says", F.col("line").rlike(LETTER)), "lines-hot")
+    parsed = _parsed(hot, min_docs, depth)
     # templates can be as long as lines: where lines meet them, their hashes do
-    named = cut(parsed.select("leaf", "lh", F.xxhash64("template").alias("t")), "lines-named")
-    placed = cut(hot.drop("line").join(named, ["leaf", "lh"]).select("doc_id", "th", "idx", "leaf", "k", "len", "t"), "lines-placed")
+    named = parsed.select("leaf", "lh", "t")
+    placed = cut(hot.drop("line", "says").join(named, ["leaf", "lh"]).select("doc_id", "th", "idx", "leaf", "k", "len", "t"), "lines-placed")
     first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id"), F.col("th"), F.col("idx"))
     per_doc = placed.groupBy("leaf", "t", "doc_id", "th").agg(F.min("idx").alias("idx"), F.max("k").alias("k"))
     kept = per_doc.groupBy("leaf", "t").agg(F.count("*").alias("docs"), F.max("k").alias("k"), F.min(first).alias("first"))
@@ -127,9 +136,10 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, tex
     found = placed.join(kept, ["leaf", "t"]).withColumn("rare", F.col("docs") < min_docs)
     found = found.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("idx") == F.col("first.idx"))))
     if texts:
-        found = found.join(parsed.select("leaf", F.xxhash64("template").alias("t"), "template").groupBy("leaf", "t").agg(F.first("template").alias("template")), ["leaf", "t"])
+        said = parsed.where(F.col("template").isNotNull()).select("leaf", "t", "template").unionByName(hot.select("leaf", F.col("lh").alias("t"), F.col("line").alias("template")))
+        found = found.join(said.groupBy("leaf", "t").agg(F.first("template").alias("template")), ["leaf", "t"])
     out = cut(found.select("doc_id", "th", "idx", "len", "rare", *(["template"] if texts else [])), "lines-recurring")
-    discard(frequent, hot, distinct, parsed, named, placed, kept)
+    discard(frequent, hot, parsed, placed, kept)
     return out
 
 

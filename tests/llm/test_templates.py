@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
@@ -107,6 +109,60 @@ def test_map_of_buckets_or_join(spark):
     assert sorted(r.id for r in near_buckets(rows, F.col("key"), wanted, 1).collect()) == exact
 
 
+def shuffled(spark, run):
+    """Bytes and rows that run() shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    no = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(None, False, False, no, None)
+        return {s.stageId(): (s.shuffleWriteBytes(), s.shuffleWriteRecords()) for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    run()
+    return tuple(map(sum, zip(*(v for k, v in stages().items() if k not in before))))
+
+
+def test_lines_alone_in_their_leaf_are_not_dealt_out(spark):
+    """A copied line that no other one votes with is known by its hash: its text stays where it is."""
+    dice = random.Random(7)
+    lines = [" ".join("".join(dice.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(1000)) for _ in range(60)]
+    rows = [(2 * i + d, line, "x", 0) for i, line in enumerate(lines) for d in (0, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = []
+    moved, _ = shuffled(spark, lambda: found.extend(templates.recurring(docs, texts=False).collect()))
+    assert sorted((r.doc_id, r.idx, r.rare) for r in found) == [(2 * i + 1, 0, True) for i in range(60)]
+    assert moved < 0.3 * sum(map(len, lines))
+    said = templates.recurring(docs).collect()
+    assert sorted((r.doc_id, r.template) for r in said) == [(2 * i + 1, line) for i, line in enumerate(lines)]
+
+
+def test_lines_of_signs_and_votes_of_false_buckets(spark):
+    """Lines without letters never recur, alone in their leaf or not; SQL agrees on leaves of one line,
+    of several that fit one template, and of several that stay as they are."""
+    rows = []
+    for i in range(24):
+        lines = ["--- === ---", "12 34 56", "+ + a" if i % 2 else "+ + +", "- - - - +" if i % 3 else "- - - - *", "one line alone here"]
+        lines += [f"{w} {w} {w} {i} said {chr(97 + i)}" for w in ("ka", "mo", "te")] + [f"some kind of {('red', 'green', 'blue')[i % 3]} {('cat', 'dog', 'cow')[i % 3]} {('x', 'y', 'z')[i % 3]}"]
+        rows.append((i, "\n".join(lines), "x", 0))
+    found = run(spark, rows)
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, by_sql(rows)))
+
+
+def test_map_of_buckets_goes_before_the_join(spark):
+    rows, wanted = spark.range(20_000).select(F.col("id"), (F.col("id") % 4000).alias("key")), spark.createDataFrame([(k,) for k in (5, 7, 33, 33)], "w long")
+    key, old = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        found = []
+        _, moved = shuffled(spark, lambda: found.extend(near_buckets(rows, F.col("key"), wanted, 256).collect()))
+    finally:
+        spark.conf.set(key, old)
+    assert sorted(r.id for r in found) == [i for i in range(20_000) if i % 4000 in (5, 7, 33)]
+    assert found[0].asDict().keys() == {"id", "key"} and moved < 2000
+
+
 def test_native(spark):
     plan = queries.op4_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
